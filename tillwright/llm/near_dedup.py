@@ -9,8 +9,11 @@
    below the threshold less MARGIN (six standard errors) are dropped unseen.
 3. Every class in a bucket is compared with the bucket's smallest class: a star, not all pairs. Links
    are confirmed on full sets and joined to components. Where a bucket then still holds several
-   components, all its pairs across components are estimated, block by block, and those that pass are
-   confirmed too: no candidate link between different components is lost.
+   components, its pairs across components are estimated, block by block inside the tasks, and joined
+   to rough components, which hold all that may still be linked. Where a rough component has several
+   confirmed components, its pairs across those are confirmed on full sets, again block by block. Tasks
+   return links that join components, fewer than their rows, never the pairs: no candidate link between
+   different components is lost, and none is written that joins nothing.
 4. Components come from alternating large-star and small-star steps on the confirmed links.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 < 1e-7.
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +39,9 @@ from .common import bounded_batches, join_groups
 HASHES, BANDS, ROWS, BITS = 128, 32, 4, 4
 LONGS = HASHES * BITS // 64
 MARGIN = 0.22
-#: Classes of one bucket that are compared in one block.
-BLOCK = 512
+#: Classes of one bucket, and shingles of one rough component, in one block of a comparison.
+BLOCK = 1024
+BLOCK_SHINGLES = 1_000_000
 _RNG = np.random.default_rng(20_240_101)
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -202,50 +207,78 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def _across(rows: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, rep, label, sig) that share a key, differ in label and have ``least``
-    equal bit groups. A key's rows are dealt to blocks of about BLOCK, compared two blocks at a time."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    dealt = rows.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+def _in_blocks(rows: DataFrame, by: str, weight: Column, most: int) -> DataFrame:
+    """Rows dealt so that each pair of one group meets in one task: a group whose weights sum to more
+    than ``most`` is dealt to several blocks, and two blocks (p, q) of it are compared at a time. The
+    first columns are the group, p, q, and the row's own block i."""
+    n = rows.groupBy(by).agg(F.ceil(F.sum(weight) / most).cast("int").alias("n"))
+    dealt = rows.join(n, by).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "rep", "label", "sig")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, found = [], None, set()
-
-        def compare() -> None:
-            p, q = at[1:]
-            sig = np.array([r[3] for r in held], np.int64).view(np.uint64)
-            block, rep, label = (np.array([r[i] for r in held]) for i in range(3))
-            for i in range(len(held)):
-                if p != q and block[i] != p:
-                    continue
-                to = np.flatnonzero((block == q) & (label != label[i]))
-                if not len(to):
+    dealt = dealt.select(by, F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", *(c for c in rows.columns if c != by))
+    return dealt.repartition(by, "p", "q").sortWithinPartitions(by, "p", "q")
+
+
+def _forest(batches: Iterator[pa.RecordBatch], least: int, percent: int | None) -> Iterator[pa.RecordBatch]:
+    """Links between rows of different labels that join all that can be joined, and no more: pairs of
+    one group (rows: group, p, q, i, rep, label, sig[, set]) are linked if they have ``least`` equal bit
+    groups and, where ``percent`` is given, if their sets are that similar. Once two labels are linked,
+    pairs of theirs are not looked at again, so there are fewer links than rows."""
+    held, at, found = [], None, []
+
+    def compare() -> None:
+        p, q = at[1:]
+        block, rep, root = (np.array([r[k] for r in held]) for k in range(3))
+        if (root == root[0]).all():
+            return
+        sig = np.array([r[3] for r in held], np.int64).view(np.uint64)
+        size = np.array([len(r[4]) for r in held]) if percent else None
+        place = np.arange(len(held))
+        for i in range(len(held)):
+            if block[i] != p:
+                continue
+            to = np.flatnonzero((block == q) & (root != root[i]) & ((place > i) | (p != q)))
+            if percent and len(to):
+                lo, hi = np.minimum(size[to], size[i]), np.maximum(size[to], size[i])
+                to = to[100 * lo >= percent * hi]
+            if not len(to):
+                continue
+            x = sig[to] ^ sig[i]
+            y = x.copy()
+            for s in range(1, BITS):
+                y |= x >> _U(s)
+            to = to[HASHES - np.bitwise_count(y & _U(_NIBBLES)).sum(axis=1, dtype=np.int64) >= least]
+            for k in to:
+                if root[k] == root[i] or rep[k] == rep[i]:
                     continue
-                x = sig[to] ^ sig[i]
-                y = x.copy()
-                for s in range(1, BITS):
-                    y |= x >> _U(s)
-                equal = HASHES - np.bitwise_count(y & _U(_NIBBLES)).sum(axis=1)
-                found.update((min(int(rep[i]), int(o)), max(int(rep[i]), int(o))) for o in rep[to[equal >= least]] if o != rep[i])
-
-        for b in batches:
-            for key, p, q, *row in zip(*(b.column(i).to_pylist() for i in range(7))):
-                if at != (key, p, q):
-                    if held:
-                        compare()
-                    held, at = [], (key, p, q)
-                held.append(row)
-            if len(found) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
-                found.clear()
-        if held:
-            compare()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
-
-    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
+                if percent:
+                    both = len(np.intersect1d(held[i][4], held[k][4], assume_unique=True))
+                    if 100 * both < percent * (size[i] + size[k] - both):
+                        continue
+                found.append((int(rep[i]), int(rep[k])))
+                root[root == root[k]] = root[i]
+
+    def out() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+        found.clear()
+        return batch
+
+    for b in batches:
+        columns = [b.column(i).to_pylist() for i in range(7)]
+        if percent:
+            sets, ends = b.column(7).flatten().to_numpy(zero_copy_only=False), np.cumsum([0] + pc.list_value_length(b.column(7)).to_pylist())
+            columns.append([sets[m:n] for m, n in zip(ends, ends[1:])])
+        for group, p, q, *row in zip(*columns):
+            if at != (group, p, q):
+                if held:
+                    compare()
+                held, at = [], (group, p, q)
+            held.append(row)
+        if len(found) > 10_000:
+            yield out()
+    if held:
+        compare()
+    if found:
+        yield out()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,9 +304,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     named = shared.filter("rep <> hub").join(first, shared["rep"] == first["node"], "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
     rest = named.join(mixed, "key", "left_semi").join(sigs, "rep").select("key", "rep", "label", "sig")
-    more = confirm(materialize(_across(rest, least), "across"), sets, percent)
-    ends = more.unionByName(first.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    final = components(ends)
+    rough = _in_blocks(rest, "key", F.lit(1), BLOCK).mapInArrow(lambda it: _forest(it, least, None), "a long, b long").distinct()
+    stars_too = first.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    # what may be linked lies in one rough component; where that has several labels, full sets decide
+    rough = components(rough.unionByName(stars_too)).withColumnRenamed("label", "rough")
+    inside = rough.join(first, "node", "left").select(F.col("node").alias("rep"), "rough", F.coalesce("label", "node").alias("label"))
+    several = inside.groupBy("rough").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("rough")
+    inside = inside.join(several, "rough", "left_semi").join(sigs, "rep").join(sets, "rep").select("rough", "rep", "label", "sig", "set")
+    bounded_batches(docs.sparkSession, 200)
+    more = _in_blocks(inside, "rough", F.size("set") + 500, BLOCK_SHINGLES).mapInArrow(lambda it: _forest(it, least, percent), "a long, b long").distinct()
+    final = components(more.unionByName(stars_too))
 
     named = classes.select("set_key", "rep", "copies").join(final, F.col("rep") == F.col("node"), "left")
     groups = materialize(named.select("set_key", "copies", F.coalesce("label", "rep").alias("component_id")), "groups")
