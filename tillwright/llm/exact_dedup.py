@@ -28,7 +28,7 @@ _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93,
 
 
 def _place(k: np.ndarray, level: int, m: int) -> np.ndarray:
-    x = k[:, 0] ^ (k[:, 1] * _C1 + np.uint64(level) * _C2)
+    x = k[:, 0] ^ (k[:, 1] * _C1 + np.uint64(level * int(_C2) & (1 << 64) - 1))
     x ^= x >> np.uint64(33)
     x *= _C3
     x ^= x >> np.uint64(29)

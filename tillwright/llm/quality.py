@@ -102,13 +102,14 @@ class Machine:
 
 def fit(raw: np.ndarray, y: np.ndarray, seed: int = 5) -> Machine:
     """By Adam on the logistic loss with both labels weighing the same; rows in random order, fixed by the seed."""
-    mean, spread = raw[:, WORDS:].mean(axis=0), raw[:, WORDS:].std(axis=0) + 1e-3
+    some = raw[:, WORDS:] if len(raw) else np.zeros((1, raw.shape[1] - WORDS))
+    mean, spread = some.mean(axis=0), some.std(axis=0) + 1e-3
     rng = np.random.default_rng(seed)
     d = raw.shape[1]
     if len(set(y.tolist())) < 2:
         p = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
         zero = np.zeros(d, np.float32)
-        return Machine(np.zeros(STATS) if not len(y) else mean, np.ones(STATS) if not len(y) else spread, float(np.log(p / (1 - p))), zero, np.zeros((d, FACTORS), np.float32))
+        return Machine(mean, spread, float(np.log(p / (1 - p))), zero, np.zeros((d, FACTORS), np.float32))
     m = Machine(mean, spread, 0.0, np.zeros(d, np.float32), rng.normal(0, 0.01, (d, FACTORS)).astype(np.float32))
     x = m.scaled(raw)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))

@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Equal texts form a group and groups are placed whole; a group larger than a shard may be is split
-into the fewest equal parts that fit. Groups above 1/HEAVY_SHARE of any dimension are placed one by
+Equal texts form a group and groups are placed whole; only a group larger than a shard may be is split,
+by a hash of the id, into parts of about 1/SPLIT of a shard. Groups above 1/HEAVY_SHARE of any dimension are placed one by
 one (there are at most 3 * HEAVY_SHARE of them); the others are gathered by a hash of their text
 into CELLS cells, each a bounded item whatever the size of the corpus. Items go, largest first, to
 the shard where the dot product of the item and the residual capacity is highest, among those whose
@@ -22,6 +22,7 @@ from ..session import materialize
 from .common import HEAVY_SHARE, n_words
 
 CELLS = 1 << 14
+SPLIT = 8
 #: Rows in one numbering window, about.
 WINDOW_ROWS = 50_000
 
@@ -55,7 +56,8 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
     total = groups.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "tokens", "n"))).first()
     limit = {c: max(1, total[c] // HEAVY_SHARE) for c in ("size", "tokens", "n")}
     heavy = groups.filter(" OR ".join(f"{c} > {v}" for c, v in limit.items()))
-    parts = F.greatest(F.ceil(F.col("size") * shards / F.lit(max(1, total["size"]))), F.lit(1)).cast("int")
+    room = max(1, total["size"])
+    parts = F.when(F.col("size") * shards > room, F.ceil(F.col("size") * (shards * SPLIT) / F.lit(room))).otherwise(F.lit(1)).cast("int")
     heavy = heavy.select("group_key", "size", "tokens", "n", parts.alias("parts"))
     big = heavy.collect()  # at most 3 * HEAVY_SHARE rows
     named = F.broadcast(heavy.select("group_key", "parts", F.greatest(F.ceil(F.col("n") / WINDOW_ROWS), F.lit(1)).cast("int").alias("spread")))
