@@ -21,6 +21,11 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 TAX_RATES = (5.0, 6.0, 7.0, 13.0, 15.0)
 
 
+def let(c: Column, f) -> Column:
+    """``f`` of a value that is computed once: expressions that use it often stay small."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _double(c: Column) -> Column:
     return c.try_cast("double")
 
@@ -40,10 +45,8 @@ def optional_float(c: Column) -> Column:
 
 
 def clean_noise(c: Column) -> Column:
-    """OCR noise removed: a run of x is nothing, outer punctuation goes (but a sign), misread pairs are mended."""
-    t = F.trim(c)
-    t = F.when(t.rlike(r"(?i)^x+$"), F.lit("")).otherwise(t)
-    t = F.regexp_replace(F.regexp_replace(t, r"^[^\w$\-]+", ""), r"[^\w%\-]+$", "")
+    """OCR noise removed: a long run of x is nothing, outer marks go, misread pairs are mended."""
+    t = F.regexp_replace(F.regexp_replace(F.trim(c), r"(?i)^x{6,}$", ""), r"^[\s*:;,.+=]+|[\s*:;,.+=]+$", "")
     for wrong, right in MISREAD:
         t = F.replace(t, F.lit(wrong), F.lit(right))
     return F.trim(t)
@@ -53,19 +56,25 @@ def parse_price(c: Column, least: float = 0.01, most: float = 2_000_000.0) -> Co
     """A price: clock times are none, ``40:00`` is 40.00, ``9.95-`` and ``-9.95`` are negative; the last
     d.dd or d,dd, else the last .dd, else ,dd, else the longest whole number. 0 is a price; others must
     lie in least..most, negative ones not below -most."""
-    raw = F.trim(c.cast("string"))
-    clock = raw.rlike(r"^\d{1,2}:\d{2}$") & (F.split_part(raw, F.lit(":"), F.lit(1)).try_cast("int") <= 23) & (F.split_part(raw, F.lit(":"), F.lit(2)).try_cast("int") <= 59)
-    t = F.when(raw.rlike(r"^\d{1,7}:\d{2}$"), F.replace(raw, F.lit(":"), F.lit("."))).otherwise(F.regexp_replace(raw, r"(?<=\d):(?=\d{2}\b)", "."))
-    t = clean_noise(t)
-    negative = t.rlike(r"-\s*$") | t.startswith("-")
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"-+\s*$", ""), r"^-+", ""))
+    def value(t: Column) -> Column:
+        negative = t.rlike(r"-\s*$") | t.startswith("-")
+        bare = F.trim(F.regexp_replace(t, r"^-+|-+\s*$", ""))
+        return let(bare, lambda b: F.when(negative, -_unsigned(b)).otherwise(_unsigned(b)))
+
+    def read(raw: Column) -> Column:
+        clock = raw.rlike(r"^([01]?\d|2[0-3]):[0-5]\d$")
+        dotted = F.when(raw.rlike(r"^\d{1,7}:\d{2}$"), F.replace(raw, F.lit(":"), F.lit("."))).otherwise(F.regexp_replace(raw, r"(?<=\d):(?=\d{2}\b)", "."))
+        return F.when(~clock & (raw != ""), let(clean_noise(dotted), value))
+
+    fits = lambda v: F.when((v == 0) | v.between(least, most) | v.between(-most, 0), v)
+    return let(let(F.trim(c.cast("string")), read), fits)
+
+
+def _unsigned(t: Column) -> Column:
     runs = F.regexp_extract_all(t, F.lit(r"(\d+)"), F.lit(1))
     longest = F.aggregate(runs, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     dotted = F.coalesce(_last(t, r"(\d+[.,]\d{2})"), _last(t, r"(\.[0-9]{2})"), _last(t, r"(,[0-9]{2})"))
-    value = F.coalesce(_double(F.replace(dotted, F.lit(","), F.lit("."))), _double(F.when(longest != "", longest)))
-    signed = F.when(negative, -value).otherwise(value)
-    valid = F.when(signed == 0, F.lit(0.0)).when((signed < 0) & (signed >= -most), signed).when((signed >= least) & (signed <= most), signed)
-    return F.when(clock | (raw == ""), F.lit(None).cast("double")).otherwise(valid)
+    return F.coalesce(_double(F.replace(dotted, F.lit(","), F.lit("."))), _double(longest))
 
 
 def normalize_amount(c: Column) -> Column:
@@ -104,17 +113,16 @@ def repair_total_words(c: Column) -> Column:
 
 
 def extract_amount(c: Column) -> Column:
-    """The last amount in a text as text, '' without one; amounts of four and more digits lose their sign."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([-+]?\d{1,3}(?:,\d{3})*\.\d{2}|\d+\.\d{2})"), F.lit(1))
+    """The last amount in a text (commas dropped) as text, '' without one; four and more digits lose their sign."""
+    found = F.regexp_extract_all(F.translate(F.coalesce(c, F.lit("")), ",", ""), F.lit(r"([-+]?\d{1,3}\.\d{2}|\d+\.\d{2})"), F.lit(1))
     return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
 
 
 def extract_amount_loose(c: Column) -> Column:
-    """extract_amount of the repaired text, else its last d:dd or d.dd with a dot."""
+    """extract_amount of the repaired text, else its first d:dd or d.dd with a dot."""
     t = repair_total_words(c)
     strict = extract_amount(t)
-    loose = F.coalesce(_last(t, r"\b(\d{1,4}[:.]\d{2})\b"), F.lit(""))
-    return F.when(strict != "", strict).otherwise(F.replace(loose, F.lit(":"), F.lit(".")))
+    return F.when(strict != "", strict).otherwise(F.regexp_replace(F.regexp_extract(t, r"(\d{1,4}[:.]\d{2})", 1), ":", "."))
 
 
 def money_values(c: Column) -> Column:
@@ -132,8 +140,9 @@ def is_tax_rate(raw: Column, value: Column) -> Column:
 def rightmost_amount(c: Column) -> Column:
     """The last money that is no tax rate and has no percent sign within three characters after it."""
     found = F.regexp_extract_all(c, F.lit(r"([-+]?\$?\d+[.,]\d{2}(?!.{0,2}%))"), F.lit(1))
-    kept = F.filter(found, lambda x: ~is_tax_rate(x, parse_price(x, 0.0)) & parse_price(x, 0.0).isNotNull())
-    return parse_price(F.try_element_at(kept, F.lit(-1)), 0.0)
+    priced = F.transform(found, lambda x: F.struct(x.alias("raw"), parse_price(x, 0.0).alias("value")))
+    kept = F.filter(priced, lambda x: x["value"].isNotNull() & ~is_tax_rate(x["raw"], x["value"]))
+    return F.try_element_at(kept, F.lit(-1))["value"]
 
 
 def clean_text(c: Column) -> Column:
@@ -151,16 +160,17 @@ def normalize_currency(c: Column, default: str = "CAD") -> Column:
     return F.coalesce(F.when(t.rlike("^[A-Z]{3}$"), t), known, F.when(bare.rlike("^[A-Z]{3}$"), bare), F.lit(default))
 
 
+#: Codes that are looked for before the symbols, the longer first.
+CODES = ("CAD$", "AUD$", "USD$", "SGD$", "NZD$", "HKD$", "CA$", "CHF", "SEK", "NOK", "DKK", "NZD", "AUD", "SGD", "HKD", "THB", "CLP", "COP", "ARS", "ZAR", "AED", "SAR", "ILS", "R$")
+
+
 def detect_currency(c: Column) -> Column:
-    """Currency of a text: codes first, the longest before the shorter, then symbols, then the dollar."""
-    u = F.upper(c)
-    ordered = ("USD$", "CAD$", "AUD$", "SGD$", "NZD$", "HKD$", "CA$", "US$", "AU$", "NZ$", "HK$", "SG$", "USD", "CAD", "AUD", "SGD", "NZD", "HKD", "EUR", "GBP", "JPY", "INR")
-    out = F.when(u.contains(ordered[0]), F.lit(SYMBOLS.get(ordered[0], ordered[0][:3])))
-    for code in ordered[1:]:
-        out = out.when(u.contains(code), F.lit(SYMBOLS.get(code, code[:3])))
-    for symbol in ("£", "€", "¥", "₹"):
-        out = out.when(u.contains(symbol), F.lit(SYMBOLS[symbol]))
-    return out.when(u.contains("$"), F.lit("$"))
+    """Currency mark that a text contains: codes, then symbols, then the dollar; null without one."""
+    marks = (*CODES, "£", "€", "¥", "₹", "$")
+    out = F.lit(None)
+    for m in reversed(marks):
+        out = F.when(F.coalesce(c.contains(m), F.lit(False)), F.lit(m)).otherwise(out)
+    return out
 
 
 def split_currency(c: Column) -> Column:

@@ -81,7 +81,12 @@ def is_weak_name(c: Column) -> Column:
     """Whether a text is too poor to name an item: units, weights, codes, section heads, payment lines,
     too few letters, too many digits, no vowels. Two clean words with five letters are never weak once
     the outright rules have passed."""
-    t = F.trim(F.coalesce(c, F.lit("")))
+    from .money import let
+
+    return let(F.trim(F.coalesce(c, F.lit(""))), _weak)
+
+
+def _weak(t: Column) -> Column:
     u = F.upper(t)
     a, d = letters(t), digits(t)
     outright = (
@@ -112,8 +117,10 @@ def good_name(c: Column) -> Column:
         r"(?i)\b\d+(?:[.,]\d+)?\s*(kg|lb|lbs|ea|each)\b", r"(?i)\b(GROSS|NET|TARE|INT|EA|KG|LB|LBS|PT|NT|RP|IS|UNIT|PK)\b",
     ):
         t = F.trim(F.regexp_replace(t, pattern, ""))
+    from .money import let
+
     t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[ \-:;,.]+|[ \-:;,.]+$", "")
-    return F.when((t != "") & ~is_weak_name(t), t)
+    return let(t, lambda x: F.when((x != "") & ~_weak(x), x))
 
 
 def is_junk_row(c: Column) -> Column:
@@ -203,26 +210,74 @@ def summary_word(c: Column, subtotal: list[str], total: list[str], tax: list[str
 
 
 def regions(c: Column) -> Column:
-    """Tax regions that a text hints at."""
-    u = F.upper(F.coalesce(c, F.lit("")))
-    return F.filter(F.array(
-        F.when(u.rlike(r"\b(GST|HST|PST|QST)\b"), "CANADA"), F.when(u.rlike(r"\b(VAT|TVA|MWST|BTW)\b"), "EU"),
-    ), lambda x: x.isNotNull())
+    """Tax regions that a text hints at: by its taxes, else by its currency; the universal one is always last."""
+    from .money import detect_currency
+
+    u, cur = F.upper(F.coalesce(c, F.lit(""))), detect_currency(c)
+    first = (
+        F.when(any_of(u, ("GST", "HST", "PST", "QST")), "CANADA").when(any_of(u, ("VAT", "TVA", "MWST", "BTW")), "EU")
+        .when(cur.isin("CA$", "CAD$"), "CANADA").when(cur.isin("$", "USD$"), "USA").when(cur == "€", "EU")
+    )
+    return F.filter(F.array(first, F.lit("UNIVERSAL")), lambda x: x.isNotNull())
 
 
-def phone_near(words: Column, keywords: tuple[str, ...] = ("TEL", "PHONE", "PH", "CALL"), reach: int = 18) -> Column:
-    """The first phone number within ``reach`` words after a keyword, else anywhere in the text."""
-    pattern = r"(\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})"
-    up = F.transform(words, lambda w: F.regexp_replace(F.upper(w), "[^A-Z]", ""))
-    at = F.array_min(F.filter(F.transform(up, lambda w, i: F.when(w.isin(*keywords), i)), lambda i: i.isNotNull()))
-    near = F.when(at.isNotNull(), F.regexp_extract(F.array_join(F.slice(words, at + 1, reach), " "), pattern, 1))
-    whole = F.regexp_extract(F.array_join(words, " "), pattern, 1)
-    return F.coalesce(F.when(near != "", near), F.when(whole != "", whole))
+#: Fixed value: a phone number with optional country code.
+PHONE = r"(\b(?:\+?\d{1,3}[-\s]?)?(?:\(?\d{3}\)?[-\s]?)\d{3}[-\s]?\d{4}\b)"
+
+
+def phone_near(words: Column, keyword: str = "phone", reach: int = 18) -> Column:
+    """The first phone number within ``reach`` words from a word that holds the keyword, else anywhere; '' without."""
+    hits = F.filter(F.transform(words, lambda w, i: F.when(F.lower(w).contains(keyword), F.regexp_extract(F.array_join(F.slice(words, i + 1, reach), " "), PHONE, 1))), lambda x: x != "")
+    return F.coalesce(F.get(hits, F.lit(0)), F.regexp_extract(F.array_join(words, " "), PHONE, 1))
+
+
+def address_fallback(words: Column, reach: int = 30) -> Column:
+    """From the nearest street number before the first ZIP code to it, without junk; '' without both."""
+    places = lambda keep: F.filter(F.transform(words, lambda w, i: F.when(keep(w), i)), lambda i: i.isNotNull())
+    zip_at = F.array_min(places(lambda w: w.rlike(r"\b\d{5}\b")))
+    start = F.array_max(F.filter(places(lambda w: w.rlike(r"^\d{3,6}$")), lambda i: (i < zip_at) & (i > zip_at - reach)))
+    kept = F.filter(F.slice(words, start + 1, zip_at - start + 1), lambda w: ~w.isin("1", "d", "G", "M", "sc"))
+    text = F.regexp_replace(F.array_join(kept, " "), r"(?i)\bB\s*vd\b", "BLVD")
+    return F.coalesce(F.when(start.isNotNull(), F.trim(F.regexp_replace(text, r"\s+", " "))), F.lit(""))
 
 
 def total_fallback(c: Column) -> Column:
     """Amount after TOTAL DUE or TOTAL, '' without one."""
-    return F.regexp_extract(F.upper(F.coalesce(c, F.lit(""))), r"TOTAL(?:\s+DUE)?\D{0,12}(\d{1,6}[.,]\d{2})", 1)
+    return F.regexp_extract(F.upper(F.coalesce(c, F.lit(""))), r"TOTAL(?:\s+DUE)?\s+([0-9]+\.[0-9]{2})", 1)
+
+
+def llm_route(text: Column, has_image: Column, confidence: Column, free_tier: bool = True, least_conf: float = 0.45, least_items: int = 1, broken: float = 0.95, prefer_long: bool = False, long_lines: int = 200) -> Column:
+    """ocr_text or vision_image: which of the two a receipt is sent to the model as."""
+    from .money import confidence_01
+
+    blank, conf, n, score = F.trim(F.coalesce(text, F.lit(""))) == "", confidence_01(confidence), line_count(text), broken_score(text)
+    if free_tier:
+        poor = (n < 3) | F.coalesce(conf < 0.20, F.lit(False)) | (score > 0.95)
+    else:
+        poor = F.coalesce(conf < least_conf, F.lit(False)) | (item_line_count(text) < least_items) | ~has_total_words(text) | (score > broken)
+        if prefer_long:
+            poor = poor | ((n >= long_lines) & (score > 0.20))
+    return F.when(has_image & (blank | poor), "vision_image").otherwise("ocr_text")
+
+
+def receipt_family(words: Column, row_ids: Column, long_receipt: Column) -> Column:
+    """long_grocery from four points of size, units, departments and shops, else default."""
+    t = F.upper(F.array_join(words, " "))
+    points = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    score = (
+        points(long_receipt, 2) + points(F.size(words) > 250, 1) + points(F.size(F.array_distinct(row_ids)) > 120, 1) + points(any_of(t, (" KG", "/KG", " LB", "/LB", " EA ")), 1)
+        + points(any_of(t, ("PRODUCE", "GROCERY", "BAKERY", "MEATS", "DELI")), 2) + points(any_of(t, ("SUPERSTORE", "COSTCO", "WALMART", "REAL CANADIAN")), 2)
+    )
+    return F.when(score >= 4, "long_grocery").otherwise("default")
+
+
+def pseudo_lines(words: Column) -> Column:
+    """Words as lines: a line ends with each word that has a dollar sign or is an amount."""
+    from .money import normalize_amount
+
+    kept = F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != "")
+    ends = F.transform(kept, lambda w: F.when(w.contains("$") | normalize_amount(w).isNotNull(), F.concat(w, F.lit("\n"))).otherwise(F.concat(w, F.lit(" "))))
+    return F.filter(F.transform(F.split(F.array_join(ends, ""), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def initials(c: Column, n: int = 2) -> Column:

@@ -166,7 +166,7 @@ def chunk_windows(tokens: DataFrame, size: int = 400, back: int = 128) -> DataFr
     """Each token in every overlapping chunk that holds it: chunk c covers ``size`` tokens from c * (size - back)."""
     step = size - back
     first = F.greatest(F.lit(0), F.floor((F.col("idx") - size) / step) + 1)
-    return tokens.withColumn("chunk", F.explode(F.sequence(first, F.floor(F.col("idx") / step))).cast("int")).filter(F.col("idx") < F.col("chunk") * step + size)
+    return tokens.withColumn("chunk", F.explode(F.sequence(first, F.floor(F.col("idx") / step)))).withColumn("chunk", F.col("chunk").cast("int")).filter(F.col("idx") < F.col("chunk") * step + size)
 
 
 def merge_chunks(predictions: DataFrame) -> DataFrame:

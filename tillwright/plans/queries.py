@@ -211,7 +211,7 @@ def price_ranges(spark, d):
     return validation.price_ranges(adapters.items(spark, d), RULES).select("receipt_id", "line_no", "reason")
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(trim(text), '\s+'), x -> x <> '')[1] AS first_token FROM documents)
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '')[1] AS first_token FROM documents)
 SELECT doc_id AS receipt_id, first_token FROM w WHERE NOT ((regexp_full_match(first_token, '\d+') AND length(first_token) >= 6) OR (NOT regexp_full_match(first_token, '\d+') AND length(first_token) >= 2))""")
 def label_sequence(spark, d):
     docs = adapters.read(spark, d, "documents").select(F.col("doc_id").alias("receipt_id"), F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "").alias("tokens"))
