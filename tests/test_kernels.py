@@ -43,7 +43,7 @@ def test_each_price_group_is_used_once():
     rng = random.Random(9)
     for _ in range(80):
         words = random_words(rng, 20)
-        g = items.group_tokens([w[0] for w in words], [w[1] for w in words], [w[2] for w in words], [(0, w[4], 1, w[4])] * len(words))
+        g = items.group_tokens([w[0] for w in words], [w[1] for w in words], [w[2] for w in words], [(0, w[4], 1, w[4]) for w in words])
         prices = sum(x.price for x in g)
         for f in (items.price_then_name, items.mixed):
             assert len(f(g)) <= prices

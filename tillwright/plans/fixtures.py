@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import llm_json, money, text
-from ..operators import items, labels, sequences, summary, tables
+from ..operators import items, labels, long_rows, sequences, summary, tables
 from ..sources import adapters
 from .queries import ORACLES, QUERIES, query
 
@@ -278,4 +278,36 @@ def chunk_windows(spark, d):
     return sequences.chunk_windows(words).groupBy("receipt_id", "chunk").agg(F.count("*").alias("n"))
 
 
+LONG = [
+    (1, 0, 0, "21-GROCERY", 100, 0.9), (1, 1, 1, "ORANGE JUICE", 130, 0.8), (1, 2, 2, "MRJ 4.99", 132, 0.7), (1, 3, 3, "BANANAS 1.25", 170, 0.9), (1, 4, 4, "WHITE BREAD", 210, 0.9), (1, 5, 5, "2.49", 240, 0.6),
+    (1, 6, 6, "SUBTOTAL 8.73", 300, 0.9), (1, 7, 7, "GST 5.00% 0.44", 330, 0.9), (1, 8, 8, "TOTAL 9.17", 360, 0.9),
+]
+
+
+@gold("receipt_id, item_no, name, price, source", [(1, 1, "ORANGE JUICE", 4.99, "long_row_layout_same_line"), (1, 2, "WHITE BREAD", 2.49, "long_row_layout_prev_line"), (1, 3, "BANANAS", 1.25, "long_row_seq_direct")])
+def items_long(spark, d):
+    rows = spark.createDataFrame(LONG, "receipt_id long, row_id int, start int, text string, y_top int, conf double")
+    return long_rows.extract_long_items(rows).select("receipt_id", "item_no", "name", "price", "source")
+
+
+@gold("receipt_id, subtotal, total, subtotal_confidence, total_confidence", [(1, 8.73, 9.17, 0.92, 0.92)])
+def summary_rows(spark, d):
+    rows = spark.createDataFrame(LONG, "receipt_id long, row_id int, start int, text string, y_top int, conf double")
+    return summary.from_rows(rows)
+
+
+@gold("i, subtotal, tax, total", [(0, 10.0, 0.5, 10.5), (1, 10.0, 1.5, 11.5), (2, 10.0, 0.5, 10.5), (3, 10.0, 0.5, 90.0)])
+def summary_long(spark, d):
+    df = spark.createDataFrame([(0, 10.0, None, 10.5), (1, 10.0, 0.1, 11.5), (2, 10.0, 0.5, None), (3, 10.0, 0.5, 90.0)], "i int, subtotal double, tax double, total double")
+    return summary.correct_long(summary.tax_from_delta(df)).select("i", "subtotal", "tax", "total")
+
+
+@gold("receipt_id, subtotal, tax", [(1, 8.5, 0.44), (2, 5.0, 0.3)])
+def summary_merge(spark, d):
+    schema = "receipt_id long, subtotal double, subtotal_confidence double, tax double, tax_confidence double"
+    a = spark.createDataFrame([(1, 8.0, 0.5, 0.44, 0.9), (2, None, None, 0.3, 0.2)], schema)
+    b = spark.createDataFrame([(1, 8.5, 0.92, 0.1, 0.5), (2, 5.0, 0.1, None, None)], schema)
+    return summary.merge_sources(a, b, ("subtotal", "tax")).select("receipt_id", "subtotal", "tax")
+
+
 __all__ = ["ORACLES", "QUERIES"]
