@@ -113,7 +113,7 @@ def same_box(tokens: DataFrame) -> DataFrame:
     return got.select(KEY, "idx", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("word"), "x1", "y1", "x2", "y2").filter("word <> ''")
 
 
-def context(df: DataFrame, column: str, before: int, after: int, order: str = "idx") -> Column:
+def context(column: str, before: int, after: int, order: str = "idx") -> Column:
     """The texts around a row, joined by spaces."""
     return F.array_join(F.collect_list(column).over(_w(order).rowsBetween(-before, after)), " ")
 
