@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .money import clean_text, confidence_or_null, normalize_currency, normalize_date, normalize_phone, parse_money
+from .money import clean_text, confidence_or_null, let, normalize_currency, normalize_date, normalize_phone, parse_money
 
 _ITEM = "struct<name:string,item_name:string,price:string,line_price:string,line_total:string,confidence:string>"
 _TOP = ("vendor", "phone", "address", "date", "receipt_date", "subtotal", "tax", "total", "currency", "confidence")
@@ -41,18 +41,21 @@ def items(raw: Column) -> Column:
 def receipt(c: Column, default_currency: str = "CAD") -> Column:
     """struct of the normal fields of an answer; null if it holds no JSON object. A missing confidence is
     estimated from the fields there are."""
-    block = json_block(c)
-    o = F.from_json(block, SCHEMA)
-    listed = items(F.coalesce(F.when(F.size(o["items"]) > 0, o["items"]), o["receipt_items"], F.array().cast("array<string>")))
-    vendor, phone, date = clean_text(o["vendor"]), normalize_phone(o["phone"]), normalize_date(_some(o["date"], o["receipt_date"]))
-    money = {k: parse_money(o[k]) for k in ("subtotal", "tax", "total")}
-    points = lambda x, n: F.when(x.isNotNull(), n).otherwise(0)
-    guess = (F.lit(40) + points(vendor, 10) + points(money["total"], 15) + points(money["subtotal"], 8) + points(money["tax"], 5) + points(date, 5) + points(phone, 5) + F.least(F.lit(12), 2 * F.size(listed))).cast("double")
-    out = F.struct(
-        vendor.alias("vendor"), phone.alias("phone"), clean_text(o["address"]).alias("address"), date.alias("date"), listed.alias("items"), *(v.alias(k) for k, v in money.items()),
-        normalize_currency(o["currency"], default_currency).alias("currency"), F.coalesce(confidence_or_null(o["confidence"]), F.least(F.lit(100.0), guess)).alias("confidence"),
-    )
-    return F.when(F.try_parse_json(block).isNotNull(), out)
+    def fields(o: Column) -> Column:
+        listed = items(F.coalesce(F.when(F.size(o["items"]) > 0, o["items"]), o["receipt_items"], F.array().cast("array<string>")))
+        return F.struct(
+            clean_text(o["vendor"]).alias("vendor"), normalize_phone(o["phone"]).alias("phone"), clean_text(o["address"]).alias("address"), normalize_date(_some(o["date"], o["receipt_date"])).alias("date"), listed.alias("items"),
+            *(parse_money(o[k]).alias(k) for k in ("subtotal", "tax", "total")), normalize_currency(o["currency"], default_currency).alias("currency"), confidence_or_null(o["confidence"]).alias("given"),
+        )
+
+    def whole(r: Column) -> Column:
+        points = lambda k, n: F.when(r[k].isNotNull(), n).otherwise(0)
+        guess = F.lit(40) + sum(points(k, n) for k, n in (("vendor", 10), ("total", 15), ("subtotal", 8), ("tax", 5), ("date", 5), ("phone", 5))) + F.least(F.lit(12), 2 * F.size(r["items"]))
+        kept = ("vendor", "phone", "address", "date", "items", "subtotal", "tax", "total", "currency")
+        return F.struct(*(r[k].alias(k) for k in kept), F.coalesce(r["given"], F.least(F.lit(100), guess).cast("double")).alias("confidence"))
+
+    read = lambda b: F.when(F.try_parse_json(b).isNotNull(), let(let(F.from_json(b, SCHEMA), fields), whole))
+    return let(json_block(c), read)
 
 
 def items_only(c: Column, default_currency: str = "CAD") -> Column:

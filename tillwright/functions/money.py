@@ -80,19 +80,20 @@ def _unsigned(t: Column) -> Column:
 def normalize_amount(c: Column) -> Column:
     """An amount of a summary line: percents are none, currency marks go, (x) is negative, and of dot and
     comma the later one is the decimal mark; a lone comma is one if two digits follow it at the end."""
-    t, up = F.trim(c), F.upper(F.trim(c))
-    percent = t.contains("%") & ~t.contains("$") & ~up.contains("USD") & ~up.contains("CAD")
-    t = F.regexp_replace(t, r"[^0-9\-().,]", "")
-    negative = t.startswith("(") | t.endswith(")")
-    t = F.regexp_replace(F.regexp_replace(t, r"^\(", ""), r"\)$", "")
-    dot, comma = t.contains("."), t.contains(",")
-    dot_later = F.length(F.substring_index(t, ".", -1)) < F.length(F.substring_index(t, ",", -1))
-    t = (
-        F.when(dot & comma & dot_later, F.replace(t, F.lit(","), F.lit(""))).when(dot & comma, F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(t.rlike(r",\d{2}$"), F.replace(t, F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit("")))
-    )
-    value = _double(t)
-    return F.when(~percent, F.when(negative, -F.abs(value)).otherwise(value))
+    def decimal(t: Column) -> Column:
+        dot, comma = t.contains("."), t.contains(",")
+        dot_later = F.length(F.substring_index(t, ".", -1)) < F.length(F.substring_index(t, ",", -1))
+        dots, commas = F.replace(t, F.lit("."), F.lit("")), F.replace(t, F.lit(","), F.lit(""))
+        pointed = lambda x: F.replace(x, F.lit(","), F.lit("."))
+        return F.when(dot & comma & dot_later, commas).when(dot & comma, pointed(dots)).when(t.rlike(r",\d{2}$"), pointed(t)).otherwise(commas)
+
+    def signed(t: Column) -> Column:
+        bare = F.regexp_replace(t, r"^\(|\)$", "")
+        value = _double(let(bare, decimal))
+        return F.when(t.startswith("(") | t.endswith(")"), -F.abs(value)).otherwise(value)
+
+    percent = c.contains("%") & ~F.upper(c).rlike(r"\$|USD|CAD")
+    return F.when(~percent, let(F.regexp_replace(c, r"[^0-9\-().,]", ""), signed))
 
 
 def parse_money(c: Column) -> Column:
@@ -147,8 +148,8 @@ def rightmost_amount(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Trimmed, white space collapsed; blank and words for nothing are null."""
-    t = F.regexp_replace(F.trim(F.regexp_replace(c.cast("string"), r"\s+", " ")), r"\s+", " ")
-    return F.when(~F.lower(t).isin("", "null", "none", "n/a", "unknown"), t)
+    t = F.trim(F.regexp_replace(c.cast("string"), r"\s+", " "))
+    return let(t, lambda x: F.when(~F.lower(x).isin("", "null", "none", "n/a", "unknown"), x))
 
 
 def normalize_currency(c: Column, default: str = "CAD") -> Column:
@@ -203,7 +204,10 @@ def normalize_word(c: Column) -> Column:
 
 def normalize_date(c: Column) -> Column:
     """yyyy-mm-dd text from Y-M-D, M-D-Y or a month's name; the parts are not checked; else unchanged."""
-    s = clean_text(c)
+    return let(clean_text(c), _date)
+
+
+def _date(s: Column) -> Column:
     n = F.regexp_replace(s, r"[/\\.\s]+", "-")
     two = lambda x: F.lpad(x, 2, "0")
     part = lambda p, i: F.regexp_extract(n, p, i)

@@ -186,17 +186,18 @@ def best_keyword(c: Column, keywords: list[str], most: int = 2) -> Column:
     """struct(keyword, distance): the first keyword that the text contains (distance 0), else the one at
     the least edit distance from the text's letters, digits and percent signs, the first of equals, if
     that is ``most`` or less; else null."""
-    u = F.upper(F.coalesce(c, F.lit("")))
-    squeezed = F.regexp_replace(u, "[^A-Z0-9%]", "")
+    from .money import let
+
     ks = [k.strip().upper() for k in keywords if k and k.strip()]
-    exact = F.lit(None)
-    for k in reversed(ks):
-        exact = F.when(u.contains(k), F.lit(k)).otherwise(exact)
-    near = [F.struct(F.levenshtein(squeezed, F.lit("".join(ch for ch in k if ch.isalnum() or ch == "%"))).alias("distance"), F.lit(i).alias("at"), F.lit(k).alias("keyword")) for i, k in enumerate(ks)]
-    best = F.array_min(F.array(*near))
-    return F.when(exact.isNotNull(), F.struct(exact.alias("keyword"), F.lit(0).alias("distance"))).when(
-        (squeezed != "") & (best["distance"] <= most), F.struct(best["keyword"].alias("keyword"), best["distance"].alias("distance"))
-    )
+
+    def match(u: Column) -> Column:
+        exact = F.get(F.filter(F.array(*map(F.lit, ks)), lambda k: u.contains(k)), F.lit(0))
+        squeezed = F.regexp_replace(u, "[^A-Z0-9%]", "")
+        near = F.array_min(F.transform(F.array(*(F.struct(F.lit(i).alias("at"), F.lit(k).alias("keyword"), F.lit("".join(ch for ch in k if ch.isalnum() or ch == "%")).alias("bare")) for i, k in enumerate(ks))), lambda k: F.struct(F.levenshtein(squeezed, k["bare"]).alias("distance"), k["at"], k["keyword"])))
+        fits = lambda b: F.when((squeezed != "") & (b["distance"] <= most), F.struct(b["keyword"].alias("keyword"), b["distance"].alias("distance")))
+        return F.coalesce(let(exact, lambda e: F.when(e.isNotNull(), F.struct(e.alias("keyword"), F.lit(0).alias("distance")))), let(near, fits))
+
+    return let(F.upper(F.coalesce(c, F.lit(""))), match)
 
 
 def summary_word(c: Column, subtotal: list[str], total: list[str], tax: list[str], most: int = 2) -> Column:

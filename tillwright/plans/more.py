@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import money, text
+from ..functions import money, report, text
 from ..operators import blocks, sequences, tables, validation, workflow
 from ..sources import adapters, ocr
+from . import api
 from .fixtures import MENU, ORACLES, QUERIES, _texts, gold, token_table
 from .queries import ITEMS, RECEIPTS, query
 
@@ -190,4 +191,40 @@ def text_scores(spark, d):
     return t.select("receipt_id", F.round(text.text_score(F.col("text"), F.lit(0.5)), 4).alias("score"))
 
 
+@gold("i, total, subtotal, tax, tip, value", [(0, True, False, False, False, 12.5), (1, True, True, False, False, 10.0), (2, False, False, True, False, 0.5), (3, False, False, False, True, 2.0), (4, False, False, True, False, None), (5, False, False, False, False, None)])
+def summary_lines(spark, d):
+    df = _texts(spark, ["Grand Total $12.50", "SUBTOTAL 10.00", "GST 0.50", "Gratuity 2.00", "GST 5%", "12:30 pm"]).withColumn("r", report.summary_line(F.col("t"), ["GST", "HST", "TAX"]))
+    return df.select("i", "r.total", "r.subtotal", "r.tax", "r.tip", "r.value")
+
+
+@gold("i, line", [(0, "  3 | green tea          B-MENU.NM        0.950"), (1, " 12 | a very long word t O                0.000")])
+def prediction_lines(spark, d):
+    df = spark.createDataFrame([(0, 3, "green  tea", "B-MENU.NM", 0.95), (1, 12, "a very long word that goes on", None, None)], "i int, idx int, word string, label string, conf double")
+    return df.select("i", report.prediction_line(F.col("idx"), F.col("word"), F.col("label"), F.col("conf")).alias("line"))
+
+
+@gold("receipt_id, vendor, address, phone, date", [(1, "CORNER SHOP", "1 MAIN ST", "555", "12/05/2024")])
+def header_entities(spark, d):
+    df = spark.createDataFrame([(1, 0, "HEAD.VENDOR", "CORNER SHOP SHOP"), (1, 5, "HEAD.ADDRESS", "MAIN ST"), (1, 3, "HEAD.ADDRESS", "1"), (1, 7, "HEAD.PHONE", "555"), (1, 8, "HEAD.DATE", "on 12/05/2024 at")], "receipt_id long, start int, kind string, text string")
+    return report.header_fields(df)
+
+
+@gold("total, ok, failed", [(3, 2, 1)])
+def batch_counters(spark, d):
+    return report.batch_summary(spark.createDataFrame([(None,), (None,), ("bad",)], "error string"))
+
+
+@gold("i, total, price, confidence", [(0, 10.5, 0.0, 100.0)])
+def edited_values(spark, d):
+    df = spark.createDataFrame([(0, 10.0, 0.5, -3.0, 140.0)], "i int, s double, t double, p double, c double")
+    return df.withColumn("e", report.clamp_item(F.col("p"), F.col("c"))).select("i", report.edited_total(F.col("s"), F.col("t")).alias("total"), "e.price", "e.confidence")
+
+
+@gold("receipt_id, item_sum, subtotal_ok, total_ok, validation_status, error", [(1, 10.77, True, True, "valid", None), (2, None, None, None, None, "no JSON object")])
+def auto_fix(spark, d):
+    answer = '{"vendor": "X", "items": [{"name": "a", "price": 2.99}, {"name": "b", "price": 4.49}, {"name": "c", "price": 3.29}], "subtotal": 10.77, "tax": 0.54, "total": 11.31}'
+    out = api.post_auto_fix(spark.createDataFrame([(1, answer), (2, "sorry")], "receipt_id long, response string"))
+    return out.select("receipt_id", "item_sum", "subtotal_ok", "total_ok", "validation_status", "error")
+
+
 __all__ = ["ORACLES", "QUERIES"]
