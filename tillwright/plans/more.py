@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import money, report, text
-from ..operators import blocks, sequences, tables, validation, workflow
+from ..operators import blocks, long_blocks, sequences, tables, validation, workflow
 from ..sources import adapters, ocr
 from . import api
 from .fixtures import MENU, ORACLES, QUERIES, _texts, gold, token_table
@@ -227,4 +227,32 @@ def auto_fix(spark, d):
     return out.select("receipt_id", "item_sum", "subtotal_ok", "total_ok", "validation_status", "error")
 
 
+LONG_TOKENS = [
+    ("06038318930", "O", 0.9, 100, 130), ("ORANGE", "B-MENU.NM", 0.9, 200, 130), ("JUICE", "I-MENU.NM", 0.8, 260, 130), ("MRJ", "O", 0.9, 400, 130), ("4.99", "B-MENU.PRICE", 0.9, 700, 130),
+    ("06038300001", "O", 0.9, 100, 170), ("WHITE", "O", 0.9, 200, 170), ("BREAD", "O", 0.9, 260, 170), ("RICE", "O", 0.9, 330, 170), ("CAKES", "O", 0.9, 380, 170), ("2.49", "O", 0.9, 700, 170), ("3.79", "O", 0.9, 760, 170),
+    ("06038300002", "O", 0.9, 100, 210), ("BANANAS", "O", 0.9, 200, 210), ("06038300003", "O", 0.9, 100, 250), ("1.25", "O", 0.6, 700, 250),
+    ("SUBTOTAL", "O", 0.9, 100, 300), ("12.52", "O", 0.9, 700, 300), ("TOTAL", "O", 0.9, 100, 330), ("13.02", "O", 0.9, 700, 330),
+]
+
+
+@gold("receipt_id, item_no, name, price, source", [(1, 1, "ORANGE JUICE", 4.99, "long_block_direct"), (1, 2, "WHITE BREAD", 2.49, "long_block_multi_split"), (1, 3, "RICE CAKES", 3.79, "long_block_multi_split"), (1, 4, "BANANAS", 1.25, "long_block_name_fwd")])
+def items_blocks(spark, d):
+    return long_blocks.extract_block_items(token_table(spark, {1: LONG_TOKENS})).select("receipt_id", "item_no", "name", "price", "source")
+
+
+@gold("receipt_id, name, price", [(1, "ORANGE JUICE", 4.99), (1, "WHITE BREAD", 2.49), (1, "RICE CAKES", 3.79), (1, "BANANAS", 1.25), (1, "WHITE BREAD RICE CAKES", 3.79)])
+def long_receipt_items(spark, d):
+    t = _rowed(spark)
+    return long_blocks.extract_long(t)[0].select("receipt_id", "name", "price")
+
+
+def _rowed(spark):
+    return token_table(spark, {1: LONG_TOKENS}).withColumn("row_id", ((F.col("y1") - 125) / 10).cast("int"))
+
+
+@gold("receipt_id, subtotal, tax, total", [(1, 12.52, 0.5, 13.02)])
+def long_receipt_summary(spark, d):
+    return long_blocks.extract_long(_rowed(spark))[1].select("receipt_id", "subtotal", "tax", "total")
+
+
 __all__ = ["ORACLES", "QUERIES"]
