@@ -80,13 +80,14 @@ def fit(x: np.ndarray, y: np.ndarray, r: np.ndarray, seed: int = 3) -> tuple[np.
     scale = r / max(1e-6, np.abs(r).max())
     w, bias, a, q, ab, qb, step = np.zeros(x.shape[1]), 0.0, 0.0, 0.0, 0.0, 0.0, 0
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    decay = 2e-4 * max(1.0, 4000 / len(y))  # few rows, stronger regularisation
     for epoch in range(EPOCHS):
         for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // 128)):
             step += 1
             b = x[at].astype(np.float32) * scale.astype(np.float32)
             p = 1 / (1 + np.exp(-np.clip(b @ w + bias, -40, 40)))
             g = (p - y[at]) * weight[at] / len(at)
-            gw, gb = b.T @ g + 2e-4 * w, g.sum()
+            gw, gb = b.T @ g + decay * w, g.sum()
             a, q = 0.9 * a + 0.1 * gw, 0.999 * q + 0.001 * gw * gw
             ab, qb = 0.9 * ab + 0.1 * gb, 0.999 * qb + 0.001 * gb * gb
             rate = 0.05 * (1 - epoch / EPOCHS) + 0.001
