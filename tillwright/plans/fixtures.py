@@ -14,8 +14,8 @@ from ..sources import adapters
 from .queries import ORACLES, QUERIES, query
 
 
-def gold(columns: str, rows: list[tuple]):
-    """Register with the expected rows as SQL."""
+def gold(columns: str, rows: list[tuple], **types: str):
+    """Register with the expected rows as SQL. ``types``: of columns whose literals have another type."""
 
     def show(v) -> str:
         if v is None:
@@ -24,7 +24,9 @@ def gold(columns: str, rows: list[tuple]):
             return str(v).upper()
         return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
 
-    return query(f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({columns})")
+    kinds = {"receipt_id": "BIGINT"} | types
+    named = ", ".join(f"{c}::{kinds[c]} AS {c}" if c in kinds else c for c in columns.split(", "))
+    return query(f"SELECT {named} FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({columns})")
 
 
 def _texts(spark: SparkSession, values: list) -> DataFrame:
@@ -214,7 +216,7 @@ def items_mixed(spark, d):
     return items.extract_items(token_table(spark, {1: words}), "mixed").select("receipt_id", "item_no", "name", "price", "source")
 
 
-@gold("receipt_id, subtotal, tax, total, pattern, n_items", [(1, 7.48, None, 7.48, "name_then_price", 2)])
+@gold("receipt_id, subtotal, tax, total, pattern, n_items", [(1, 7.48, None, 7.48, "name_then_price", 2)], tax="DOUBLE")
 def summary_extract(spark, d):
     out = items.extract_summary(token_table(spark, {1: MENU[1]}))
     return out.select("receipt_id", F.round("subtotal", 2).alias("subtotal"), F.round("tax", 2).alias("tax"), "total", "pattern", "n_items")
@@ -266,13 +268,13 @@ def summary_boundary(spark, d):
     return sequences.summary_start(token_table(spark, {1: MENU[1], 2: MENU[2]}))
 
 
-@gold("receipt_id, item_no, item_name, price, conf_mean", [(1, 1, "GREEN TEA", 2.99, 0.8667), (1, 2, "MILK", 4.49, 0.9)])
+@gold("receipt_id, item_no, item_name, price, conf_mean", [(1, 1, "GREEN TEA", 2.99, 0.8667), (1, 2, "MILK", 4.49, 0.9)], item_no="BIGINT")
 def reconstruct_items(spark, d):
     return sequences.reconstruct(token_table(spark, {1: MENU[1]})).select("receipt_id", "item_no", "item_name", "price", "conf_mean")
 
 
 @query("""WITH w AS (SELECT doc_id AS receipt_id, generate_subscripts(l, 1) - 1 AS idx FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS l FROM documents))
-SELECT receipt_id, c AS chunk, count(*) AS n FROM w, unnest(range(0, 200)) t(c) WHERE idx >= c * 272 AND idx < c * 272 + 400 GROUP BY ALL""")
+SELECT receipt_id, c::INT AS chunk, count(*) AS n FROM w, unnest(range(0, 200)) t(c) WHERE idx >= c * 272 AND idx < c * 272 + 400 GROUP BY ALL""")
 def chunk_windows(spark, d):
     words = adapters.read(spark, d, "documents").select(F.col("doc_id").alias("receipt_id"), F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("idx", "word"))
     return sequences.chunk_windows(words).groupBy("receipt_id", "chunk").agg(F.count("*").alias("n"))

@@ -146,7 +146,7 @@ def export_json(spark, d):
     return tables.json_rows(adapters.receipts(spark, d).select("receipt_id", "status", "total"))
 
 
-@gold("receipt_id, status, review, run, refused", [(1, "Processed", "approved", 7, 1), (2, "Pending", "not_requested", None, 1), (3, "Pending", "approved", 5, 0)])
+@gold("receipt_id, status, review, run, refused", [(1, "Processed", "approved", 7, 1), (2, "Pending", "not_requested", None, 1), (3, "Pending", "approved", 5, 0)], run="BIGINT")
 def workflow_fold(spark, d):
     log = [(1, 1, "save", None), (1, 2, "stage_run", 7), (1, 3, "ui_approve", None), (1, 4, "fail", None), (2, 1, "reject_run", 3), (3, 1, "stage_run", 5), (3, 2, "reject_run", 5), (3, 3, "approve_run", 5)]
     return workflow.fold_events(spark.createDataFrame(log, "receipt_id long, seq long, action string, llm_run_id long"))
@@ -209,7 +209,7 @@ def header_entities(spark, d):
     return report.header_fields(df)
 
 
-@gold("total, ok, failed", [(3, 2, 1)])
+@gold("total, ok, failed", [(3, 2, 1)], total="BIGINT", ok="BIGINT", failed="BIGINT")
 def batch_counters(spark, d):
     return report.batch_summary(spark.createDataFrame([(None,), (None,), ("bad",)], "error string"))
 
@@ -220,7 +220,7 @@ def edited_values(spark, d):
     return df.withColumn("e", report.clamp_item(F.col("p"), F.col("c"))).select("i", report.edited_total(F.col("s"), F.col("t")).alias("total"), "e.price", "e.confidence")
 
 
-@gold("receipt_id, item_sum, subtotal_ok, total_ok, validation_status, error", [(1, 10.77, True, True, "valid", None), (2, None, None, None, None, "no JSON object")])
+@gold("receipt_id, item_sum, subtotal_ok, total_ok, validation_status, error", [(1, 10.77, True, True, "valid", None), (2, None, None, None, None, "no JSON object")], item_sum="DECIMAL(28,2)")
 def auto_fix(spark, d):
     answer = '{"vendor": "X", "items": [{"name": "a", "price": 2.99}, {"name": "b", "price": 4.49}, {"name": "c", "price": 3.29}], "subtotal": 10.77, "tax": 0.54, "total": 11.31}'
     out = api.post_auto_fix(spark.createDataFrame([(1, answer), (2, "sorry")], "receipt_id long, response string"))
