@@ -83,12 +83,16 @@ def outlier_status(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def subtotal_check(receipts: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Sum of positive prices against the receipt's subtotal: PASS, WARNING, FAIL, or SKIPPED without one."""
     sums = items.filter("price > 0").groupBy("receipt_id").agg(F.sum("price").alias("items_total"))
-    got = receipts.select("receipt_id", "subtotal").join(sums, "receipt_id", "left").withColumn("items_total", F.coalesce("items_total", F.lit(0)).cast("decimal(28,2)"))
+    return _checked(receipts.select("receipt_id", "subtotal").join(sums, "receipt_id", "left"), rules)
+
+
+def _checked(got: DataFrame, rules: Rules, *more: str) -> DataFrame:
+    got = got.withColumn("items_total", F.coalesce("items_total", F.lit(0)).cast("decimal(28,2)"))
     gap = F.col("items_total") - F.col("subtotal")
     # of a subtotal of 0 the percentage is 0; compared without division, so exactly
     within = lambda pct: (F.col("subtotal") == 0) | (F.abs(gap) * 100 < F.abs("subtotal") * F.lit(pct).cast("decimal(6,2)"))
     status = F.when(F.col("subtotal").isNull(), "SKIPPED").when(within(rules.pass_pct), "PASS").when(within(rules.warn_pct), "WARNING").otherwise("FAIL")
-    return got.select("receipt_id", "subtotal", "items_total", F.when(F.col("subtotal").isNotNull(), gap).cast("decimal(28,2)").alias("discrepancy"), status.alias("subtotal_status"))
+    return got.select("receipt_id", "subtotal", "items_total", F.when(F.col("subtotal").isNotNull(), gap).cast("decimal(28,2)").alias("discrepancy"), status.alias("subtotal_status"), *more)
 
 
 def has_artifact(name: Column) -> Column:
@@ -98,28 +102,41 @@ def has_artifact(name: Column) -> Column:
     return out
 
 
-def name_quality(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Items with issues of their name: misread characters, digits, length, confidence (null is 1)."""
+def _name_issues(items: DataFrame, rules: Rules) -> dict[str, Column]:
     name = F.coalesce("item_name", F.lit(""))
     conf = F.coalesce(F.expr("try_cast(conf_mean as double)"), F.lit(1.0)) if "conf_mean" in items.columns else F.lit(1.0)
     digits = F.length(F.regexp_replace(name, r"\P{Nd}", ""))
     ratio = F.when(F.length(name) > 0, digits / F.length(name)).otherwise(F.lit(0.0))
-    found = items.withColumns({
+    return {
         "artifact": has_artifact(name), "digit_heavy": ratio > rules.digit_ratio, "too_short": F.length(name) < rules.shortest,
         "too_long": F.length(name) > rules.longest, "low_conf": conf < rules.least_conf,
-    })
-    return found.filter("artifact or digit_heavy or too_short or too_long or low_conf")
+    }
 
 
-def price_ranges(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Suspicious prices; the first rule that holds names the reason. Null prices pass."""
+def _name_issue(items: DataFrame, rules: Rules) -> Column:
+    out = F.lit(False)
+    for c in _name_issues(items, rules).values():
+        out = out | c
+    return out
+
+
+def name_quality(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Items with issues of their name: misread characters, digits, length, confidence (null is 1)."""
+    return items.withColumns(_name_issues(items, rules)).filter("artifact or digit_heavy or too_short or too_long or low_conf")
+
+
+def _range_reason(rules: Rules) -> Column:
     p, shown = F.col("price"), F.format_string("$%.2f", F.col("price").cast("double"))
-    reason = (
+    return (
         F.when(p <= 0, "Price <= 0 (likely OCR error)").when(p < rules.low_price, F.concat(F.lit("Very low price: "), shown))
         .when(p > rules.high_price, F.concat(F.lit("Suspiciously high: "), shown))
         .when((p > rules.special_price) & F.upper("item_name").contains(rules.special_word), F.concat(F.lit("Item '"), "item_name", F.lit("' too expensive: "), shown))
     )
-    return items.withColumn("reason", reason).filter("reason is not null")
+
+
+def price_ranges(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Suspicious prices; the first rule that holds names the reason. Null prices pass."""
+    return items.withColumn("reason", _range_reason(rules)).filter("reason is not null")
 
 
 def label_sequence(items: DataFrame) -> DataFrame:
@@ -132,12 +149,23 @@ def label_sequence(items: DataFrame) -> DataFrame:
 
 def validate_all(receipts: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """A row per receipt: status of each check, counts, and the recommendations in order."""
-    per = lambda df, name: df.groupBy("receipt_id").agg(F.count("*").alias(name))
-    names = lambda df, name, n: df.groupBy("receipt_id").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("line_no", "item_name"))), 1, n), lambda x: x["item_name"]).alias(name))
-    out = subtotal_check(receipts, items, rules)
-    outliers, bad = price_outliers(items, rules), problematic_items(items, rules)
-    for df in (per(outliers, "outliers_count"), per(name_quality(items, rules), "name_quality_issues"), per(price_ranges(items, rules), "price_range_warnings"), names(bad, "problem_names", 3), names(outliers, "outlier_names", 2)):
-        out = out.join(df, "receipt_id", "left")
+    w, p = _each(), F.when(F.col("price") > 0, F.col("price").cast("double"))
+    at = lambda k: F.get("sorted", F.floor(F.col("n") * k / 4).cast("int"))
+    rated = items.withColumns({"p": p, "n": F.count(p).over(w), "mean": F.avg(p).over(w), "sd": F.coalesce(F.stddev_samp(p).over(w), F.lit(0.0)), "sorted": F.sort_array(F.collect_list(p).over(w))})
+    rated = rated.withColumns({"q1": at(1), "q3": at(3)}).drop("sorted")
+    span, off = F.col("q3") - F.col("q1"), F.abs(F.col("p") - F.col("mean"))
+    far = (F.col("sd") > 0) & (off / F.col("sd") > rules.outlier_sd)
+    beyond = (F.col("p") < F.col("q1") - rules.fence * span) | (F.col("p") > F.col("q3") + rules.fence * span)
+    outlier = F.coalesce((F.col("n") >= 3) & (far | beyond), F.lit(False))
+    problem = F.coalesce((F.col("sd") > 0) & (off > rules.problem_sd * F.col("sd")), F.lit(False))
+    count = lambda c: F.count(F.when(c, 1))
+    names = lambda c, k: F.transform(F.slice(F.array_sort(F.collect_list(F.when(c, F.struct("line_no", "item_name")))), 1, k), lambda x: x["item_name"])
+    # one exchange by receipt_id serves the windows and this aggregate
+    found = rated.groupBy("receipt_id").agg(
+        count(outlier).alias("outliers_count"), count(_name_issue(items, rules)).alias("name_quality_issues"), count(_range_reason(rules).isNotNull()).alias("price_range_warnings"),
+        names(problem, 3).alias("problem_names"), names(outlier, 2).alias("outlier_names"), F.sum(F.when(F.col("price") > 0, F.col("price"))).alias("items_total"),
+    )
+    out = _checked(receipts.select("receipt_id", "subtotal").join(found, "receipt_id", "left"), rules, "outliers_count", "name_quality_issues", "price_range_warnings", "problem_names", "outlier_names")
     out = out.fillna(0, ["outliers_count", "name_quality_issues", "price_range_warnings"])
     listed = lambda c: F.concat(F.lit("['"), F.array_join(c, "', '"), F.lit("']"))
     # fixed values: the wording of the recommendations
