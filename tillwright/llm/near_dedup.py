@@ -41,7 +41,9 @@ LONGS = HASHES * BITS // 64
 MARGIN = 0.22
 #: Classes of one bucket, and shingles of one rough component, in one block of a comparison.
 BLOCK = 1024
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 300_000
+#: Links that one task contracts.
+LOCAL_LINKS = 1_000_000
 _RNG = np.random.default_rng(20_240_101)
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -185,15 +187,43 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of the links (a, b): label is the smallest node it can reach.
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of one task as stars: each node with the smallest that it reaches by these links."""
+    parent: dict[int, int] = {}
 
-    Large-star and small-star steps in turn (each node hands its neighbours the smallest it knows)
-    until the links are stars; each step reads a written table.
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            a, c = find(u), find(v)
+            if a != c:
+                parent[max(a, c)] = min(a, c)
+    stars = [(x, r) for x in parent if (r := find(x)) != x]
+    if stars:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*stars)], ["u", "v"])
+
+
+def components(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
+    """(node, label) of every node of the links (a, b) but the smallest of each component: label is
+    that smallest node.
+
+    Links are first contracted to stars inside tasks of about ``local`` links. If that took one task, it
+    is done. Otherwise large-star and small-star steps (each node hands its neighbours the smallest it
+    knows) alternate with it until the links no longer change; each step reads a written table.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    mark = None
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    now, mark = materialize(now, "links"), None
     while True:
+        tasks = max(1, -(-now.count() // local))
+        now = materialize(now.repartition(tasks).mapInArrow(_local_stars, "u long, v long").distinct(), "stars")
+        if tasks == 1:
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -232,6 +262,9 @@ def _forest(batches: Iterator[pa.RecordBatch], least: int, percent: int | None)
             return
         sig = np.array([r[3] for r in held], np.int64).view(np.uint64)
         size = np.array([len(r[4]) for r in held]) if percent else None
+        if percent:  # the sets' members by number: those of one row are marked, and counted in all rows at once
+            numbers = np.unique(np.concatenate([r[4] for r in held]), return_inverse=True)[1]
+            starts, mark = np.cumsum(size) - size, np.zeros(numbers.max() + 1, np.int32)
         place = np.arange(len(held))
         for i in range(len(held)):
             if block[i] != p:
@@ -247,13 +280,15 @@ def _forest(batches: Iterator[pa.RecordBatch], least: int, percent: int | None)
             for s in range(1, BITS):
                 y |= x >> _U(s)
             to = to[HASHES - np.bitwise_count(y & _U(_NIBBLES)).sum(axis=1, dtype=np.int64) >= least]
+            if percent and len(to):
+                mine = numbers[starts[i] : starts[i] + size[i]]
+                mark[mine] = 1
+                both = np.add.reduceat(mark[numbers], starts)[to]
+                mark[mine] = 0
+                to = to[100 * both >= percent * (size[to] + size[i] - both)]
             for k in to:
                 if root[k] == root[i] or rep[k] == rep[i]:
                     continue
-                if percent:
-                    both = len(np.intersect1d(held[i][4], held[k][4], assume_unique=True))
-                    if 100 * both < percent * (size[i] + size[k] - both):
-                        continue
                 found.append((int(rep[i]), int(rep[k])))
                 root[root == root[k]] = root[i]
 
