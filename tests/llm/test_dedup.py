@@ -128,6 +128,26 @@ def test_near_group_where_neighbours_differ(spark, monkeypatch):
     assert sorted([tuple(r) for r in near_dedup.near_duplicates(df, words=4).collect()], key=repr) == brute_near(data, 4)
 
 
+def test_near_pairs_that_meet_at_a_foreign_hub_only(spark):
+    """The smallest document holds the words that give the others their minima: it is the hub of every
+    bucket they share, yet unlike them."""
+    data = []
+    for f in range(3):
+        base = [f"w{f}x{i}" for i in range(400)]
+        family = [base, base[:-20], base[20:-10]]
+        least = set()
+        for w in family:
+            at = {int(near_dedup.shingles(x, 1)[0]): x for x in w}
+            hashes = np.array(list(at), np.uint64)
+            least |= {at[int(hashes[np.argmin(hashes * near_dedup._A[k] + near_dedup._B[k])])] for k in range(near_dedup.HASHES)}
+        texts = [sorted(least), *family]
+        data += [(10 * f + i, " ".join(w), "en", "s", 1) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute_near(data, 1)
+    assert [i for i, _, _, kept in sorted(want) if kept] == [0, 1, 10, 11, 20, 21]
+    assert sorted([tuple(r) for r in near_dedup.near_duplicates(df, words=1).collect()], key=repr) == want
+
+
 def test_near_empty_and_stage(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
     df = frame(spark, True)

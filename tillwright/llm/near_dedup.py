@@ -343,6 +343,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     stars_too = first.select(F.col("node").alias("a"), F.col("label").alias("b"))
     # what may be linked lies in one rough component; where that has several labels, full sets decide
     rough = components(rough.unionByName(stars_too)).withColumnRenamed("label", "rough")
+    rough = rough.unionByName(rough.select(F.col("rough").alias("node"), "rough").distinct())  # the smallest too
     inside = rough.join(first, "node", "left").select(F.col("node").alias("rep"), "rough", F.coalesce("label", "node").alias("label"))
     several = inside.groupBy("rough").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("rough")
     inside = inside.join(several, "rough", "left_semi").join(sigs, "rep").join(sets, "rep").select("rough", "rep", "label", "sig", "set")
