@@ -25,6 +25,19 @@ def test_shared_lines_of_unmarked_pages_go():
     assert text(a, [a]) == text(a)  # a copy says nothing about the frame
 
 
+def test_difference_decides_inside_and_outside_of_landmarks():
+    def page(x, n=2):
+        return f"<div>Menu</div><article><h2>Teaser {x}</h2><p>Follow us</p><p>a {x}<p>" + "<p>".join(f"{x} {i}" for i in range(n)) + f"<p>Quoted<p>more {x}<p>end {x}<p>Read on</p></article><div>Story of {x}</div><div>Imprint</div>"
+
+    near = [page("b", 3), page("c", 5)]
+    assert text(page("a"), near) == "Teaser a\n\na a\n\na 0\n\na 1\n\nmore a\n\nend a\n\nStory of a"
+    assert text(page("a"), near[:1]) == "Teaser a\n\nFollow us\n\na a\n\na 0\n\na 1\n\nQuoted\n\nmore a\n\nend a\n\nRead on\n\nStory of a"
+    moved = [x.replace("<p>Quoted", "").replace("<article>", "<article><p>Quoted") for x in near]
+    assert "Quoted" in text(page("a"), moved)  # a quotation stands anywhere
+    versions = [page("a").replace("end a", f"end {i}") for i in range(2)]
+    assert "a 1" in text(page("a"), versions)  # as versions of a page say nothing about its frame
+
+
 @pytest.mark.parametrize("html", [None, "", "plain words", "<", "a < b", "<p", "<p title='x>", "&amp", "<script>x", "</p></div>", "<p>" * 3000 + "deep", "x" * 100_000])
 def test_odd_input(html):
     assert isinstance(text(html), str)

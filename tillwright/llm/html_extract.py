@@ -6,8 +6,10 @@ with those of the page before and after it by longest common subsequence, and sh
 deleted: what pages of a site have in common is its frame. Two checks bound what differencing decides.
 Lines that stand in an element that says what it is not (nav, header outside of the article, footer,
 aside, form, script, style, or a class, id or role of an advert, menu, notice, comment and the like)
-are deleted though no other page has them; lines inside an article or main element are kept though
-another page quotes them. So an only page of its host, or a copy of its neighbour, is extracted too.
+are deleted though no other page has them; lines inside an article or main element are deleted only
+where the pages on both sides have them at the same place of their content, so that a passage which
+pages quote stays. Lines outside of such an element stay unless a neighbour shares them. An only page of
+its host, or a copy of its neighbour, is compared with nothing and keeps all but its frame elements.
 
 Pages are dealt once by ranges of (host, path, page_id) and streamed in order, one page held back; a
 page at the edge of a range is compared with its neighbour inside the range only.
@@ -159,17 +161,31 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+def _template(page: list[tuple[str, int]], near: list[set[int]], others: list[list[tuple[str, int]]]) -> set[int]:
+    """Places of content lines that neighbours on both sides have at the same place of their content,
+    counted from its start or from its end. A neighbour with half of the content is a version of the page."""
+    places = [i for i, (_, k) in enumerate(page) if k == 1]
+    size = sum(len(page[i][0]) for i in places)
+    if len(others) < 2 or any(2 * sum(len(page[i][0]) for i in places if i in both) > size for both in near):
+        return set()
+    content = [[t for t, k in other if k == 1] for other in others]
+    out = set()
+    for n, i in enumerate(places):
+        at, line = (n, n - len(places)), page[i][0]
+        if all(i in both for both in near) and any(all(-len(c) <= j < len(c) and c[j] == line for c in content) for j in at):
+            out.add(i)
+    return out
+
+
 def main_text(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> str:
-    """The page's lines less those shared with a neighbour or in a frame; lines in content stay. Where
-    a page has content elements, text outside of them stays only if it is nowhere else and there is none inside."""
+    """The page's lines less those in a frame, those outside of content that a neighbour shares, and
+    those in content that the neighbours on both sides have at the same place."""
     texts = [t for t, _ in page]
-    gone: set[int] = set()
-    for other in neighbours:
-        theirs = [t for t, _ in other]
-        if theirs != texts:
-            gone |= shared(texts, theirs)
-    content = any(k == 1 for _, k in page)
-    kept = [t for i, (t, k) in enumerate(page) if k == 1 or (k == 0 and not content and i not in gone)]
+    others = [other for other in neighbours if [t for t, _ in other] != texts]
+    near = [shared(texts, [t for t, _ in other]) for other in others]
+    gone = set().union(*near)
+    template = _template(page, near, others)
+    kept = [t for i, (t, k) in enumerate(page) if k == 1 and i not in template or k == 0 and i not in gone]
     return "\n\n".join(kept)
 
 
