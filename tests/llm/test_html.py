@@ -38,6 +38,19 @@ def test_difference_decides_inside_and_outside_of_landmarks():
     assert "a 1" in text(page("a"), versions)  # as versions of a page say nothing about its frame
 
 
+def test_article_text_under_a_frame_word_stays():
+    own = ['<section id="discussion"><p>one</p></section>', '<h2 id="related-work">two</h2>', '<h2 id="how-to-register">three</h2>', '<h3 class="notice">four</h3>', '<p class="notice-of-motion">five</p>', '<div class="side-by-side">six</div>', '<figure class="social-history">seven</figure>', '<p>eight <a class="related">nine</a></p>']
+    want = "one\n\ntwo\n\nthree\n\nfour\n\nfive\n\nsix\n\nseven\n\neight nine"
+    assert text(f"<article>{''.join(own)}<div class='x share'>gone</div></article>") == want
+    assert text("".join(own) + "<div class='site-footer'>gone</div><p class='ad'>gone") == want
+    # omitted end tags
+    assert text("<div class='notice'>gone<p>gone</div><p>stays") == "stays"
+    for before in ("", "<main>"):
+        assert text(before + "<p style='display:none'>gone<p>a<h2>b</h2><ul><li aria-hidden=true>gone<li>c<ul><li>d</ul><li>e</ul>") == "a\n\nb\n\nc\n\nd\n\ne"
+        assert text(before + "<dl><dt aria-hidden=true>gone<dd>f</dl><table><tr><td aria-hidden=true>gone<td>g<tr aria-hidden=true><td>gone<tr><td>h</table>") == "f\n\ng\n\nh"
+        assert text(before + "<div><p aria-hidden=true>gone</div>i") == "i"
+
+
 @pytest.mark.parametrize("html", [None, "", "plain words", "<", "a < b", "<p", "<p title='x>", "&amp", "<script>x", "</p></div>", "<p>" * 3000 + "deep", "x" * 100_000])
 def test_odd_input(html):
     assert isinstance(text(html), str)

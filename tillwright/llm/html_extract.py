@@ -5,11 +5,12 @@ most similar addresses. Each page is cut into lines (the text of its blocks); it
 with those of the page before and after it by longest common subsequence, and shared lines are
 deleted: what pages of a site have in common is its frame. Two checks bound what differencing decides.
 Lines that stand in an element that says what it is not (nav, header outside of the article, footer,
-aside, form, script, style, or a class, id or role of an advert, menu, notice, comment and the like)
-are deleted though no other page has them; lines inside an article or main element are deleted only
-where the pages on both sides have them at the same place of their content, so that a passage which
-pages quote stays. Lines outside of such an element stay unless a neighbour shares them. An only page of
-its host, or a copy of its neighbour, is compared with nothing and keeps all but its frame elements.
+aside, form, script, style, or a container with a class, id or role of an advert, menu, notice, comment
+and the like: inside of an article by whole names only, never by an id) are deleted though no other page
+has them; lines inside an article or main element are deleted only where the pages on both sides have
+them at the same place of their content, so that a passage which pages quote stays. Lines outside of such
+an element stay unless a neighbour shares them. An only page of its host, or a copy of its neighbour, is
+compared with nothing and keeps all but its frame elements.
 
 Pages are dealt once by ranges of (host, path, page_id) and streamed in order, one page held back; a
 page at the edge of a range is compared with its neighbour inside the range only.
@@ -38,6 +39,18 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FRAME = frozenset("nav footer aside form menu dialog fieldset".split())
 CONTENT = frozenset(("article", "main"))
+#: Elements that group others, and those that are never a frame by their name.
+CONTAINERS = frozenset("center details div dl header ol section table tbody td tr ul".split())
+NEVER = frozenset("body article main h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Start tags that end an open element: (elements ended, elements that they are not sought beyond).
+_CELLS = frozenset("td th caption".split())
+ENDS = (
+    {"li": (frozenset(["li"]), frozenset("ul ol menu dir".split())), "tr": (frozenset(["tr", "caption"]), frozenset(["table"]))}
+    | {t: (frozenset(["dd", "dt"]), frozenset(["dl"])) for t in ("dd", "dt")}
+    | {t: (_CELLS, frozenset(["table"])) for t in ("td", "th")}
+    | {t: (frozenset("tbody thead tfoot caption".split()), frozenset(["table"])) for t in ("tbody", "thead", "tfoot")}
+)
+_OPEN_P = (frozenset(["p"]), BLOCKS - {"p"})
 #: Words of a class, id or role that say an element is not the article.
 NOT_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside "
@@ -50,14 +63,23 @@ _SPACE = re.compile(r"\s+")
 
 
 def _is_frame(tag: str, attributes: str, in_content: bool) -> bool:
+    """Whether an element is no part of the article. By a class or role: inside content only a container
+    one of whose tokens is a frame name as a whole; elsewhere also a container with such a word in a token
+    of two at most, or in its id, and other blocks by whole tokens. Headings and sections' ids say nothing."""
     if tag in FRAME or (tag == "header" and not in_content):
         return True
     if not attributes or "=" not in attributes:
         return False
     for name, value in _MARK.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and not NOT_ARTICLE.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        if name in ("class", "id", "role") and tag in BLOCKS and tag not in NEVER:
+            holds = tag in CONTAINERS
+            if name == "id" and (in_content or not holds or tag == "section") or in_content and not holds:
+                continue
+            for token in value.split():
+                words = [w for w in re.split(r"[^a-z]+", token) if w]
+                if token in NOT_ARTICLE or holds and not in_content and len(words) <= 2 and not NOT_ARTICLE.isdisjoint(words):
+                    return True
         if name == "style" and re.search(r"display\s*:\s*none", value) or name == "aria-hidden" and value == "true":
             return True
     return False
@@ -68,7 +90,7 @@ def lines(html: str | None) -> list[tuple[str, int]]:
     html = html or ""
     out: list[tuple[str, int]] = []
     text: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements that matter: (tag, kind inside it)
+    stack: list[tuple[str, int]] = []  # open blocks and elements that matter: (tag, kind around it)
     kind, at, n = 0, 0, len(html)
 
     def end() -> None:
@@ -78,6 +100,16 @@ def lines(html: str | None) -> list[tuple[str, int]]:
             if line:
                 out.append((line, kind))
 
+    def implied(tags: frozenset[str], scope: frozenset[str]) -> None:
+        nonlocal kind
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in tags:
+                kind = stack[i][1]
+                del stack[i:]
+                return
+            if stack[i][0] in scope:
+                return
+
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -115,6 +147,10 @@ def lines(html: str | None) -> list[tuple[str, int]]:
                     del stack[i:]
                     break
             continue
+        if tag in BLOCKS:
+            implied(*_OPEN_P)
+            if tag in ENDS:
+                implied(*ENDS[tag])
         if tag in VOID or m[4].endswith("/"):
             continue
         inside = kind
@@ -123,7 +159,7 @@ def lines(html: str | None) -> list[tuple[str, int]]:
                 inside = -1
             elif tag in CONTENT:
                 inside = 1
-        if inside != kind or any(t == tag for t, _ in stack):
+        if tag in BLOCKS or inside != kind or any(t == tag for t, _ in stack):
             if tag not in BLOCKS:
                 end()
             stack.append((tag, kind))
