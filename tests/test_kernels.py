@@ -98,3 +98,20 @@ def test_fold_events(spark):
 
 def test_page_numbers():
     assert tables.page_numbers(1, 3) == [1, 2, 3] and tables.page_numbers(5, 20) == [3, 4, 5, 6, 7] and tables.page_numbers(20, 20) == [16, 17, 18, 19, 20]
+
+
+def test_multi_key_match_takes_the_best_right_row_of_a_key_before_the_join(spark):
+    rng = random.Random(8)
+    keys = [None, "", "hot", "hot", "hot", "a", "b", "c"]
+    left = [(i, rng.choice(keys), rng.choice(keys)) for i in range(60)]
+    right = [(i, rng.choice(keys), rng.choice(keys)) for i in range(40, 70)]
+    l_, r_ = spark.createDataFrame(left, "id long, a string, b string"), spark.createDataFrame(right, "rid long, k string, j string")
+    out = workflow.multi_key_match(l_, r_, "id", [F.col("a"), F.col("b")], [F.col("k"), F.col("j")])
+    want = {}
+    for i, *mine in left:
+        hits = [(lp, rp, r[0]) for lp, key in enumerate(mine) if key for r in right for rp, k in enumerate(r[1:]) if k == key]
+        want[i] = min(hits)[2] if hits else None
+    assert {r.id: r.m_rid for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join Inner")
+    assert "Aggregate [rkey" in plan[join:]  # else a key of n rows on either side makes n * n pairs

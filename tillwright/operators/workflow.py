@@ -198,12 +198,13 @@ def position_join(left: DataFrame, right: DataFrame, key: str, order: str) -> Da
 
 def multi_key_match(left: DataFrame, right: DataFrame, left_id: str, keys: list[Column], right_keys: list[Column]) -> DataFrame:
     """Each left row with the right row that shares its first key that any has: candidate keys in order
-    of preference, an equi-join on them, the best pair by (left preference, right preference)."""
+    of preference, an equi-join on them, the best pair by (left preference, right preference). The right
+    side is first brought to its best row per key, so that a hot key costs each left row one pair."""
     l_ = left.select(F.col(left_id).alias("l_id"), F.posexplode(F.array(*keys)).alias("lp", "key")).filter("key is not null and key <> ''")
-    r_ = right.select("*", F.posexplode(F.array(*right_keys)).alias("rp", "rkey"))
-    hit = l_.join(r_, l_["key"] == r_["rkey"])
-    rest = [c for c in right.columns]
-    best = hit.groupBy("l_id").agg(F.min_by(F.struct(*rest), F.struct("lp", "rp", *rest)).alias("r"))
+    rest = right.columns
+    r_ = right.select(F.struct(*rest).alias("row"), F.posexplode(F.array(*right_keys)).alias("rp", "rkey")).filter("rkey is not null and rkey <> ''")
+    r_ = r_.groupBy("rkey").agg(F.min(F.struct("rp", "row")).alias("hit"))
+    best = l_.join(r_, l_["key"] == r_["rkey"]).groupBy("l_id").agg(F.min_by("hit.row", F.struct("lp", "hit")).alias("r"))
     return left.join(best, left[left_id] == best["l_id"], "left").select(left["*"], *(F.col(f"r.{c}").alias(f"m_{c}") for c in rest))
 
 

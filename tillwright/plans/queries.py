@@ -378,6 +378,14 @@ def multi_key_match(spark, d):
     return workflow.multi_key_match(left, right, "receipt_id", [F.col("source_id"), F.col("job_id")], [F.col("k")]).select("receipt_id", "m_id")
 
 
+@query(f"""WITH {RECEIPTS}, r AS (SELECT CASE WHEN receipt_id % 4 = 0 THEN source_id ELSE job_id END AS k, min(receipt_id) AS id FROM receipts GROUP BY 1)
+SELECT receipt_id, coalesce(a.id, b.id) AS m_id FROM receipts l LEFT JOIN r a ON l.source_id = a.k LEFT JOIN r b ON l.job_id = b.k""")
+def multi_key_match_all(spark, d):
+    r = adapters.receipts(spark, d)
+    right = r.select(F.col("receipt_id").alias("id"), F.when(F.col("receipt_id") % 4 == 0, F.col("source_id")).otherwise(F.col("job_id")).alias("k"))
+    return workflow.multi_key_match(r.select("receipt_id", "source_id", "job_id"), right, "receipt_id", [F.col("source_id"), F.col("job_id")], [F.col("k")]).select("receipt_id", "m_id")
+
+
 _LINES = """ln AS (SELECT doc_id AS receipt_id, i - 1 AS pos, trim(ls[i]) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) t(i)), tl AS (SELECT * FROM ln WHERE line <> '')"""
 
 
