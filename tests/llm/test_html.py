@@ -83,3 +83,19 @@ def test_pages(spark):
             assert {r.page_id: r.text for r in got if r.page_id is not None and r.page_id < 50} == {i: f"body of {i}" for i in range(20)}
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert h.extract(df.filter("false")).count() == 0
+
+
+def test_texts_do_not_depend_on_the_partitions(spark):
+    rows = [(i if i % 7 else None, f"https://h{i // 15}.example/{i:03}", f"<div>Menu {i // 15}</div><article><p>Byline<p>a {i}<p>b {i}<p>c {i}</article><div>Imprint</div>") for i in range(60)]
+    rows += [rows[3], rows[20], (90, None, None), (91, None, "<p>x"), (92, "not a url", "<p>x<p>y"), (93, "https://lone.example/ü", PAGE)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {}
+    try:
+        for parts in (1, 2, 3, 7, 30, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got[parts] = sorted(map(tuple, h.extract(df.repartition(1 + parts % 5)).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got[1]) == len(rows) and all(x == got[1] for x in got.values())
+    assert sum("Menu" in r[2] for r in got[1]) == 0
+    assert sum("Byline" in r[2] for r in got[1]) == 8 + 4  # the first and last of a host, and both rows beside or of a copy

@@ -12,8 +12,9 @@ them at the same place of their content, so that a passage which pages quote sta
 an element stay unless a neighbour shares them. An only page of its host, or a copy of its neighbour, is
 compared with nothing and keeps all but its frame elements.
 
-Pages are dealt once by ranges of (host, path, page_id) and streamed in order, one page held back; a
-page at the edge of a range is compared with its neighbour inside the range only.
+Pages are dealt once by ranges of (host, path, page_id) and streamed in order, one page held back. The
+bounds of the ranges are actual keys, and the first and last page of a range are also handed to the
+ranges beside it, for comparison only: the texts don't depend on how many ranges there are.
 
 Defined cases: null html is empty; a null or unparsable url is a host of its own name; repeated rows
 are never compared with each other (same url and same lines); a page without main text gives an empty
@@ -28,7 +29,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
@@ -225,6 +226,32 @@ def main_text(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]
     return "\n\n".join(kept)
 
 
+#: Keys looked at for each bound of a range.
+SAMPLE = 20
+
+
+def _ranges(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` dealt to ``parts`` ranges of the key ``k`` at most and sorted in each; own is false for
+    the rows of the ranges beside it, all with the key that is next to it. Rows of one key are in one range."""
+    keys = rows.select("k")
+    some = keys.distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLE * parts)
+    bounds = [r["k"] for r in some.orderBy("k").collect()][SAMPLE // 2 :: SAMPLE] if parts > 1 else []
+    kind = rows.schema["k"].dataType
+    literal = lambda values: F.array(*(F.struct(*map(F.lit, v)).cast(kind) for v in values))
+    place: Column = F.size(F.filter(literal(bounds), lambda x: x <= F.col("k"))) if bounds else F.lit(0)
+    ends = keys.groupBy(place.alias("p")).agg(F.min("k").alias("first"), F.max("k").alias("last")).orderBy("p").collect()
+    at = {r["p"]: i for i, r in enumerate(ends)}  # ranges that have rows, numbered anew
+    if not at:
+        return rows.withColumn("own", F.lit(True))
+    copies = [F.struct(F.lit(0).alias("step"), F.lit(True).alias("own"))]
+    if len(ends) > 1:
+        copies += [F.when(F.col("k") == F.get(literal([r[c] for r in ends]), F.col("p")), F.struct(F.lit(d).alias("step"), F.lit(False).alias("own"))) for c, d in (("first", -1), ("last", 1))]
+    number = F.get(F.array(*(F.lit(at.get(p, 0)) for p in range(len(bounds) + 1))), place)
+    dealt = rows.withColumn("p", number).withColumn("c", F.explode(F.array_compact(F.array(*copies))))
+    dealt = dealt.withColumn("to", F.col("p") + F.col("c.step")).withColumn("own", F.col("c.own")).filter(F.col("to").between(0, len(ends) - 1))
+    return dealt.repartitionById(len(ends), F.col("to")).sortWithinPartitions("k", F.xxhash64("url", "html"))
+
+
 OUT = "page_id long, url string, text string, n_chars long"
 
 
@@ -235,15 +262,15 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"), path.alias("path"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    rows = rows.withColumn("k", F.struct("host", "path", F.col("page_id").isNotNull().alias("has"), F.coalesce("page_id", F.lit(0)).alias("id")))
+    ordered = _ranges(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        earlier = held = None  # (page_id, url, host, lines)
+        earlier = held = None  # (page_id, url, host, lines, own)
         out: list[tuple] = []
 
         def put(after) -> None:
-            page, address, site, mine = held
+            page, address, site, mine, _ = held
             near = [x[3] for x in (earlier, after) if x is not None and x[2] == site]
             text = main_text(mine, near)
             out.append((page, address, text, len(text)))
@@ -254,15 +281,15 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in OUT.split(", ")])
 
         for b in batches:
-            for page, address, source, site in zip(*(b.column(i).to_pylist() for i in range(4))):
-                now = (page, address, site, lines(source))
-                if held is not None:
+            for page, address, source, site, own in zip(*(b.column(i).to_pylist() for i in range(5))):
+                now = (page, address, site, lines(source), own)
+                if held is not None and held[4]:
                     put(now)
                 earlier, held = held, now
             if out:
                 yield batch()
-        if held is not None:
+        if held is not None and held[4]:
             put(None)
             yield batch()
 
-    return ordered.select("page_id", "url", "html", "host").mapInArrow(run, OUT)
+    return ordered.select("page_id", "url", "html", "host", "own").mapInArrow(run, OUT)
