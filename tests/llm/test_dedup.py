@@ -156,6 +156,15 @@ def test_near_empty_and_stage(spark):
     assert out.columns == df.columns and out.count() == want
 
 
+def test_near_stage_links_rows_without_an_id_of_their_own(spark):
+    w = [[f"t{k}x{i}" for i in range(100)] for k in range(4)]
+    near = lambda k, n: " ".join(w[k][: 100 - n])
+    data = [(None, near(0, 0)), (None, near(0, 1)), (None, near(0, 0)), (5, near(1, 0)), (5, near(1, 2)), (5, near(1, 3)), (7, near(2, 0)), (None, near(2, 1)), (7, near(3, 0)), (8, near(3, 4)), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(data)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, (r.text or "")[:3]) for r in near_dedup.drop_near_copies(df).collect()]
+    assert sorted(got, key=repr) == sorted([(None, "t0x"), (5, "t1x"), (7, "t2x"), (7, "t3x"), (None, ""), (None, "")], key=repr)
+
+
 def test_estimate_is_corrected_for_chance():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)

@@ -20,7 +20,7 @@ A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 <
 
 Defined cases: null text or one without words has no shingle and is linked with nothing; a text with
 fewer words than a shingle is one shingle; a row with a null id is linked with nothing and stays; rows
-that share an id are one node; an empty table gives an empty result; further columns are ignored.
+that share an id are one node (the stage, drop_near_copies, links both kinds by a key of its own); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -361,6 +361,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with the smallest id of each group, all columns as they were."""
-    out = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(out, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+    """``docs`` with the smallest id of each group, all columns as they were. Where ids are null or
+    repeated, rows get a key of their own: a row without id is linked as any other and comes last in its
+    group, and of rows that share an id one text stays (rows equal in id and text are one document)."""
+    whole = F.col("doc_id").cast("long")
+    ids = docs.agg(F.count("*").alias("n"), F.count_distinct(whole).alias("ids")).first()
+    if ids["n"] == ids["ids"]:
+        out = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+        return docs.join(out, whole == F.col("__gone"), "left_anti").select(*docs.columns)
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    linked = near_duplicates(rows, words, percent, "__row").filter("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
+    mine = rows.select("__row", whole.alias("id"), F.sha2(F.col("text").cast("string").cast("binary"), 256).alias("digest"))
+    named = materialize(mine.join(linked, "__row"), "named")
+    best = named.groupBy("component_id").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "__row")).alias("best")).filter("copies > 1")
+    one = (F.col("__row") == F.col("best.__row")) | (F.col("id") == F.col("best.id")) & (F.col("digest") == F.col("best.digest"))
+    gone = join_groups(named, best, "component_id", "copies", named.count()).filter(F.col("best").isNotNull() & ~F.coalesce(one, F.lit(False)))
+    return rows.join(gone.select("__row"), "__row", "left_anti").select(*docs.columns)
