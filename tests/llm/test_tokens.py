@@ -95,6 +95,52 @@ def test_fill_and_powers(sizes):
     assert cells == [(i, j) for i, s in enumerate(sizes) for j in range(s)]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 64), max_size=60))
+def test_near_equal_windows_hold_every_token_once(sizes):
+    windows, left = packing.near_equal(sizes, 64)
+    assert all(sum(n for *_, n in w) <= 64 for w in windows) and sum(n for *_, n in left) <= 16
+    cells = sorted((i, s + j) for w in [*windows, left] for i, s, n in w for j in range(n))
+    assert cells == [(i, j) for i, s in enumerate(sizes) for j in range(s)]
+
+
+def test_windows_depend_on_the_differencing(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = [int(x) for x in rng.integers(50, 2048, 400)]
+    ours, left = packing.near_equal(sizes, 2048)
+    sums = [sum(n for *_, n in w) for w in ours]
+    assert sum(sums) + sum(n for *_, n in left) == sum(sizes) and len(ours) <= 1.01 * sum(sizes) / 2048 + 1 and min(sums) > 1900
+    monkeypatch.setattr(packing, "differencing", lambda sizes, k: [list(range(j, len(sizes), k)) for j in range(k)])
+    assert len(packing.near_equal(sizes, 2048)[0]) > 1.05 * len(ours)  # as windows exceed the capacity, their count rises
+
+
+def test_padding_of_blocks_is_small(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_WINDOWS", 16)
+    monkeypatch.setattr(packing, "CAPACITY", 64)
+    docs = spark.createDataFrame([(i, "word and " * (i * 37 % 90)) for i in range(900)], "doc_id long, text string").repartition(2)
+
+    def sums():
+        out = defaultdict(int)
+        for r in packing.pack(docs, VOCABULARY, capacity=64).collect():
+            out[r.sequence_id] += r.length
+        return out.values()
+
+    ours = sums()
+    padded = [64 if n & (n - 1) else n for n in ours]
+    assert max(ours) <= 64 and sum(padded) <= 1.02 * sum(ours) and any(n & (n - 1) for n in ours)
+
+
+def test_merges_out_of_order_go_to_the_library(tmp_path):
+    import json
+
+    spec = json.load(open(VOCABULARY, encoding="utf-8"))
+    merges = spec["model"]["merges"]
+    merges[10], merges[900] = merges[900], merges[10]
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    e = packing.Encoder(str(tmp_path / "other.json"))
+    assert e.engine is None and e.ids("the other") == e.tokenizer.encode("the other", add_special_tokens=False).ids
+
+
 def test_packing_of_documents(spark, monkeypatch):
     got = packing.pack(frame(spark, True).repartition(3), VOCABULARY, with_ids=True).collect()
     docs, sequences = defaultdict(list), defaultdict(list)

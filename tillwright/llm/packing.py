@@ -3,15 +3,17 @@
 A document's tokens past its last full sequence are an item. Items are gathered into blocks; a block
 is split into its number of windows by largest differencing: the two partial partitions with the
 largest spread are merged, the larger windows of one with the smaller windows of the other, until one
-partition is left, whose windows are near-equal. Whole items cannot always meet the capacity then:
-``balance`` raises the number of windows until they do; ``pack`` may cut, so it cuts what exceeds a
-window, fills the room of the others with it and hands what is left to the next block, which gets
-the more windows. What is left at the end of a partition is cut into sequences whose lengths are
-powers of two, the longest first, so that nothing is padded. A block is bounded (BLOCK_WINDOWS
-windows), tokens are never shuffled, and a lost task is repeated from its input alone.
-
-Defined cases: null text is empty and is one token, the end id; repeated rows are packed once each;
-an empty table gives an empty result; further columns are ignored.
+partition is left, whose windows are near-equal. While a window exceeds the capacity, its largest item
+is cut there and differencing runs again, twice at most; if windows still exceed it by more than SPARE
+of a window in all, the number of windows rises until none does. A smaller excess is cut off and goes
+to the next block, as one more window would pad more than that. The last block of a partition has no
+next one: there the excess fills the room of the other windows, and what is left is cut into sequences
+whose lengths are powers of two, the longest first. A block is bounded (BLOCK_WINDOWS windows), tokens
+are never shuffled, and a lost task is repeated from its input alone.
+
+Defined cases: null text is empty and is one token, the end id; repeated rows are packed once each; a
+very long text is cut into full sequences first, and only its rest is an item; rows with a null id are
+packed as others; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from .common import bounded_batches
 CAPACITY = 2048
 END_ID = 1
 BLOCK_WINDOWS = 128
+#: Runs of differencing that may cut; share of a window that may be cut off instead of raising the count.
+CUTS, SPARE = 2, 0.25
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -77,8 +81,41 @@ def balance(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
+def near_equal(sizes: list[int], capacity: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Near-equal windows of pieces (item, start, length), none above the capacity, and the pieces cut off,
+    SPARE of a window at most. The number of windows is the least possible, and rises while the windows of
+    the differencing exceed the capacity by more than that."""
+    pieces = [(i, 0, n) for i, n in enumerate(sizes) if n]
+    k, cuts = max(1, -(-sum(sizes) // capacity)), 0
+    while True:
+        windows = differencing([n for *_, n in pieces], k) if k < len(pieces) else [[p] for p in range(len(pieces))]
+        excess = [sum(pieces[p][2] for p in w) - capacity for w in windows]
+        over = sum(x for x in excess if x > 0)
+        if not over:
+            return [[pieces[p] for p in w] for w in windows if w], []
+        spare = cuts == CUTS and over <= SPARE * capacity
+        if cuts == CUTS and not spare:
+            k += 1
+            continue
+        rest = []
+        for w, x in zip(windows, excess):
+            if x > 0:  # no item is larger than a window, so the largest of two or more holds the excess of a near-equal one
+                for p in sorted(w, key=lambda p: -pieces[p][2]):
+                    i, start, n = pieces[p]
+                    m = min(n, x)
+                    pieces[p] = (i, start, n - m)
+                    rest.append((i, start + n - m, m))
+                    x -= m
+                    if not x:
+                        break
+        if spare:
+            return [[pieces[p] for p in w if pieces[p][2]] for w in windows], rest
+        pieces, cuts = [p for p in pieces if p[2]] + rest, cuts + 1
+
+
 def fill(sizes: list[int], capacity: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
-    """Full windows of pieces (item, start, length), and the pieces left over, less than a window."""
+    """Full windows of pieces (item, start, length), and the pieces left over, less than a window: for the
+    last block, whose excess has no later window to go to."""
     k = sum(sizes) // capacity
     if not k:
         return [], [(i, 0, s) for i, s in enumerate(sizes) if s]
@@ -127,8 +164,9 @@ class Encoder:
     with END_ID at each text's end. Added tokens inside a text become their ids, the library's default.
 
     The file's ranks are handed to the faster byte-pair engine of tiktoken; it gives the library's ids
-    for this kind of file, which is probed at the start. If the probe or the file's kind differs, the
-    library itself encodes.
+    for this kind of file: one whose merges stand in the order of their ids, each id but the single bytes'
+    made by exactly one of them (checked on the whole file). A probe text is compared too. If the probe or
+    the file's kind differs, the library itself encodes.
     """
 
     PROBE = " It's 3rd  of\n\n\tMärz 2024,\u3000x\u00a0 y'll…  \U0001f600 aaaaaaaaaaaa 1234567   \n"
@@ -153,6 +191,10 @@ class Encoder:
         plain = all(not t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
         if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex") or model["type"] != "BPE" or not plain:
             return None
+        made = [model["vocab"].get("".join(pair.split(" ") if isinstance(pair, str) else pair)) for pair in model["merges"]]
+        whole = [i for token, i in model["vocab"].items() if len(token) > 1 and token not in self.added]
+        if made != sorted(whole):
+            return None
         # the file writes each byte as one printable character: its own where it has one, else 256, 257, ... in order
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in own)}
@@ -206,15 +248,20 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: b
 
         def block(last: bool) -> None:
             nonlocal waiting, tokens
-            windows, left = fill([len(x[2]) // 4 for x in waiting], capacity)
+            later, most = [], BLOCK_WINDOWS * capacity
+            if not last and tokens > most:  # a block is of whole windows: the last item is cut there
+                doc, at, ids, doc_tokens = waiting[-1]
+                n = len(ids) // 4 - (tokens - most)
+                waiting[-1], later = (doc, at, ids[: 4 * n], doc_tokens), [(doc, at + n, ids[4 * n :], doc_tokens)]
+            windows, left = (fill if last else near_equal)([len(x[2]) // 4 for x in waiting], capacity)
             for w in windows:
                 put([piece(*p) for p in w])
             if last:
                 for w in powers(left):
                     put([piece(*p) for p in w])
                 left = []
-            waiting = [piece(*p) for p in left]
-            tokens = sum(n for _, _, n in left)
+            waiting = [piece(*p) for p in left] + later
+            tokens = sum(len(x[2]) // 4 for x in waiting)
 
         def out() -> pa.RecordBatch:
             kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
