@@ -70,6 +70,71 @@ def test_alignment_is_a_common_subsequence():
     assert h.shared(list("xaybz"), list("aqb")) == {1, 3}
 
 
+def test_alignment_is_a_longest_one(monkeypatch):
+    import itertools
+
+    def longest(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    words = [list(w) for n in range(5) for w in itertools.product("pq", repeat=n)] + [list(w) for w in itertools.product("pqr", repeat=4)]
+    for kept in (h.KEPT_BITS, 3):
+        monkeypatch.setattr(h, "KEPT_BITS", kept)
+        for a, b in itertools.product(words, words):
+            got = sorted(h.shared(a, b))
+            rest = iter(b)
+            assert len(got) == longest(a, b) and all(a[i] in rest for i in got)
+    assert len(h.shared(list("pqp"), list("qp"))) == 2
+    monkeypatch.setattr(h, "KEPT_BITS", 100_000)
+    a, b = [f"{i % 97}" for i in range(3000)], [f"{i % 89}" for i in range(2900)]
+    assert len(h.shared(a, b)) == longest(a, b)
+
+
+def test_hidden_blocks_go():
+    for around in ("", "<article>"):
+        assert text(around + "<p hidden>gone<p>a<div hidden=''><p>gone</div><p data-hidden=x title='so hidden'>b<p class='hidden-gem'>c") == "a\n\nb\n\nc"
+
+
+def test_extract_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    pool = [f"line {i}" for i in range(6)]
+    rows = []
+    for i in range(120):
+        body = "".join(f"<p>{rng.choice(pool) if rng.random() < 0.5 else f'own {i} {k}'}" for k in range(rng.randint(0, 6)))
+        if i % 3 == 0:
+            body = f"<p>{rng.choice(pool)}<article>{body}</article><p>{rng.choice(pool)}"
+        rows.append((i, f"https://h{i % 5}.example/{rng.randint(0, 9)}/{i}", body if i % 11 else None))
+    order = sorted(rows, key=lambda r: (r[1].split("/")[2].encode(), "/" + "/".join(r[1].split("/")[3:]), r[0]))
+    host = lambda r: r[1].split("/")[2]
+
+    def common(a, b):  # places of a in one longest common subsequence, by the table; of equal ones the last, as the operator
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    want, loose = {}, {}
+    for at, r in enumerate(order):
+        mine = h.lines(r[2])
+        near = [h.lines(order[j][2]) for j in (at - 1, at + 1) if 0 <= j < len(order) and host(order[j]) == host(r)]
+        want[r[0]] = h.main_text(mine, near)
+        loose[r[0]] = h.main_text(mine, [])
+        for other in near:
+            assert len(h.shared([t for t, _ in mine], [t for t, _ in other])) == common([t for t, _ in mine], [t for t, _ in other])
+    for parts in ("1", "4", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(want[i] != loose[i] for i in want) > len(want) // 3  # the neighbours decide
+
+
 def test_pages(spark):
     rows = [(i, f"https://h{i % 2}.example/{i:03}", f"<div>Menu {i % 2}</div><p>body of {i}</p>") for i in range(20)] + [(50, None, None), (51, "not a url", ""), (None, "https://h0.example/000?x", PAGE), (3, "https://h1.example/003", "<div>Menu 1</div><p>body of 3</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -23,7 +23,6 @@ string; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import bisect
 import html as entities
 import re
 from collections.abc import Iterator
@@ -59,7 +58,7 @@ NOT_ARTICLE = frozenset(
     "share sharing social related recommended recommendations comment comments reply replies disqus respond discussion pagination pager widget widgets complementary contentinfo".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*+\"[^\"]*\"|=\s*+'[^']*'|[=\"'])*+)>", re.S)
-_MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_MARK = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPACE = re.compile(r"\s+")
 
 
@@ -69,7 +68,7 @@ def _is_frame(tag: str, attributes: str, in_content: bool) -> bool:
     of two at most, or in its id, and other blocks by whole tokens. Headings and sections' ids say nothing."""
     if tag in FRAME or (tag == "header" and not in_content):
         return True
-    if not attributes or "=" not in attributes:
+    if not attributes:
         return False
     for name, value in _MARK.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
@@ -81,6 +80,8 @@ def _is_frame(tag: str, attributes: str, in_content: bool) -> bool:
                 words = [w for w in re.split(r"[^a-z]+", token) if w]
                 if token in NOT_ARTICLE or holds and not in_content and len(words) <= 2 and not NOT_ARTICLE.isdisjoint(words):
                     return True
+        if name == "hidden" and value != "until-found":
+            return True
         if name == "style" and re.search(r"display\s*:\s*none", value) or name == "aria-hidden" and value == "true":
             return True
     return False
@@ -169,35 +170,79 @@ def lines(html: str | None) -> list[tuple[str, int]]:
     return out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
-    """Places of ``a`` in a longest common subsequence with ``b``. The k-th occurrence of a line is
-    matched with the k-th of the other page, which makes this a longest increasing run of places."""
-    seen: dict[str, int] = {}
-    where: dict[tuple[str, int], int] = {}
-    for j, line in enumerate(b):
-        k = seen[line] = seen.get(line, 0) + 1
-        where[line, k] = j
-    seen = {}
-    tails: list[int] = []
-    ends: list[int] = []
-    before: dict[int, int] = {}
-    for i, line in enumerate(a):
-        k = seen[line] = seen.get(line, 0) + 1
-        j = where.get((line, k))
-        if j is None:
-            continue
-        at = bisect.bisect_left(tails, j)
-        if at:
-            before[i] = ends[at - 1]
-        tails[at : at + 1], ends[at : at + 1] = [j], [i]
-    out: set[int] = set()
-    i = ends[-1] if ends else None
-    while i is not None:
-        out.add(i)
-        i = before.get(i)
+#: Bits of the rows that one alignment keeps; longer pages are halved first.
+KEPT_BITS = 1 << 27
+
+
+def _advance(a: list[int], b: list[int]) -> list[int]:
+    """Row by row of ``a``: a number whose bit j is 0 where line j of ``b`` makes a longest common
+    subsequence of what is before it longer by one."""
+    full, at = (1 << len(b)) - 1, {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    row, rows = full, [full]
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        rows.append(row)
+    return rows
+
+
+def _lengths(a: list[int], b: list[int]) -> list[int]:
+    """Length of a longest common subsequence of ``a`` and each prefix of ``b``."""
+    full, at = (1 << len(b)) - 1, {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    row = full
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    out = [0]
+    for bit in reversed(f"{row:0{len(b)}b}" if b else ""):
+        out.append(out[-1] + (bit == "0"))
     return out
 
 
+def _aligned(a: list[int], b: list[int]) -> Iterator[int]:
+    """Places of ``a`` in a longest common subsequence with ``b``: bit-parallel rows are walked back where
+    they fit in KEPT_BITS; else ``a`` is halved and ``b`` cut where both halves' lengths sum highest."""
+    if not a or not b:
+        return
+    if len(a) > 1 and len(a) * len(b) > KEPT_BITS:
+        h = len(a) // 2
+        before, after = _lengths(a[:h], b), _lengths(a[h:][::-1], b[::-1])
+        cut = max(range(len(b) + 1), key=lambda j: before[j] + after[len(b) - j])
+        yield from _aligned(a[:h], b[:cut])
+        yield from (h + i for i in _aligned(a[h:], b[cut:]))
+        return
+    rows = _advance(a, b)
+    i, j = len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            yield i
+        elif rows[i] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+
+
+def shared(a: list[str], b: list[str]) -> set[int]:
+    """Places of ``a`` in a longest common subsequence with ``b``. Lines that the other page doesn't have
+    are left out first, and so are equal starts and ends, which belong to some longest one."""
+    both = {x: n for n, x in enumerate(set(a) & set(b))}
+    where = [i for i, x in enumerate(a) if x in both]
+    x, y = [both[a[i]] for i in where], [both[t] for t in b if t in both]
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    middle = _aligned(x[head : len(x) - tail], y[head : len(y) - tail])
+    return {where[i] for i in [*range(head), *range(len(x) - tail, len(x)), *(head + i for i in middle)]}
+
+
 def _template(page: list[tuple[str, int]], near: list[set[int]], others: list[list[tuple[str, int]]]) -> set[int]:
     """Places of content lines that neighbours on both sides have at the same place of their content,
     counted from its start or from its end. A neighbour with half of the content is a version of the page."""
