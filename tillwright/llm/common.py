@@ -51,6 +51,31 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return marked.filter(~missing).select(*cold.columns).unionByName(cold)
 
 
+def join_salted(rows: DataFrame, table: DataFrame, key: str, other: Column, counts: DataFrame) -> DataFrame:
+    """Inner join of ``rows`` with ``table`` (one row per ``key``; counts: its rows n in ``rows``). Keys with
+    more than 1/HEAVY_SHARE of the rows are salted: their rows are dealt by ``other`` to parts of that size
+    and the table's row is repeated for each part, so that no key gathers in one task. There are at most
+    HEAVY_SHARE such keys; they alone are broadcast, without what the table holds for them."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(1, total // HEAVY_SHARE)
+    parts = F.ceil(F.col("n") / most).cast("int")
+    hot = counts.filter(F.col("n") > most).select(F.col(key).alias("_hot"), parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(other, F.coalesce("_parts", F.lit(1))).cast("int"))
+    repeated = table.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return dealt.drop("_hot", "_parts").join(repeated.drop("_hot", "_parts"), [key, "_salt"]).drop("_salt")
+
+
+def free_name(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores put before them until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class WordCache(dict):
     """Value by word, made by ``make`` at a miss. Two generations bound the memory: when the young
     one is full it becomes the old one, and words still in use are copied over at their next use."""

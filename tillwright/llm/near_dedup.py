@@ -34,13 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import bounded_batches, join_groups
+from .common import bounded_batches, free_name, join_groups, join_salted
 
 HASHES, BANDS, ROWS, BITS = 128, 32, 4, 4
 LONGS = HASHES * BITS // 64
 MARGIN = 0.22
 #: Classes of one bucket, and shingles of one rough component, in one block of a comparison.
-BLOCK = 1024
+BLOCK = 4096
 BLOCK_SHINGLES = 300_000
 #: Links that one task contracts.
 LOCAL_LINKS = 1_000_000
@@ -184,7 +184,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+    return join_salted(pairs.join(left, "a"), right, "b", F.xxhash64("a"), pairs.groupBy("b").agg(F.count("*").alias("n"))).filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,8 @@ def components(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        up = both.filter("v > u")
+        large = join_salted(up, least, "u", F.xxhash64("v"), up.groupBy("u").agg(F.count("*").alias("n"))).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         now = materialize(small, "links")
@@ -241,8 +242,8 @@ def _in_blocks(rows: DataFrame, by: str, weight: Column, most: int) -> DataFrame
     """Rows dealt so that each pair of one group meets in one task: a group whose weights sum to more
     than ``most`` is dealt to several blocks, and two blocks (p, q) of it are compared at a time. The
     first columns are the group, p, q, and the row's own block i."""
-    n = rows.groupBy(by).agg(F.ceil(F.sum(weight) / most).cast("int").alias("n"))
-    dealt = rows.join(n, by).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    n = rows.groupBy(by).agg(F.ceil(F.sum(weight) / most).cast("int").alias("n"), F.count("*").alias("rows"))
+    dealt = join_groups(rows, n, by, "rows", rows.count()).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select(by, F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", *(c for c in rows.columns if c != by))
     return dealt.repartition(by, "p", "q").sortWithinPartitions(by, "p", "q")
@@ -324,12 +325,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     entries = classes.select("rep", F.explode("bands").alias("key"))
-    hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).filter("hub < far").drop("far")
-    shared = materialize(entries.join(hubs, "key"), "buckets")
+    hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    hubs = materialize(hubs, "hubs")
+    met = join_groups(entries, hubs, "key", "n", BANDS * classes.count())
+    shared = materialize(met.filter("hub is not null").select("key", "rep", "hub"), "buckets")
     sigs = classes.select("rep", "sig")
     least = least_equal(percent / 100)
     stars = shared.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = stars.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
+    per_hub = materialize(stars.groupBy("b").agg(F.count("*").alias("n")), "per-hub")
+    near = stars.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a")
+    stars = join_salted(near, sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b", F.xxhash64("a"), per_hub)
     stars = materialize(stars.filter(equal_groups(F.col("x"), F.col("y")) >= least).select("a", "b").distinct(), "stars")
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(full_sets(docs.join(wanted, "doc_id", "left_semi"), words), "sets")
@@ -337,16 +342,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
 
     # buckets whose classes, but for the hub that all were compared with, are in several components
     named = shared.filter("rep <> hub").join(first, shared["rep"] == first["node"], "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    rest = named.join(mixed, "key", "left_semi").join(sigs, "rep").select("key", "rep", "label", "sig")
+    named = materialize(named, "named")
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("met")).filter("lo < hi").select("key", "met")
+    named = join_groups(named, mixed, "key", "met", named.count()).filter("met is not null")
+    rest = materialize(named.join(sigs, "rep").select("key", "rep", "label", "sig"), "rest")
     rough = _in_blocks(rest, "key", F.lit(1), BLOCK).mapInArrow(lambda it: _forest(it, least, None), "a long, b long").distinct()
     stars_too = first.select(F.col("node").alias("a"), F.col("label").alias("b"))
     # what may be linked lies in one rough component; where that has several labels, full sets decide
     rough = components(rough.unionByName(stars_too)).withColumnRenamed("label", "rough")
     rough = rough.unionByName(rough.select(F.col("rough").alias("node"), "rough").distinct())  # the smallest too
     inside = rough.join(first, "node", "left").select(F.col("node").alias("rep"), "rough", F.coalesce("label", "node").alias("label"))
-    several = inside.groupBy("rough").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("rough")
-    inside = inside.join(several, "rough", "left_semi").join(sigs, "rep").join(sets, "rep").select("rough", "rep", "label", "sig", "set")
+    inside = materialize(inside, "rough")
+    several = inside.groupBy("rough").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("met")).filter("lo < hi").select("rough", "met")
+    inside = join_groups(inside, several, "rough", "met", inside.count()).filter("met is not null")
+    inside = inside.join(sigs, "rep").join(sets, "rep").select("rough", "rep", "label", "sig", "set")
+    inside = materialize(inside, "inside")
     bounded_batches(docs.sparkSession, 200)
     more = _in_blocks(inside, "rough", F.size("set") + 500, BLOCK_SHINGLES).mapInArrow(lambda it: _forest(it, least, percent), "a long, b long").distinct()
     final = components(more.unionByName(stars_too))
@@ -365,15 +375,16 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     repeated, rows get a key of their own: a row without id is linked as any other and comes last in its
     group, and of rows that share an id one text stays (rows equal in id and text are one document)."""
     whole = F.col("doc_id").cast("long")
+    gone_name, row = free_name(docs, "gone_id", "row_key")
     ids = docs.agg(F.count("*").alias("n"), F.count_distinct(whole).alias("ids")).first()
     if ids["n"] == ids["ids"]:
-        out = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-        return docs.join(out, whole == F.col("__gone"), "left_anti").select(*docs.columns)
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    linked = near_duplicates(rows, words, percent, "__row").filter("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
-    mine = rows.select("__row", whole.alias("id"), F.sha2(F.col("text").cast("string").cast("binary"), 256).alias("digest"))
-    named = materialize(mine.join(linked, "__row"), "named")
-    best = named.groupBy("component_id").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "__row")).alias("best")).filter("copies > 1")
-    one = (F.col("__row") == F.col("best.__row")) | (F.col("id") == F.col("best.id")) & (F.col("digest") == F.col("best.digest"))
+        out = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias(gone_name)).distinct()
+        return docs.join(out, whole == F.col(gone_name), "left_anti").select(*docs.columns)
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    linked = near_duplicates(rows, words, percent, row).filter("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id")
+    mine = rows.select(row, whole.alias("id"), F.sha2(F.col("text").cast("string").cast("binary"), 256).alias("digest"))
+    named = materialize(mine.join(linked, row), "named")
+    best = named.groupBy("component_id").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", row)).alias("best")).filter("copies > 1")
+    one = (F.col(row) == F.col(f"best.{row}")) | (F.col("id") == F.col("best.id")) & (F.col("digest") == F.col("best.digest"))
     gone = join_groups(named, best, "component_id", "copies", named.count()).filter(F.col("best").isNotNull() & ~F.coalesce(one, F.lit(False)))
-    return rows.join(gone.select("__row"), "__row", "left_anti").select(*docs.columns)
+    return rows.join(gone.select(row), row, "left_anti").select(*docs.columns)
