@@ -78,8 +78,8 @@ def test_place_balances_and_fits():
 
 
 def test_shards(spark):
-    got = sharding.shard(frame(spark, True).filter("doc_id is null or doc_id <> 20"), 4).collect()
-    data = [r for r in rows() if r[0] != 20]
+    got = sharding.shard(frame(spark, True), 4).collect()
+    data = rows()
     assert sorted([(str(r.doc_id), r.size, r.text_crc32) for r in got]) == sorted([(str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in data])
     by = defaultdict(list)
     for r in got:
@@ -102,5 +102,41 @@ def test_a_group_too_large_for_a_shard_is_split(spark):
     assert len(sums) == 8 and max(sums.values()) < 1.1 * sum(sums.values()) / 8
 
 
+def test_place_follows_the_rule():
+    """Against a plain version: largest share of bytes first, to the highest dot product that fits."""
+    rng = np.random.default_rng(9)
+    for n in (1, 5, 40):
+        items = rng.random((n, 3)) + 0.05
+        total = [sum(x[d] for x in items) for d in range(3)]
+        left = [[1 / 3] * 3 for _ in range(3)]
+        want = [0] * n
+        for i in sorted(range(n), key=lambda i: (-items[i][0] / total[0], i)):
+            v = [items[i][d] / total[d] for d in range(3)]
+            fit = [s for s in range(3) if left[s][0] >= v[0] - 1e-12]
+            dot = lambda s: sum(w * a * b for w, a, b in zip((2, 1, 1), left[s], v))  # noqa: B023, E731
+            want[i] = max(fit, key=lambda s: (round(dot(s), 12), -s)) if fit else max(range(3), key=lambda s: (round(left[s][0], 12), -s))
+            left[want[i]] = [a - b for a, b in zip(left[want[i]], v)]
+        assert sharding.place(items, 3).tolist() == want
+
+
+def test_whole_table_is_balanced_with_hot_groups_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LOT", 100)
+    data = [(i, f"text {i} " + "w " * (i * 31 % 120)) for i in range(1200)] + [(None, "hot group")] * 400 + [(5000, "one repeated row")] * 300 + [(6000 + i, "copy " * 40) for i in range(60)] + [(7000, "x" * 20_000)]
+    got = sharding.shard(spark.createDataFrame(data, "doc_id long, text string").repartition(5), 8).collect()
+    want = sorted((str(i), len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in data)
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == want
+    sums, slots, counts = defaultdict(int), defaultdict(list), defaultdict(int)
+    for r in got:
+        sums[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    large = 20_001  # more than its shard's equal part of the rest does not change
+    assert max(sums.values()) <= max(large, 1.03 * sum(sums.values()) / 8) and min(sums.values()) > 0.9 * (sum(sums.values()) - large) / 8
+    homes = defaultdict(set)
+    for r in got:
+        homes[r.text_crc32].add(r.shard)
+    assert len(homes[zlib.crc32(b"copy " * 40)]) == 1  # a group that fits a shard is whole
+
+
 def test_shard_empty(spark):
     assert sharding.shard(empty(spark)).count() == 0
