@@ -197,3 +197,29 @@ def test_components(spark, local):
         parent[max(x, y)] = min(x, y)
     got = {r.node: r.label for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long"), local).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_drop_copies_keeps_columns_of_any_name_and_repeated_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    data = [(1, "a"), (2, "A"), (3, "b")] + [(None, "hot")] * 40 + [(7, "twice"), (7, "twice"), (9, None), (8, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for c in ("__id", "__digest", "pair_key", "pair_rows", "_pair_rows", "row", "first", "n"):
+        df = df.withColumn(c, F.lit(f"mine {c}"))
+    got = exact_dedup.drop_copies(df.repartition(3))
+    assert got.columns == df.columns
+    out = got.collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted([(2, "A"), (3, "b"), (7, "twice"), (9, None), (None, "hot")], key=repr)
+    assert all(r[c] == f"mine {c}" for r in out for c in df.columns[2:])
+
+
+def test_drop_near_copies_keeps_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(60))
+    for data in ([(1, text), (2, text + " x"), (3, "other")], [(1, text), (1, text + " x"), (3, "other")]):
+        df = spark.createDataFrame(data, "doc_id long, text string")
+        for c in ("__gone", "gone_id", "row_key", "__row"):
+            df = df.withColumn(c, F.lit("mine"))
+        out = near_dedup.drop_near_copies(df).collect()
+        assert len(out) == 2 and all(r[c] == "mine" for r in out for c in df.columns[2:])

@@ -65,6 +65,17 @@ def test_mix_rows_repeat_and_cut(spark):
     assert {k: v for k, v in n.items() if v} == {k: v for k, v in want.items() if v}
 
 
+def test_mixed_rows_keep_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    df = frame(spark)
+    plain = sorted((str(r.doc_id), r.text) for r in mixing.mix_rows(df).collect())
+    for c in ("__size", "__taken", "t_hash", "t_size", "_t_first"):
+        df = df.withColumn(c, F.lit("mine"))
+    out = mixing.mix_rows(df).collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == plain and all(r[c] == "mine" for r in out for c in df.columns[5:])
+
+
 def test_mix_empty(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mix_rows(empty(spark)).count() == 0
 

@@ -9,18 +9,19 @@ for a member. Members update the winner; nonmembers form groups of their own.
 
 Defined cases: null text counts as empty; texts equal after lower-casing A-Z are one group; the
 largest doc_id stays, null ids being smaller than any; of repeated rows with one id exactly one
-stays; an empty table gives an empty result; further columns are ignored.
+stays; a very long text is a digest like others; an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import ascii_lower, bounded_batches, join_groups
+from .common import ascii_lower, bounded_batches, free_name, join_groups
 
 SHARD_KEYS = 30_000
 _GAMMA = 1.5
@@ -150,7 +151,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, text: str = "
     other half, and all rows are returned; the result is the same for any split.
     """
     bounded_batches(docs.sparkSession, 10_000)
-    rows = materialize(digests(docs, text, key), "digests")
+    rows = materialize(digests(docs, text, key).withColumn("row", F.monotonically_increasing_id()), "digests")
     if history is None:
         even = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
         old, new, total = rows.filter(even), rows.filter(~even), rows.count()
@@ -160,16 +161,33 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, text: str = "
     shards = max(1, -(-total // SHARD_KEYS))
     index = materialize(build_index(old, shards), "mphf")
     groups = materialize(look_up(index, new, shards), "groups")
-    joined = join_groups(rows, groups, "digest", "group_size", total)
-    first = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy(F.lit(1))) == 1
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & ((F.col("top_n") == 1) | first)
+    # of rows that repeat an id and text the first written one stays
+    repeated = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n"), F.min("row").alias("first")).filter("n > 1").select("first")
+    joined = join_groups(rows, groups, "digest", "group_size", total).join(repeated, F.col("row") == F.col("first"), "left")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & ((F.col("top_n") == 1) | F.col("first").isNotNull())
     return joined.select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"), "in_history")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they were."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__digest": F.unhex(F.sha2(F.encode(norm, "utf-8"), 256))})
-    same = marked["__id"].eqNullSafe(kept["__id"]) & (marked["__digest"] == kept["__digest"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["__id", "__digest"]).select(*docs.columns)
+    """``docs`` with one row of each group of equal texts, all columns as they were.
+
+    What goes is decided on (id, digest) alone; texts are shuffled once, to leave those pairs out. Where
+    rows repeat an id and text, one of them stays: they are merged before that shuffle's end, so a third of
+    all rows may be one row. Null text counts as empty; an empty table gives an empty result.
+    """
+    key, size, again = free_name(docs, "pair_key", "pair_rows", "pair_stays")
+
+    def pair(digest: Column, doc_id: Column) -> Column:
+        return F.concat(digest, F.encode(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), "utf-8"))
+
+    out = exact_dedup(docs)
+    pairs = out.groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.max("kept").alias("stays")).filter("n > 1 or not stays")
+    pairs = materialize(pairs.select(pair(F.col("digest"), F.col("doc_id")).alias(key), F.col("n").alias(size), F.col("stays").alias(again)), "pairs")
+    norm = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    marked = docs.withColumn(key, pair(F.unhex(F.sha2(F.encode(norm, "utf-8"), 256)), F.col("doc_id")))
+    totals = pairs.agg(F.sum(size).alias("rows"), F.max(again).alias("again")).first()
+    joined = join_groups(marked, pairs, key, size, totals["rows"] or 0)
+    kept = joined.filter(F.col(size).isNull()).select(*docs.columns)
+    if totals["again"]:
+        kept = kept.unionByName(joined.filter(again).dropDuplicates([key]).select(*docs.columns))
+    return kept

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD, n_words
+from .common import WORD, free_name, n_words
 
 #: With more sources than this the table of thresholds is joined without a broadcast.
 BROADCAST_SOURCES = 100_000
@@ -116,15 +116,18 @@ def mix_rows(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3)
     n_chars is renewed where the text is cut. Rows of size 0 are not taken."""
     base = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("hash")), "sizes")
     table = _thresholds(base, weights, cap)
-    table = table.toDF(*(f"__{c}" for c in table.columns))
-    size, hashed = n_words(F.col("text")), id_hash(F.col("doc_id"))
-    taken = docs.join(table, F.col("source").eqNullSafe(F.col("__t_source"))).withColumn("__size", size)
-    taken = taken.filter("__size > 0").withColumn("__taken", _taken(F.col("__size"), hashed, "__"))
-    copies = F.array_repeat(F.lit(0), F.floor(F.col("__taken") / F.col("__size")).cast("int"))
-    rest = (F.col("__taken") % F.col("__size")).cast("int")
-    rows = taken.withColumn("__first", F.explode(F.when(rest > 0, F.concat(copies, F.array(rest))).otherwise(copies)))
-    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("__first")))
-    rows = rows.withColumn("text", F.when(F.col("__first") > 0, cut).otherwise(F.col("text")))
+    prefix = "t_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    table = table.toDF(*(f"{prefix}{c}" for c in table.columns))
+    size, taken, first = free_name(docs, f"{prefix}size", f"{prefix}taken", f"{prefix}first")
+    rows = docs.join(table, F.col("source").eqNullSafe(F.col(f"{prefix}t_source"))).withColumn(size, n_words(F.col("text")))
+    rows = rows.filter(F.col(size) > 0).withColumn(taken, _taken(F.col(size), id_hash(F.col("doc_id")), prefix))
+    copies = F.array_repeat(F.lit(0), F.floor(F.col(taken) / F.col(size)).cast("int"))
+    rest = (F.col(taken) % F.col(size)).cast("int")
+    rows = rows.withColumn(first, F.explode(F.when(rest > 0, F.concat(copies, F.array(rest))).otherwise(copies)))
+    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col(first)))
+    rows = rows.withColumn("text", F.when(F.col(first) > 0, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__first") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col(first) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
