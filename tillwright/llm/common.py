@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +80,69 @@ def free_name(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Bytes of text in one range of an ordered pass, about; keys looked at for each bound.
+RANGE_BYTES = 64 << 20
+SAMPLE = 20
+
+
+def range_count(rows: DataFrame, size: Column) -> tuple[int, int]:
+    """Number of rows, and of ranges to deal them to: by their bytes, at least the shuffle's partitions."""
+    got = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return got["n"], max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-got["size"] // RANGE_BYTES))
+
+
+def _literal(keys: list, kind: str) -> Column:
+    """An array of keys (structs), a constant of the plan whatever its length."""
+    return F.from_json(F.lit(json.dumps([k.asDict() for k in keys])), f"array<{kind}>").cast(f"array<{kind}>")
+
+
+def _range_of(key: Column, bounds: list, kind: str) -> Column:
+    """Number of the bounds that are not above ``key``: the block of bounds first, then the bound within it."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    before = lambda keys: F.size(F.filter(keys, lambda x: x <= key))
+    start = F.greatest(before(_literal(bounds[::step], kind)) - 1, F.lit(0)) * step
+    return start + before(F.slice(_literal(bounds, kind), start + 1, F.lit(step)))
+
+
+def deal_ranges(rows: DataFrame, n: int, parts: int, beside: Sequence[tuple[str, int]], wrap: bool = False) -> DataFrame:
+    """The ``n`` rows dealt to ``parts`` ranges, at most, of the struct ``k``; rows of one key share a range.
+
+    The bounds are keys chosen by their hash (SAMPLE for each), so the ranges are the same in every run.
+    beside: which end of a range, "first" or "last", also goes to the range so many steps away (with
+    ``wrap`` round the ends), all rows of that key; own is false for those, and turn is 1 where they went
+    round. Rows are to be sorted by turn and k in each partition.
+    """
+    kind = rows.schema["k"].dataType.simpleString()
+    share = min(1 << 30, (SAMPLE * parts << 30) // max(1, n) + 1)
+    some = rows.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < share).select("k").distinct().collect() if parts > 1 else []
+    some = sorted((r["k"] for r in some), key=_key_order)
+    every = max(1, len(some) // parts)
+    bounds = some[every // 2 :: every][: parts - 1]
+    place = _range_of(F.col("k"), bounds, kind)
+    ends = rows.groupBy(place.alias("p")).agg(F.min("k").alias("first"), F.max("k").alias("last")).orderBy("p").collect()
+    if not ends:
+        return rows.withColumns({"own": F.lit(True), "turn": F.lit(0)})
+    number = {r["p"]: i for i, r in enumerate(ends)}  # ranges that have rows, numbered anew
+    number = F.get(F.from_json(F.lit(json.dumps([number.get(p, 0) for p in range(len(bounds) + 1)])), "array<int>"), place)
+    copies = [F.struct(F.lit(0).alias("step"), F.lit(True).alias("own"))]
+    if len(ends) > 1 or wrap:
+        for end, step in beside:
+            at = F.get(_literal([r[end] for r in ends], kind), F.col("p"))
+            copies.append(F.when(F.col("k") == at, F.struct(F.lit(step).alias("step"), F.lit(False).alias("own"))))
+    dealt = rows.withColumn("p", number).withColumn("c", F.explode(F.array_compact(F.array(*copies)))).withColumn("to", F.col("p") + F.col("c.step"))
+    inside = F.col("to").between(0, len(ends) - 1)
+    dealt = dealt.withColumns({"own": F.col("c.own"), "turn": F.when(inside, 0).otherwise(1)})
+    dealt = dealt.withColumn("to", F.pmod("to", F.lit(len(ends)))) if wrap else dealt.filter(inside)
+    return dealt.repartitionById(len(ends), F.col("to")).drop("p", "c", "to")
+
+
+def _key_order(key) -> tuple:
+    """Spark's order of strings is that of their UTF-8 bytes."""
+    return tuple(x.encode("utf-8", "surrogatepass") if isinstance(x, str) else x for x in key)
+
+
 class WordCache(dict):
     """Value by word, made by ``make`` at a miss. Two generations bound the memory: when the young
     one is full it becomes the old one, and words still in use are copied over at their next use."""

@@ -9,8 +9,9 @@ largest value, so it lies in 0..1 and equal texts have likeness 1.
 
 Defined cases: null text is empty; texts of fewer than five bytes have no window, so all counts are
 0; the next document is the one with the next larger doc_id, null ids last, repeated ids ordered by
-text; the document after the last is the first, so a single row is its own next; an empty table gives
-an empty result; further columns are ignored.
+text; the document after the last is the first, so a single row is
+its own next; repeated rows follow each other; a very long text is read once, whole; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, deal_ranges, range_count
 
 BUCKETS = 256
 #: Fixed by this digest's format: places in the window of a triplet's second and third byte, and salts.
@@ -89,28 +90,17 @@ def fingerprint_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "te
     """Each row's fingerprint, that of its edited text (the second half replaced by the start of the
     next document) and its likeness to that and to the next document.
 
-    Rows are dealt once, by ranges of the id whose bounds are actual ids; the row at a bound goes also
-    to the range before it, and the first of all to the last, so that each range finds the successor of
-    its last row within itself and streams through in order with one row held back.
+    Rows are dealt once, by ranges of (id, start of the text) whose bounds are actual keys; the first rows
+    of a range go also to the range before it, and those of all to the last, so that each range finds the
+    successor of its last row within itself and streams through in order with one row held back. Null and
+    repeated ids are spread by their texts; only rows with one id and one start share a range.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.min("doc_id").alias("least"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("q")).first()
-    bounds = sorted({cuts["least"], *(cuts["q"] or [])} - {None})
-    last = max(0, len(bounds) - 1)
-    if bounds:
-        at = F.array(*map(F.lit, bounds))
-        place = F.size(F.filter(at, lambda x: x <= F.col("doc_id"))) - 1
-        place = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.greatest(place, F.lit(0)))
-        extra = F.filter(F.array(*(F.struct(F.lit(b).alias("b"), F.lit((i - 1) % len(bounds)).alias("p"), F.lit(2 if i == 0 else 1).alias("r")) for i, b in enumerate(bounds))), lambda x: x["b"] == F.col("doc_id"))
-        # rank 0: rows of this range; 1: the next range's first rows; 2: the very first rows, after all
-        copies = F.concat(F.array(F.struct(place.cast("int").alias("p"), F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0)).alias("r"), F.lit(True).alias("own"))), F.transform(extra, lambda x: F.struct(x["p"].alias("p"), x["r"].alias("r"), F.lit(False).alias("own"))))
-    else:  # no ids: nulls only, or no rows
-        copies = F.array(*(F.struct(F.lit(0).alias("p"), F.lit(r).alias("r"), F.lit(r == 1).alias("own")) for r in (1, 2)))
-    dealt = rows.withColumn("c", F.explode(copies)).select("doc_id", "text", F.col("c.p").alias("p"), F.col("c.r").alias("r"), F.col("c.own").alias("own"))
-    ordered = dealt.repartitionById(last + 1, F.col("p")).sortWithinPartitions("r", "doc_id", "text")
+    rows = rows.withColumn("k", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.substring("text", 1, 32).alias("start")))
+    n, parts = range_count(rows, F.octet_length("text"))
+    ordered = deal_ranges(rows, n, parts, (("first", -1),), wrap=True).sortWithinPartitions("turn", "k", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # (doc_id, text, digest), not yet returned

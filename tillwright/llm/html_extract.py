@@ -28,10 +28,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, deal_ranges, range_count
 
 #: Fixed values of HTML: elements that hold no text, that end a block, that are never closed.
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video select option textarea button head title".split())
@@ -271,32 +271,6 @@ def main_text(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]
     return "\n\n".join(kept)
 
 
-#: Keys looked at for each bound of a range.
-SAMPLE = 20
-
-
-def _ranges(rows: DataFrame, parts: int) -> DataFrame:
-    """``rows`` dealt to ``parts`` ranges of the key ``k`` at most and sorted in each; own is false for
-    the rows of the ranges beside it, all with the key that is next to it. Rows of one key are in one range."""
-    keys = rows.select("k")
-    some = keys.distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLE * parts)
-    bounds = [r["k"] for r in some.orderBy("k").collect()][SAMPLE // 2 :: SAMPLE] if parts > 1 else []
-    kind = rows.schema["k"].dataType
-    literal = lambda values: F.array(*(F.struct(*map(F.lit, v)).cast(kind) for v in values))
-    place: Column = F.size(F.filter(literal(bounds), lambda x: x <= F.col("k"))) if bounds else F.lit(0)
-    ends = keys.groupBy(place.alias("p")).agg(F.min("k").alias("first"), F.max("k").alias("last")).orderBy("p").collect()
-    at = {r["p"]: i for i, r in enumerate(ends)}  # ranges that have rows, numbered anew
-    if not at:
-        return rows.withColumn("own", F.lit(True))
-    copies = [F.struct(F.lit(0).alias("step"), F.lit(True).alias("own"))]
-    if len(ends) > 1:
-        copies += [F.when(F.col("k") == F.get(literal([r[c] for r in ends]), F.col("p")), F.struct(F.lit(d).alias("step"), F.lit(False).alias("own"))) for c, d in (("first", -1), ("last", 1))]
-    number = F.get(F.array(*(F.lit(at.get(p, 0)) for p in range(len(bounds) + 1))), place)
-    dealt = rows.withColumn("p", number).withColumn("c", F.explode(F.array_compact(F.array(*copies))))
-    dealt = dealt.withColumn("to", F.col("p") + F.col("c.step")).withColumn("own", F.col("c.own")).filter(F.col("to").between(0, len(ends) - 1))
-    return dealt.repartitionById(len(ends), F.col("to")).sortWithinPartitions("k", F.xxhash64("url", "html"))
-
-
 OUT = "page_id long, url string, text string, n_chars long"
 
 
@@ -308,7 +282,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     path = F.coalesce(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("k", F.struct("host", "path", F.col("page_id").isNotNull().alias("has"), F.coalesce("page_id", F.lit(0)).alias("id")))
-    ordered = _ranges(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n, parts = range_count(rows, F.octet_length("html"))
+    ordered = deal_ranges(rows, n, parts, (("first", -1), ("last", 1))).sortWithinPartitions("k", F.xxhash64("url", "html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         earlier = held = None  # (page_id, url, host, lines, own)
