@@ -58,12 +58,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete every table written by ``materialize`` so far; results that read them must have been
-    consumed. Returns how many were deleted."""
+def written() -> int:
+    """How many tables ``materialize`` has written and ``release`` not deleted: a mark for ``since``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables written by ``materialize`` after the mark ``since``, but the last ``keep`` ones;
+    results that read them must have been consumed. Returns how many were deleted."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    end = max(since, len(_written) - keep)
+    gone, _written[since:end] = _written[since:end], []
     n = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
