@@ -1,11 +1,18 @@
-"""Five stages from raw documents to packed training sequences."""
+"""Five stages from raw documents to packed training sequences.
+
+Every stage takes an empty table, null values in any column and further columns. Null text counts as
+empty: the classifier scores it by the sample's statistics, exact dedup makes null and empty texts one
+group, near dedup links them with nothing, mixing takes no row without words, packing makes it one token.
+Rows with a null id are rows like others; rows that repeat an id and text are one document to both dedup
+stages. Ties: the larger id stays in exact dedup, the smaller in near dedup. Very long texts are read whole.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwright.llm import exact_dedup, mixing, near_dedup, packing, quality
-from tillwright.session import materialize
+from tillwright.session import materialize, release, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = written()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, mark, keep=1)  # what this stage read is no longer needed
     return docs
