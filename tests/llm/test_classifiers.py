@@ -86,6 +86,23 @@ def test_grams_by_hand():
     assert len(toxicity.present(None)) == 0 and len(toxicity.present("abc")) == 0
 
 
+def test_ratios_and_score_against_plain_version():
+    import math
+
+    n0, n1 = np.array([3, 0, 10]), np.array([1, 6, 10])
+    want = [math.log((b + 1) / (17 + 3)) - math.log((a + 1) / (13 + 3)) for a, b in zip(n0, n1)]
+    assert np.allclose(toxicity.ratios(n0, n1), want)
+    text = "Añb cd ÑB🙂"
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    distinct = {low[i : i + n] for n in toxicity.ORDERS for i in range(len(low) - n + 1)}
+    assert len(toxicity.present(text)) == len(distinct)  # characters, not bytes
+    column = np.full(1 << toxicity.BITS, -1, np.int32)
+    buckets = sorted(toxicity.present(text).tolist())
+    column[buckets[:5]] = np.arange(5)
+    model = toxicity.Linear(column, np.array([0.5, -1.0, 2.0, 0.25, 0.125]), -0.75)
+    assert model.score(text * 3) == pytest.approx(1 / (1 + math.exp(0.75 - 1.875)))
+
+
 def test_keep_good_keeps_columns(spark):
     docs, labels, truth = corpus(spark)
     out = quality.keep_good(docs.withColumnRenamed("lang", "score"), quality.train(docs, labels))

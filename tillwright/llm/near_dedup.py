@@ -20,7 +20,9 @@ A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 <
 
 Defined cases: null text or one without words has no shingle and is linked with nothing; a text with
 fewer words than a shingle is one shingle; a row with a null id is linked with nothing and stays; rows
-that share an id are one node (the stage, drop_near_copies, links both kinds by a key of its own); an empty table gives an empty result; further columns are ignored.
+that share an id are one node (the stage, drop_near_copies, links both kinds by a key of its own); a very
+long text is one set, held whole in the task that compares it; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ the text's length). Labels, lang, source and doc_id are no inputs.
 Fitted on the driver from a bounded sample (PER_CLASS rows of each label). Defined cases: null text is
 empty and is scored like any text; a null or absent n_chars is one of its own; without labels of both
 kinds every score is the share of label 1 among those there are (0.5 without any); a null id is not
-held out; an empty table gives an empty result; further columns are ignored.
+held out; repeated rows are scored alike; a very long text is read whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

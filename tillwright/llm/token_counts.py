@@ -12,7 +12,8 @@ space marks, each followed by a word, that are solved one by one and kept by wor
 without a piece count as many tokens as they have UTF-8 bytes and nothing merges across them.
 
 Defined cases: null text is empty and has no token; an empty text has none; special strings are
-ordinary text; further columns are ignored.
+ordinary text; a null id is kept; repeated rows are counted alike; a very long text is counted whole, in
+memory in proportion to it; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,14 +1,17 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the presence of hashed byte n-grams (ORDERS) of the text with A-Z in lower case.
-Each is scaled by r = log of its smoothed share among the presences of toxic training texts over that
-among the others. The SELECTED n-grams with the largest abs(r) that at least MIN_TEXTS training texts
-have are the inputs of a logistic regression. The counts behind r are summed on the executors; the
-sample is bounded (PER_CLASS rows of each label).
+A text's features are the presence of hashed character n-grams (ORDERS, of code points) of the text with
+A-Z in lower case. Each is scaled by r = log of its smoothed share among the presences of toxic training
+texts over that among the others. Of the n-grams that at least MIN_TEXTS training texts have, the SELECTED
+ones with the largest abs(r) * sqrt(number of texts) are the inputs of a logistic regression: a large ratio
+of few texts may be chance. The counts behind r are summed on the executors; the sample is bounded
+(PER_CLASS rows of each label). With fewer than FULL sampled rows the penalty on weights is larger in
+proportion (DECAY * FULL / rows), so few labels give a more cautious model.
 
 Defined cases: null text is empty and is scored by the bias; without labels of both kinds every score
-is the share of label 1 among those there are (0 without any); a null id is not held out; an empty
-table gives an empty result; further columns are ignored.
+is the share of label 1 among those there are (0 without any); a null id is not held out; repeated rows
+are scored alike; a very long text is read whole, in memory of its own size; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +34,14 @@ MIN_TEXTS = 5
 PER_CLASS = 4000
 SMOOTH = 1.0
 EPOCHS = 40
+DECAY, FULL = 2e-4, 4000
 _MULT = np.uint32(0x9E3779B1)
 
 
 def grams(text: str | None) -> Iterator[np.ndarray]:
     """Buckets of the n-grams of each order, one for each place in the text."""
-    b = np.frombuffer((text or "").encode("utf-8", "replace").lower(), np.uint8).astype(np.uint32)
+    b = np.frombuffer((text or "").encode("utf-32-le", "replace"), "<u4").astype(np.uint32)
+    b[(b >= 65) & (b <= 90)] += np.uint32(32)
     h, k = np.full(len(b), 0x811C9DC5, np.uint32), 0
     for order in ORDERS:
         while k < order:
@@ -74,13 +79,18 @@ class Linear:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def ratios(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Naive Bayes log-count ratio of each n-gram from its texts of label 0 and 1."""
+    return np.log((n1 + SMOOTH) / max(1.0, (n1 + SMOOTH).sum())) - np.log((n0 + SMOOTH) / max(1.0, (n0 + SMOOTH).sum()))
+
+
 def fit(x: np.ndarray, y: np.ndarray, r: np.ndarray, seed: int = 3) -> tuple[np.ndarray, float]:
     """(weights of the presences, bias) by Adam on the logistic loss, both labels weighing the same."""
     rng = np.random.default_rng(seed)
     scale = r / max(1e-6, np.abs(r).max())
     w, bias, a, q, ab, qb, step = np.zeros(x.shape[1]), 0.0, 0.0, 0.0, 0.0, 0.0, 0
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    decay = 2e-4 * max(1.0, 4000 / len(y))  # few rows, stronger regularisation
+    decay = DECAY * max(1.0, FULL / len(y))
     for epoch in range(EPOCHS):
         for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // 128)):
             step += 1
@@ -113,8 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     sums = sample.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     got = sums.filter(F.col("n0") + F.col("n1") >= MIN_TEXTS).toArrow()  # 2**BITS rows at most
     bucket, n0, n1 = (got.column(c).to_numpy() for c in ("bucket", "n0", "n1"))
-    r = np.log((n1 + SMOOTH) / max(1.0, (n1 + SMOOTH).sum())) - np.log((n0 + SMOOTH) / max(1.0, (n0 + SMOOTH).sum()))
-    # the surest first: a large ratio of few texts may be chance
+    r = ratios(n0, n1)
     top = np.lexsort((bucket, -np.abs(r) * np.sqrt(n0 + n1)))[:SELECTED]
     column = np.full(1 << BITS, -1, np.int32)
     column[bucket[top]] = np.arange(len(top))
