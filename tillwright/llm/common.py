@@ -55,6 +55,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return marked.filter(~missing).select(*cold.columns).unionByName(cold)
 
 
+def join_heavy_apart(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with one row per ``key`` (a long) in ``groups`` (``size``: its rows). Groups above
+    total/HEAVY_SHARE rows, HEAVY_SHARE at most, are told apart by a set of constants: their rows are joined
+    by broadcast and never shuffled, and no other row takes part in that join."""
+    limit = max(1, total // HEAVY_SHARE)
+    heavy = [r[0] for r in groups.filter(F.col(size) > limit).select(key).collect()]
+    if not heavy:
+        return rows.join(groups, key)
+    apart = F.col(key).isin(heavy)
+    hot = rows.filter(apart).join(F.broadcast(groups.filter(F.col(size) > limit)), key)
+    return hot.unionByName(rows.filter(~apart).join(groups.filter(F.col(size) <= limit), key))
+
+
 def join_salted(rows: DataFrame, table: DataFrame, key: str, other: Column, counts: DataFrame) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (one row per ``key``; counts: its rows n in ``rows``). Keys with
     more than 1/HEAVY_SHARE of the rows are salted: their rows are dealt by ``other`` to parts of that size

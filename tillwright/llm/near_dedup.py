@@ -36,13 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import bounded_batches, free_name, join_groups, join_salted
+from .common import HEAVY_SHARE, bounded_batches, free_name, join_groups, join_heavy_apart, join_salted
 
 HASHES, BANDS, ROWS, BITS = 128, 32, 4, 4
 LONGS = HASHES * BITS // 64
 MARGIN = 0.22
 #: Classes of one bucket, and shingles of one rough component, in one block of a comparison.
-BLOCK = 4096
+BLOCK = 1024
 BLOCK_SHINGLES = 300_000
 #: Links that one task contracts.
 LOCAL_LINKS = 1_000_000
@@ -240,12 +240,15 @@ def components(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def _in_blocks(rows: DataFrame, by: str, weight: Column, most: int) -> DataFrame:
-    """Rows dealt so that each pair of one group meets in one task: a group whose weights sum to more
+def _in_blocks(rows: DataFrame, by: str, weight: Column | None, most: int) -> DataFrame:
+    """Rows dealt so that each pair of one group meets in one task: a group whose weights (1 if none) sum to more
     than ``most`` is dealt to several blocks, and two blocks (p, q) of it are compared at a time. The
     first columns are the group, p, q, and the row's own block i."""
+    total = rows.count()
+    if weight is None:  # larger blocks of more rows: a row of a large group is copied to fewer of them
+        weight, most = F.lit(1), max(most, min(16 * most, total // HEAVY_SHARE))
     n = rows.groupBy(by).agg(F.ceil(F.sum(weight) / most).cast("int").alias("n"), F.count("*").alias("rows"))
-    dealt = join_groups(rows, n, by, "rows", rows.count()).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    dealt = join_heavy_apart(rows, n, by, "rows", total).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select(by, F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", *(c for c in rows.columns if c != by))
     return dealt.repartition(by, "p", "q").sortWithinPartitions(by, "p", "q")
@@ -329,8 +332,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     entries = classes.select("rep", F.explode("bands").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     hubs = materialize(hubs, "hubs")
-    met = join_groups(entries, hubs, "key", "n", BANDS * classes.count())
-    shared = materialize(met.filter("hub is not null").select("key", "rep", "hub"), "buckets")
+    met = join_heavy_apart(entries, hubs, "key", "n", BANDS * classes.count())
+    shared = materialize(met.select("key", "rep", "hub"), "buckets")
     sigs = classes.select("rep", "sig")
     least = least_equal(percent / 100)
     stars = shared.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
@@ -346,9 +349,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     named = shared.filter("rep <> hub").join(first, shared["rep"] == first["node"], "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     named = materialize(named, "named")
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("met")).filter("lo < hi").select("key", "met")
-    named = join_groups(named, mixed, "key", "met", named.count()).filter("met is not null")
+    named = join_heavy_apart(named, mixed, "key", "met", named.count())
     rest = materialize(named.join(sigs, "rep").select("key", "rep", "label", "sig"), "rest")
-    rough = _in_blocks(rest, "key", F.lit(1), BLOCK).mapInArrow(lambda it: _forest(it, least, None), "a long, b long").distinct()
+    rough = _in_blocks(rest, "key", None, BLOCK).mapInArrow(lambda it: _forest(it, least, None), "a long, b long").distinct()
     stars_too = first.select(F.col("node").alias("a"), F.col("label").alias("b"))
     # what may be linked lies in one rough component; where that has several labels, full sets decide
     rough = components(rough.unionByName(stars_too)).withColumnRenamed("label", "rough")
@@ -356,7 +359,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     inside = rough.join(first, "node", "left").select(F.col("node").alias("rep"), "rough", F.coalesce("label", "node").alias("label"))
     inside = materialize(inside, "rough")
     several = inside.groupBy("rough").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("met")).filter("lo < hi").select("rough", "met")
-    inside = join_groups(inside, several, "rough", "met", inside.count()).filter("met is not null")
+    inside = join_heavy_apart(inside, several, "rough", "met", inside.count())
     inside = inside.join(sigs, "rep").join(sets, "rep").select("rough", "rep", "label", "sig", "set")
     inside = materialize(inside, "inside")
     bounded_batches(docs.sparkSession, 200)
