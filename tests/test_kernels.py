@@ -115,3 +115,34 @@ def test_multi_key_match_takes_the_best_right_row_of_a_key_before_the_join(spark
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     join = plan.index("Join Inner")
     assert "Aggregate [rkey" in plan[join:]  # else a key of n rows on either side makes n * n pairs
+
+
+def test_a_suspicious_name_counts_in_its_own_receipt_only(spark):
+    from tillwright.operators import validation
+
+    items = spark.createDataFrame([(1, "TEA", 2.0), (2, "TEA", 3.0), (2, "MILK", None), (3, None, 1.0)], "receipt_id long, item_name string, price double")
+    names = spark.createDataFrame([(1, "TEA"), (2, "MILK"), (3, None)], "receipt_id long, item_name string")
+    got = sorted((r.receipt_id, r.item_name or "", r.flag, r.flag_reason) for r in validation.item_flags(items, names).collect())
+    assert got == [(1, "TEA", "price_outlier", "Price outlier detected: $2.00"), (2, "MILK", "missing_price", "Missing price - not extracted from receipt"), (2, "TEA", "clean", "OK - passed validation"), (3, "", "clean", "OK - passed validation")]
+
+
+def test_numbers_go_on_without_gaps(spark):
+    from tillwright.operators.workflow import number_rows
+    from pyspark.sql import functions as F
+
+    old = spark.createDataFrame([(7,)], "id long")
+    got = number_rows(spark.range(1000).repartition(7).withColumnRenamed("id", "v"), old, "id", F.col("v").desc()).collect()
+    assert sorted((r.id, r.v) for r in got) == [(8 + i, 999 - i) for i in range(1000)]
+    assert number_rows(spark.range(0).withColumnRenamed("id", "v"), old, "id", F.col("v")).count() == 0
+
+
+def test_empty_tables_go_through_the_workflow(spark):
+    from pyspark.sql import functions as F
+
+    from tillwright.operators import review
+
+    t, now = review.empty_tables(spark), F.current_timestamp()
+    assert set(t) == {"receipts", "items", "validation", "summary", "runs", "run_items"}
+    out = review.approve_runs(t, spark.createDataFrame([(5, "me")], "llm_run_id long, approved_by string"), now)
+    assert [tuple(r) for r in out["rejects"].collect()] == [(5, "not_found")] and out["items"].count() == 0
+    assert review.detail(t).count() == 0

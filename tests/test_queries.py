@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tillwright.plans import more as fixtures
+from tillwright.plans import registry as fixtures
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")

@@ -181,10 +181,17 @@ def validate_all(receipts: DataFrame, items: DataFrame, rules: Rules = Rules())
 
 
 def item_flags(items: DataFrame, suspicious: DataFrame) -> DataFrame:
-    """flag of each item: missing_price, price_outlier (its name is among ``suspicious``), clean."""
-    names = suspicious.select(F.col("item_name").alias("s_name")).filter("s_name is not null").distinct()
+    """flag and flag_reason of each item: missing_price, price_outlier (its name is among the ``suspicious``
+    ones (receipt_id, item_name) of its own receipt), clean."""
+    names = suspicious.select(F.col("receipt_id").alias("s_receipt"), F.col("item_name").alias("s_name")).filter("s_name is not null").distinct()
+    on = (F.col("receipt_id") == F.col("s_receipt")) & (F.coalesce("item_name", F.lit("")) == F.col("s_name"))
     flag = F.when(F.col("price").isNull(), "missing_price").when(F.col("s_name").isNotNull(), "price_outlier").otherwise("clean")
-    return items.join(names, F.col("item_name") == F.col("s_name"), "left").withColumn("flag", flag).drop("s_name")
+    # fixed values: the wording of the reasons
+    reason = (
+        F.when(F.col("flag") == "missing_price", "Missing price - not extracted from receipt")
+        .when(F.col("flag") == "price_outlier", F.concat(F.lit("Price outlier detected: $"), F.format_string("%.2f", F.col("price").cast("double")))).otherwise("OK - passed validation")
+    )
+    return items.join(names, on, "left").withColumn("flag", flag).withColumn("flag_reason", reason).drop("s_receipt", "s_name")
 
 
 def flag_summary(flagged: DataFrame) -> DataFrame:

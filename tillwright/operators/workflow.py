@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 STATUSES = ("Pending", "Processed", "Failed", "Error")
 
 
@@ -26,6 +28,23 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return top.select("receipt_id", *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
+def number_rows(df: DataFrame, after: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with ids ``name`` that go on, without a gap, after the largest of ``after``, in the given order.
+    Rows are sorted by ranges and written once; a range's first number is the sum of the counts before it, so
+    no task but the one over those counts sees more than its range."""
+    kind = after.schema[name].dataType if name in after.columns else "long"
+    placed = df.drop(name).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(placed.withColumn("_place", F.monotonically_increasing_id()), f"numbered-{name}")
+    part = F.shiftright("_place", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    top = after.agg(F.coalesce(F.max(name), F.lit(0)).alias("_top"))
+    offsets = counts.select("_part", before.alias("_before")).crossJoin(top)
+    got = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    number = F.col("_top") + F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return got.withColumn(name, number.cast(kind)).drop("_part", "_place", "_before", "_top")
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "source_id", surrogate: str = "receipt_id", seq: str = "seq") -> DataFrame:
     """Insert or replace by ``key``: a replaced row keeps its surrogate id, new ones go on after the
     largest; of incoming rows with one key the largest ``seq`` wins. Saving again resets the review
@@ -33,11 +52,9 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "source_id", sur
     new = latest(incoming, key, F.col(seq))
     old = existing.select(F.col(key).alias("__key"), F.col(surrogate).alias("__id"))
     joined = new.join(old, new[key] == F.col("__key"), "left")
-    top = existing.agg(F.coalesce(F.max(surrogate), F.lit(0)).alias("__top"))
-    fresh = joined.filter("__id is null").crossJoin(top)
-    # a global number without a global sort would need two passes; new keys are few against the table
-    numbered = fresh.withColumn("__id", (F.col("__top") + F.row_number().over(Window.orderBy(key))).cast(existing.schema[surrogate].dataType)).drop("__top")
-    saved = joined.filter("__id is not null").unionByName(numbered).withColumn(surrogate, F.col("__id"))
+    fresh = number_rows(joined.filter("__id is null").drop("__key", "__id"), existing, surrogate, F.col(key))
+    again = joined.filter("__id is not null").withColumn(surrogate, F.col("__id")).drop("__key", "__id")
+    saved = again.unionByName(fresh)
     if "status" in existing.columns:
         saved = saved.withColumn("status", F.lit("Pending"))
     if "ai_review_status" in existing.columns:

@@ -218,19 +218,19 @@ def label_sequence(spark, d):
     return validation.label_sequence(docs).select("receipt_id", "first_token")
 
 
-_FLAGS = f"""WITH {ITEMS}, g AS (SELECT receipt_id, line_no, item_name, CASE WHEN part_id % 13 <> 0 THEN price END AS price FROM items), s AS (SELECT DISTINCT p_name FROM part WHERE p_partkey % 40 = 7),
-f AS (SELECT g.receipt_id, g.line_no, CASE WHEN price IS NULL THEN 'missing_price' WHEN p_name IS NOT NULL THEN 'price_outlier' ELSE 'clean' END AS flag FROM g LEFT JOIN s ON item_name = p_name)"""
+_FLAGS = f"""WITH {ITEMS}, g AS (SELECT receipt_id, line_no, item_name, CASE WHEN part_id % 13 <> 0 THEN price END AS price FROM items), s AS (SELECT DISTINCT receipt_id AS sr, item_name AS sn FROM items WHERE (part_id + receipt_id) % 40 = 7),
+f AS (SELECT g.receipt_id, g.line_no, CASE WHEN price IS NULL THEN 'missing_price' WHEN sn IS NOT NULL THEN 'price_outlier' ELSE 'clean' END AS flag, CASE WHEN price IS NULL THEN 'Missing price - not extracted from receipt'
+  WHEN sn IS NOT NULL THEN 'Price outlier detected: $' || price ELSE 'OK - passed validation' END AS flag_reason FROM g LEFT JOIN s ON receipt_id = sr AND item_name = sn)"""
 
 
 def _flags(spark, d):
     i = adapters.items(spark, d).withColumn("price", F.when(F.col("part_id") % 13 != 0, F.col("price")))
-    names = adapters.read(spark, d, "part").filter("p_partkey % 40 = 7").select(F.col("p_name").alias("item_name"))
-    return validation.item_flags(i, names)
+    return validation.item_flags(i, i.filter("(part_id + receipt_id) % 40 = 7").select("receipt_id", "item_name"))
 
 
 @query(_FLAGS + " SELECT * FROM f")
 def item_flags(spark, d):
-    return _flags(spark, d).select("receipt_id", "line_no", "flag")
+    return _flags(spark, d).select("receipt_id", "line_no", "flag", "flag_reason")
 
 
 @query(_FLAGS + ", t AS (SELECT count(*) AS total, count(*) FILTER (flag = 'clean') AS clean FROM f) SELECT flag, count(*) AS n, any_value(total) AS total, printf('%.1f', any_value(clean) * 100 / any_value(total)) || '%' AS clean_pct FROM f, t GROUP BY flag")
@@ -368,13 +368,12 @@ def position_join(spark, d):
     return out.select("receipt_id", "line_no", "r_qty")
 
 
-@query(f"""WITH {RECEIPTS}, l AS (SELECT receipt_id, source_id AS a, job_id AS b FROM receipts WHERE receipt_id % 2 = 0), r AS (SELECT receipt_id AS id, CASE WHEN receipt_id % 4 = 0 THEN source_id ELSE job_id END AS k FROM receipts WHERE receipt_id % 6 = 0 AND receipt_id < 5000),
-c AS (SELECT l.receipt_id, 0 AS p, r.id FROM l JOIN r ON l.a = r.k UNION ALL SELECT l.receipt_id, 1, r.id FROM l JOIN r ON l.b = r.k)
-SELECT l.receipt_id, m.id AS m_id FROM l LEFT JOIN (SELECT receipt_id, arg_min(id, p * 10000000 + id) AS id FROM c GROUP BY 1) m USING (receipt_id)""")
+@query(f"""WITH {RECEIPTS}, l AS (SELECT receipt_id, source_id AS a, job_id AS b FROM receipts WHERE receipt_id % 2 = 0), r AS (SELECT CASE WHEN receipt_id % 4 = 0 THEN source_id ELSE job_id END AS k, min(receipt_id) AS id FROM receipts WHERE receipt_id % 6 = 0 GROUP BY 1)
+SELECT receipt_id, coalesce(x.id, y.id) AS m_id FROM l LEFT JOIN r x ON l.a = x.k LEFT JOIN r y ON l.b = y.k""")
 def multi_key_match(spark, d):
     r = adapters.receipts(spark, d)
     left = r.filter("receipt_id % 2 = 0").select("receipt_id", "source_id", "job_id")
-    right = r.filter("receipt_id % 6 = 0 and receipt_id < 5000").select(F.col("receipt_id").alias("id"), F.when(F.col("receipt_id") % 4 == 0, F.col("source_id")).otherwise(F.col("job_id")).alias("k"))
+    right = r.filter("receipt_id % 6 = 0").select(F.col("receipt_id").alias("id"), F.when(F.col("receipt_id") % 4 == 0, F.col("source_id")).otherwise(F.col("job_id")).alias("k"))
     return workflow.multi_key_match(left, right, "receipt_id", [F.col("source_id"), F.col("job_id")], [F.col("k")]).select("receipt_id", "m_id")
 
 

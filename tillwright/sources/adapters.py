@@ -19,7 +19,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     total = F.col("o_totalprice").cast(MONEY)
     day = F.col("o_orderdate").cast("date")
-    pick = lambda n, values: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    pick = lambda n, values: F.get(F.array(*map(F.lit, values)), F.pmod(k, F.lit(n)).cast("int"))
     return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select(
         k.alias("receipt_id"),
         F.concat(F.lit("job-"), (k % 97).cast("string")).alias("job_id"),
