@@ -146,3 +146,15 @@ def test_empty_tables_go_through_the_workflow(spark):
     out = review.approve_runs(t, spark.createDataFrame([(5, "me")], "llm_run_id long, approved_by string"), now)
     assert [tuple(r) for r in out["rejects"].collect()] == [(5, "not_found")] and out["items"].count() == 0
     assert review.detail(t).count() == 0
+
+
+def test_token_splitting_by_rule():
+    from tillwright.operators import blocks
+
+    cases = {
+        "LGWATER": ["LG", "WATER"], "GLAZED HAM": ["GLAZED", "HAM"], "JUICE4.25": ["JUICE", "4.25"], "16Feb19": ["16Feb19"], "2024-02-16 9:24PM": ["2024-02-16", "9:24PM"], "Ba lance 3.10": ["Balance", "3.10"],
+        "VAT:GB12": ["VAT:GB12"], "Table7": ["Table", "7"], "Table7 330ml": ["Table", "7", "330ml"], "-12,50": ["-12,50"], "12Eggs": ["12", "Eggs"], "AB12C": ["AB12C"], "ABCDEF12": ["ABCDEF", "12"],
+        "thankyou": ["THANK", "YOU"], "3$4": ["3", "$4"], "see www.a1b.com": ["see", "www.a1b.com"], "": [], None: [],
+    }
+    assert {t: blocks.split_text(t) for t in cases} == cases
+    assert list(blocks.protected("a 1:30 b 2.50kg")) == [(2, 6), (9, 15)]

@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.money import MISREAD
+
 # Words and patterns that decide what a group is.
 EACH = re.compile(r"\b(each|ea\.?|@)\b", re.I)
 TIP = re.compile(r"\b(gratuity|grat|tip|tipping|service)\b|\b\d{1,2}\s*%\b", re.I)
@@ -50,7 +52,7 @@ def tidy(text: str) -> str:
     if re.match(r"[xX]{6,}$", t) or re.match(r"x{6,}", t):
         return ""
     t = re.sub(r"^[\s*:;,.+=]+|[\s*:;,.+=]+$", "", t)
-    for wrong, right in (("O0", "00"), ("l1", "11"), ("S5", "55"), ("B8", "88"), ("Z2", "22")):
+    for wrong, right in MISREAD:
         t = t.replace(wrong, right)
     return t.strip()
 
