@@ -158,3 +158,37 @@ def test_token_splitting_by_rule():
     }
     assert {t: blocks.split_text(t) for t in cases} == cases
     assert list(blocks.protected("a 1:30 b 2.50kg")) == [(2, 6), (9, 15)]
+
+
+def test_fuzzy_summary_with_a_gratuity(spark):
+    from tillwright.operators import summary
+
+    rows = [
+        (1, "Subtotal 50.05\nTax 5.46\nTotal 55.51\n18% Gratuity\nGratuity 9.01\nTotal 64.52"), (2, "Soda 27.36\nSubtotal 2.60\nTotal 29.96"), (3, "x\nitem a 1.00\nitem b 9.00"), (4, None), (5, "Subtotl 10.00\nTtal 11.30\nHST 1.30"),
+    ]
+    got = {r.receipt_id: (r.subtotal, r.tax, r.total, r.pre_total, r.gratuity) for r in summary.fuzzy(spark.createDataFrame(rows, "receipt_id long, text string")).collect()}
+    assert got[1] == (50.05, 5.46, 64.52, 55.51, 9.01)
+    assert got[2][:3] == (27.36, 2.6, 29.96) and got[3][2] == 9.0 and got[4] == (None,) * 5 and got[5][:3] == (None, 1.3, 11.3)  # the amount counts in the edit distance
+
+
+def test_summary_rescue_and_row_tax(spark):
+    from tillwright.operators import summary
+
+    base = spark.createDataFrame([(1, None, None, 9.0, 0.0, 0.0, 0.5), (2, None, 1.0, None, 0.0, 0.9, 0.0)], "receipt_id long, subtotal double, tax double, total double, subtotal_confidence double, tax_confidence double, total_confidence double")
+    first = spark.createDataFrame([(1, 8.0, 1.0)], "receipt_id long, subtotal double, total double")
+    rows = spark.createDataFrame([(1, "HST 100.00 @ 13% 13.00"), (1, "GST 2.50"), (1, "GST 2.50"), (2, "Tax 44.00"), (2, "TOTAL TAX 3.00")], "receipt_id long, text string")
+    taxes = summary.row_tax(rows)
+    assert {r.receipt_id: r.tax for r in taxes.collect()} == {1: 2.5}
+    got = {r.receipt_id: tuple(r)[1:] for r in summary.rescue(base, first, taxes.select("receipt_id", "tax")).collect()}
+    assert got == {1: (8.0, 2.5, 9.0, 0.8, 0.92, 0.5), 2: (None, 1.0, None, 0.0, 0.9, 0.0)}
+
+
+def test_a_failing_receipt_does_not_stop_the_others(spark):
+    from tillwright.operators import items
+
+    rows = [(1, 0, "TEA", "B-MENU.NM", 0.9, 0, 0, 9, 9), (1, 1, "2.99", "B-MENU.PRICE", 0.9, 20, 0, 29, 9), (None, 0, "TEA", "B-MENU.NM", 0.9, 0, 0, 9, 9), (None, 1, "2.99", "B-MENU.PRICE", 0.9, 20, 0, 29, 9)]
+    t = spark.createDataFrame(rows, "receipt_id long, idx int, word string, label string, conf double, x1 int, y1 int, x2 int, y2 int")
+    good = items.extract_items(t).collect()
+    assert all(r.receipt_id == 1 for r in good)
+    errors = items.extract_items(t, with_errors=True).filter("error is not null").collect()
+    assert len(errors) == 1 and errors[0].receipt_id is None and errors[0].name is None

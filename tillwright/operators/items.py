@@ -8,7 +8,7 @@ regions and the summary's corrections also exist as native operators (``sequence
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -515,29 +515,45 @@ def _receipt(pdf: pd.DataFrame):
 _COLUMNS = ("receipt_id", "idx", "word", "label", "conf", "x1", "y1", "x2", "y2")
 
 
-def extract_items(tokens: DataFrame, kind: str = "adaptive", settings: Settings = Settings()) -> DataFrame:
-    """Items of every receipt's tokens. ``kind`` forces one extractor. A receipt that fails gives no rows."""
+def _isolated(tokens: DataFrame, run: Callable[[pd.DataFrame], list[tuple]], schema: str, with_errors: bool) -> DataFrame:
+    """``run`` for each receipt, as rows of the schema. One that raises gives no rows, or where ``with_errors``
+    one row with its id and the error alone: the other receipts go on."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def safe(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            rows = [(*r, None) for r in run(pdf)]
+        except Exception as e:  # whatever one receipt's data breaks
+            rows = [(key[0], *(None for _ in names[1:]), f"{type(e).__name__}: {e}")] if with_errors else []
+        out = pd.DataFrame(rows, columns=[*names, "error"]).astype(object)
+        return out if with_errors else out[names]
+
+    return tokens.select(*_COLUMNS).groupBy("receipt_id").applyInPandas(safe, schema + ", error string" * with_errors)
+
+
+def extract_items(tokens: DataFrame, kind: str = "adaptive", settings: Settings = Settings(), with_errors: bool = False) -> DataFrame:
+    """Items of every receipt's tokens. ``kind`` forces one extractor. A receipt that fails gives no rows, or
+    its error."""
+
+    def run(pdf: pd.DataFrame) -> list[tuple]:
         words, labels, confs, groups = _receipt(pdf)
         found = adaptive(groups, words, labels, confs, settings) if kind == "adaptive" else KINDS[kind](groups, settings)
-        rows = [(int(pdf.receipt_id.iloc[0]), i, x.name, x.price, x.unit_price, x.tokens, x.conf, x.source) for i, x in enumerate(found, 1)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in ITEMS.split(", ")])
+        return [(int(pdf.receipt_id.iloc[0]), i, x.name, x.price, x.unit_price, x.tokens, x.conf, x.source) for i, x in enumerate(found, 1)]
 
-    return tokens.select(*_COLUMNS).groupBy("receipt_id").applyInPandas(run, ITEMS)
+    return _isolated(tokens, run, ITEMS, with_errors)
 
 
-def extract_summary(tokens: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Corrected subtotal, tax and total of every receipt, with its layout and number of items."""
+def extract_summary(tokens: DataFrame, settings: Settings = Settings(), with_errors: bool = False) -> DataFrame:
+    """Corrected subtotal, tax and total of every receipt, with its layout and number of items. A receipt that
+    fails gives no row, or its error."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> list[tuple]:
         words, labels, confs, groups = _receipt(pdf)
         found = adaptive(groups, words, labels, confs, settings)
         f = corrected(summary_fields(groups, settings), sum(x.price for x in found))
-        row = (int(pdf.receipt_id.iloc[0]), *(f[k] for k in ("subtotal", "tax", "total", "subtotal_conf", "tax_conf", "total_conf")), layout(groups, settings.reach, 1.5), len(found))
-        return pd.DataFrame([row], columns=[c.split()[0] for c in SUMMARY.split(", ")]).astype({"subtotal": float, "tax": float, "total": float})
+        return [(int(pdf.receipt_id.iloc[0]), *(f[k] for k in ("subtotal", "tax", "total", "subtotal_conf", "tax_conf", "total_conf")), layout(groups, settings.reach, 1.5), len(found))]
 
-    return tokens.select(*_COLUMNS).groupBy("receipt_id").applyInPandas(run, SUMMARY)
+    return _isolated(tokens, run, SUMMARY, with_errors)
 
 
 def windows(values: list, size: int) -> Iterator[list]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dashboard, validation, workflow
+from ..operators import dashboard, review, validation, workflow
 
 Tables = dict[str, DataFrame]
 
@@ -35,10 +35,21 @@ def list_receipts(t: Tables) -> DataFrame:
 
 
 def get_receipt(t: Tables, receipt_id: int) -> DataFrame:
-    """One receipt with its items; the filter reaches every scan."""
+    """One receipt with items, summary and validation; the filter reaches every scan but that of the runs'
+    items, which are joined by the receipt's few run ids."""
     one = lambda df: df.filter(F.col("receipt_id") == receipt_id)
-    runs = t.get("run_items")
-    return workflow.receipt_detail(one(t["receipts"]), one(t["items"]), run_items=runs)
+    if "summary" not in t:
+        return workflow.receipt_detail(one(t["receipts"]), one(t["items"]), run_items=t.get("run_items"))
+    runs = one(t["runs"])
+    mine = t["run_items"].join(F.broadcast(runs.select("llm_run_id")), "llm_run_id", "left_semi")
+    return review.detail({"receipts": one(t["receipts"]), "items": one(t["items"]), "summary": one(t["summary"]), "runs": runs, "run_items": mine}, one(t["validation"]) if "validation" in t else None)
+
+
+def get_llm(t: Tables, receipt_id: int) -> DataFrame:
+    """The newest model run of a receipt with its items in order; no row without a run."""
+    newest = workflow.latest_runs(t["runs"].filter(F.col("receipt_id") == receipt_id))
+    mine = t["run_items"].join(F.broadcast(newest.select("llm_run_id")), "llm_run_id", "left_semi")
+    return review.run_with_items(newest, mine)
 
 
 def get_validation(t: Tables, receipt_id: int) -> DataFrame:
@@ -46,16 +57,19 @@ def get_validation(t: Tables, receipt_id: int) -> DataFrame:
 
 
 def get_run(t: Tables, llm_run_id: int) -> DataFrame:
-    """A run's items in order."""
-    return t["run_items"].filter(F.col("llm_run_id") == llm_run_id).orderBy("line_no")
+    """A run with its items in order; no row if it is unknown."""
+    one = lambda df: df.filter(F.col("llm_run_id") == llm_run_id)
+    return review.run_with_items(one(t["runs"]), one(t["run_items"]))
 
 
-def put_approve(t: Tables, edits: DataFrame) -> DataFrame:
-    return workflow.ui_approve(t["receipts"], edits)
+def put_approve(t: Tables, edits: DataFrame, now: Column) -> Tables:
+    """All tables that saving the review screen changes, and the refused edits."""
+    return review.approve_edits(t, edits, now)
 
 
-def put_status(t: Tables, requests: DataFrame) -> DataFrame:
-    return workflow.set_status(t["receipts"], requests)
+def put_status(t: Tables, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(receipts, refused requests)."""
+    return review.set_status(t["receipts"], requests, now)
 
 
 def post_reject(t: Tables, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,8 +77,12 @@ def post_reject(t: Tables, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return workflow.reject_runs(t["receipts"], requests), workflow.reject_rejects(t["receipts"], requests)
 
 
-def post_approve_run(t: Tables, runs: DataFrame) -> DataFrame:
-    return workflow.approve_runs(t["receipts"], runs)
+def post_approve_run(t: Tables, requests: DataFrame, now: Column) -> Tables:
+    return review.approve_runs(t, requests, now)
+
+
+def post_reject_run(t: Tables, requests: DataFrame, now: Column) -> Tables:
+    return review.reject_runs(t, requests, now)
 
 
 def post_process(t: Tables) -> DataFrame:
@@ -72,6 +90,31 @@ def post_process(t: Tables) -> DataFrame:
     return validation.validate_all(t["receipts"], t["items"])
 
 
+def post_process_ocr(spark: SparkSession, path: str, first: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tokens, results, summary) of the OCR documents under a path; a broken one is a result with an error."""
+    from ..operators import intake
+    from ..sources import ocr
+
+    return intake.batch(ocr.scan_json(spark, path), first)
+
+
+def post_auto_fix_staged(t: Tables, answers: DataFrame, now: Column, default_currency: str = "CAD") -> Tables:
+    """Stage model answers (receipt_id, seq, response, ocr_text, has_image, ocr_confidence): the route is chosen
+    from the OCR text, the answer is read, and the run waits for review. Answers without a JSON object are in
+    ``rejects``."""
+    from ..functions import llm_json, text
+
+    route = text.llm_route(F.col("ocr_text"), F.col("has_image"), F.col("ocr_confidence"))
+    got = answers.withColumns({"r": llm_json.receipt(F.col("response"), default_currency), "route_used": route})
+    lines = F.transform("r.items", lambda x: F.struct(x["name"].alias("name"), F.lit(None).cast("double").alias("qty"), F.lit(None).cast("double").alias("unit_price"), x["price"].alias("price"), F.lit(None).cast("string").alias("currency"), x["confidence"].cast("string").alias("confidence")))
+    read = got.filter("r is not null").select(
+        "receipt_id", "seq", "route_used", F.lit(True).alias("set_active"), "r.vendor", "r.phone", "r.address", F.col("r.date").alias("receipt_date"), "r.subtotal", "r.tax", "r.total", "r.currency",
+        "r.confidence", lines.alias("items"), F.to_json("r").alias("parsed_json"), F.col("response").alias("raw_llm_response"))
+    out = review.stage_runs(t, read, now, default_currency)
+    lost = got.filter("r is null").select("receipt_id", "seq", F.lit("no JSON object").alias("reason"))
+    return out | {"rejects": out["rejects"].unionByName(lost)}
+
+
 def post_auto_fix(answers: DataFrame, default_currency: str = "CAD") -> DataFrame:
     """Normal fields, arithmetic and status of model answers (receipt_id, response); answers without a
     JSON object have an error instead."""

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import llm_json, money, text
-from ..operators import tables
+from ..operators import intake, summary, tables
 from ..sources import adapters, ocr
 from .queries import query
 
@@ -215,3 +215,93 @@ def image_paths(spark, d):
     return adapters.read(spark, d, "orders").select(k.alias("k"), ocr.image_url(p).alias("url"), ocr.relative_path(p).alias("path"))
 
 
+
+
+# summaries, uploads, batches
+
+@query("""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 3 AS w, (o_orderkey % 600 + 50.37)::DECIMAL(18,2) AS s FROM orders), v AS (SELECT *, round(s * 0.13, 2)::DECIMAL(18,2) AS t, round(s * 0.2, 2)::DECIMAL(18,2) AS g FROM r)
+SELECT k AS receipt_id, s::DOUBLE AS subtotal, t::DOUBLE AS tax, CASE WHEN w = 2 THEN s + t + g ELSE s + t END::DOUBLE AS total, CASE WHEN w = 2 THEN s + t ELSE s END::DOUBLE AS pre_total, CASE WHEN w = 2 THEN g ELSE t END::DOUBLE AS gratuity FROM v""")
+def fuzzy_summaries(spark, d):
+    """Plain, reversed and tipped summaries. Without a tip the tax is taken for one: its rest is the subtotal."""
+    k = F.col("o_orderkey")
+    r = adapters.read(spark, d, "orders").select(k.alias("receipt_id"), (k % 3).alias("w"), (k % 600 + F.lit("50.37").cast(MONEY)).cast(MONEY).alias("s"))
+    r = r.withColumns({"t": F.round(F.col("s") * F.lit("0.13").cast("decimal(4,2)"), 2).cast(MONEY), "g": F.round(F.col("s") * F.lit("0.2").cast("decimal(4,2)"), 2).cast(MONEY)})
+    n = lambda c: F.col(c).cast("string")
+    both, due = (F.col("s") + F.col("t")).cast(MONEY).cast("string"), (F.col("s") + F.col("t") + F.col("g")).cast(MONEY).cast("string")
+    lines = F.when(F.col("w") == 0, _cat("SHOP\n12:30PM\nSubtotal $", n("s"), "\nGST 5%\nHST ", n("t"), "\nTotal ", both)).when(F.col("w") == 1, _cat("Soda ", n("s"), "\nSubtotal ", n("t"), "\nGrand Total ", both))
+    lines = lines.otherwise(_cat("Subtotal ", n("s"), "\nHST ", n("t"), "\nTotal ", both, "\nGratuity ", n("g"), "\nTotal due ", due))
+    return summary.fuzzy(r.select("receipt_id", lines.alias("text"))).select("receipt_id", "subtotal", "tax", F.round("total", 2).alias("total"), "pre_total", "gratuity")
+
+
+@query("""WITH w AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN ['CANADA', 'UNIVERSAL'] WHEN 1 THEN ['USA', 'UNIVERSAL'] WHEN 2 THEN ['EU', 'UNIVERSAL'] ELSE ['UNIVERSAL'] END AS r FROM customer)
+SELECT k, array_to_string(r, ',') AS regions, CASE k % 4 WHEN 1 THEN 'SALES TAX,TAX,STATE TAX' WHEN 0 THEN 'GST,HST,PST' WHEN 2 THEN 'VAT,TVA,MWST' ELSE 'TAX,VAT,GST' END AS first_words, CASE k % 4 WHEN 1 THEN 29 ELSE 27 END::INT AS n FROM w""")
+def tax_words_of_regions(spark, d):
+    k = F.col("c_custkey")
+    t = F.when(k % 4 == 0, "gst 1.00").when(k % 4 == 1, "$5").when(k % 4 == 2, "mwst").otherwise("nothing")
+    r, words = text.regions(t), summary.tax_words(text.regions(t))
+    return adapters.read(spark, d, "customer").select(k.alias("k"), F.array_join(r, ",").alias("regions"), F.array_join(F.slice(words, 1, 3), ",").alias("first_words"), F.size(words).alias("n"))
+
+
+@query(f"""WITH {_LI} SELECT k, (list(q ORDER BY n, q) FILTER (q > 10))[1] AS subtotal FROM li GROUP BY k""")
+def span_subtotals(spark, d):
+    """The first quantity above ten among the tokens of a receipt's summary span."""
+    one = _lines(spark, d).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "q"))), lambda x: x["q"].cast("string")).alias("q"))
+    span = lambda kind, said: F.struct(F.lit(kind).alias("type"), F.lit(said).alias("text"), F.concat(F.array(F.lit("x")), "q").alias("tokens"))
+    spans = F.array(span("ITEM_LINE", "subtotal"), span("SUMMARY_LINE", "tax"), span("SUMMARY_LINE", "Subtotal"))
+    return one.select("k", summary.subtotal_of_spans(spans).cast("int").alias("subtotal"))
+
+
+@query("""SELECT p_partkey AS k, 'RSCAN-' || lpad(p_partkey::VARCHAR, 6, '0') || CASE p_partkey % 3 WHEN 0 THEN '.png' ELSE '.jpg' END AS name, p_size * 70 >= 1600 OR p_size * 70 >= 2.6 * 900 AS is_long,
+1 + greatest(0, ceil((p_size * 70 - 1200) / 1000.0))::INT AS n_tiles, greatest(0, ceil((p_size * 70 - 1200) / 1000.0))::INT * 1000 AS last_top, p_size * 70 AS last_bottom, 400 AS first_size, 340 AS second_size FROM part""")
+def uploads_and_tiles(spark, d):
+    k, h = F.col("p_partkey"), F.col("p_size") * 70
+    cut = intake.tiles(h)
+    sizes = intake.shrinking(F.lit(400))
+    return adapters.read(spark, d, "part").select(
+        k.alias("k"), intake.upload_name(k, F.when(k % 3 == 0, "a/b.PNG").when(k % 3 == 1, "x.gif").otherwise("y")).alias("name"), intake.is_long(h, F.lit(900)).alias("is_long"),
+        F.size(cut).alias("n_tiles"), F.element_at(cut, -1)["top"].cast("int").alias("last_top"), F.element_at(cut, -1)["bottom"].alias("last_bottom"), F.get(sizes, F.lit(0)).alias("first_size"), F.get(sizes, F.lit(1)).alias("second_size"))
+
+
+def _ocr_docs(spark, d) -> DataFrame:
+    """OCR documents: an order's lines as words; some without boxes, some with one too few."""
+    li = _lines(spark, d).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "p", "q"))).alias("x"))
+    words = F.transform("x", lambda x: x["p"].cast("string"))
+    boxes = F.transform("x", lambda x, i: F.array(x["q"], i * 20, x["q"] + 100, i * 20 + 15))
+    broken = F.when(F.col("k") % 10 == 1, F.lit(None)).when(F.col("k") % 10 == 2, F.slice(boxes, 2, 100)).otherwise(boxes)
+    return li.select(
+        F.col("k").cast("string").alias("id"), _cat("/scan/", F.col("k").cast("string"), ".json").alias("path"), _cat("/img/", F.col("k").cast("string"), ".png").alias("image_path"), F.array(F.lit(900), (F.col("k") % 3000).cast("int")).alias("image_size"),
+        words.alias("words"), broken.alias("bboxes"), F.transform("x", lambda x, i: i).alias("row_ids"), F.lit(None).cast("array<string>").alias("zones"), F.transform("x", lambda x: x["q"] / 100.0).alias("token_confs"))
+
+
+@query(f"""WITH {_LI}, g AS (SELECT k, count(*) AS n FROM li GROUP BY 1), e AS (SELECT k, n, CASE k % 10 WHEN 1 THEN 'missing words or boxes' WHEN 2 THEN 'words and boxes differ in length' END AS error FROM g)
+SELECT '/scan/' || k || '.json' AS path, error, CASE WHEN error IS NULL THEN n ELSE 0 END::INT AS num_tokens FROM e""")
+def ocr_batch_results(spark, d):
+    return intake.batch(_ocr_docs(spark, d))[1]
+
+
+@query(f"""WITH {_LI}, g AS (SELECT k, count(*) AS n FROM li GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (k % 10 NOT IN (1, 2)) AS ok, count(*) FILTER (k % 10 IN (1, 2)) AS failed, coalesce(sum(n) FILTER (k % 10 NOT IN (1, 2)), 0)::BIGINT AS tokens FROM g""")
+def ocr_batch_summary(spark, d):
+    return intake.batch(_ocr_docs(spark, d))[2]
+
+
+@query(f"""WITH {_LI} SELECT k::VARCHAR AS source_id, row_number() OVER (PARTITION BY k ORDER BY n, p, q)::INT - 1 AS idx, p::VARCHAR AS word, (q / 100.0)::DOUBLE AS conf, q AS x1 FROM li WHERE k % 10 NOT IN (1, 2)""")
+def ocr_tokens(spark, d):
+    return intake.batch(_ocr_docs(spark, d))[0].select("source_id", "idx", "word", "conf", "x1")
+
+
+@query(f"""WITH {_LI} SELECT k::VARCHAR AS source_id, k || '.png' AS image, (k % 3000)::INT AS height, k % 3000 >= 1600 AS is_long, count(*)::INT AS num_tokens, round(avg(q / 100.0), 6) AS mean_conf FROM li WHERE k % 10 NOT IN (1, 2) GROUP BY k""")
+def ocr_summaries(spark, d):
+    from ..sources import ocr as source
+
+    good, _ = source.check(_ocr_docs(spark, d))
+    out = intake.ocr_summary(good)
+    return out.select("source_id", "image", "height", "is_long", "num_tokens", F.round("mean_conf", 6).alias("mean_conf"))
+
+
+@query(f"""WITH {_LI} SELECT k AS receipt_id, row_number() OVER (PARTITION BY k ORDER BY n, p, q)::INT AS line_no, CASE q % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'Unknown' END AS item_name, CASE q % 3 WHEN 0 THEN p WHEN 1 THEN q ELSE 0 END::DOUBLE AS price, CASE WHEN q % 2 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS price_confidence FROM li""")
+def answer_items(spark, d):
+    q3 = lambda x: x["q"] % 3
+    items = F.transform(F.array_sort(F.collect_list(F.struct("n", "p", "q"))), lambda x: F.struct(
+        F.when(q3(x) == 0, " a ").alias("name"), F.when(q3(x) == 1, "b").alias("item_name"), F.when(q3(x) == 0, x["p"].cast("double")).alias("price"), F.when(q3(x) == 1, x["q"].cast("double")).alias("line_price"), F.when(x["q"] % 2 == 0, 0.5).alias("confidence")))
+    a = _lines(spark, d).groupBy(F.col("k").alias("receipt_id")).agg(items.alias("items"))
+    return intake.items_of_answer(a).select("receipt_id", "line_no", "item_name", "price", "price_confidence")

@@ -16,9 +16,11 @@ def receipt_stream(spark: SparkSession, path: str, schema: str, files_per_trigge
 
 
 def monthly_trend_stream(receipts: DataFrame, late: str = "7 days") -> DataFrame:
-    """Spend and count by day of the receipt's time, closed once the watermark has passed it."""
-    timed = receipts.withColumn("ts", F.to_timestamp("receipt_date")).withWatermark("ts", late)
-    return timed.groupBy(F.window("ts", "1 day")).agg(F.sum("total").alias("spend"), F.count("*").alias("count")).select(F.col("window.start").alias("day"), "spend", "count")
+    """Spend and count by month of the receipt's time. A month is closed by the first receipt of a month that
+    starts more than ``late`` after it: with less than 28 days by the next month's first receipt, with 31 days
+    by the first of the month after that. Receipts of a closed month are dropped."""
+    timed = receipts.withColumn("month_start", F.date_trunc("month", F.to_timestamp("receipt_date"))).withWatermark("month_start", late)
+    return timed.groupBy("month_start").agg(F.sum("total").alias("spend"), F.count("*").alias("count")).select(F.date_format("month_start", "yyyy-MM").alias("ym"), "spend", "count")
 
 
 def upsert_batches(load: Callable[[], DataFrame], save: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
