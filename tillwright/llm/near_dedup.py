@@ -41,8 +41,9 @@ from .common import HEAVY_SHARE, bounded_batches, free_name, join_groups, join_h
 HASHES, BANDS, ROWS, BITS = 128, 32, 4, 4
 LONGS = HASHES * BITS // 64
 MARGIN = 0.22
-#: Classes of one bucket, and shingles of one rough component, in one block of a comparison.
-BLOCK = 1024
+#: Classes of one bucket in one block of a comparison (more of them in a large corpus), and shingles of one
+#: rough component.
+BLOCK, LARGEST_BLOCK = 512, 16_384
 BLOCK_SHINGLES = 300_000
 #: Links that one task contracts.
 LOCAL_LINKS = 1_000_000
@@ -246,7 +247,7 @@ def _in_blocks(rows: DataFrame, by: str, weight: Column | None, most: int) -> Da
     first columns are the group, p, q, and the row's own block i."""
     total = rows.count()
     if weight is None:  # larger blocks of more rows: a row of a large group is copied to fewer of them
-        weight, most = F.lit(1), max(most, min(16 * most, total // HEAVY_SHARE))
+        weight, most = F.lit(1), max(most, min(LARGEST_BLOCK, total // HEAVY_SHARE))
     n = rows.groupBy(by).agg(F.ceil(F.sum(weight) / most).cast("int").alias("n"), F.count("*").alias("rows"))
     dealt = join_heavy_apart(rows, n, by, "rows", total).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
