@@ -186,7 +186,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     norm = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     marked = docs.withColumn(key, pair(F.unhex(F.sha2(F.encode(norm, "utf-8"), 256)), F.col("doc_id")))
     totals = pairs.agg(F.sum(size).alias("rows"), F.max(again).alias("again")).first()
-    joined = join_groups(marked, pairs, key, size, totals["rows"] or 0)
+    # the light pairs are merged and not broadcast where few, so that the cost grows in proportion
+    joined = join_groups(marked, pairs.hint("merge"), key, size, totals["rows"] or 0)
     kept = joined.filter(F.col(size).isNull()).select(*docs.columns)
     if totals["again"]:
         kept = kept.unionByName(joined.filter(again).dropDuplicates([key]).select(*docs.columns))
