@@ -147,8 +147,9 @@ def label_sequence(items: DataFrame) -> DataFrame:
     return items.filter(F.size("tokens") > 0).withColumn("first_token", first).filter(~fine)
 
 
-def validate_all(receipts: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """A row per receipt: status of each check, counts, and the recommendations in order."""
+def _rated(items: DataFrame, rules: Rules) -> tuple[DataFrame, Column, Column]:
+    """Items with the statistics of their receipt, by windows over one exchange; whether an item is an outlier,
+    and whether it is problematic."""
     w, p = _each(), F.when(F.col("price") > 0, F.col("price").cast("double"))
     at = lambda k: F.get("sorted", F.floor(F.col("n") * k / 4).cast("int"))
     rated = items.withColumns({"p": p, "n": F.count(p).over(w), "mean": F.avg(p).over(w), "sd": F.coalesce(F.stddev_samp(p).over(w), F.lit(0.0)), "sorted": F.sort_array(F.collect_list(p).over(w))})
@@ -157,7 +158,12 @@ def validate_all(receipts: DataFrame, items: DataFrame, rules: Rules = Rules())
     far = (F.col("sd") > 0) & (off / F.col("sd") > rules.outlier_sd)
     beyond = (F.col("p") < F.col("q1") - rules.fence * span) | (F.col("p") > F.col("q3") + rules.fence * span)
     outlier = F.coalesce((F.col("n") >= 3) & (far | beyond), F.lit(False))
-    problem = F.coalesce((F.col("sd") > 0) & (off > rules.problem_sd * F.col("sd")), F.lit(False))
+    return rated, outlier, F.coalesce((F.col("sd") > 0) & (off > rules.problem_sd * F.col("sd")), F.lit(False))
+
+
+def validate_all(receipts: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """A row per receipt: status of each check, counts, and the recommendations in order."""
+    rated, outlier, problem = _rated(items, rules)
     count = lambda c: F.count(F.when(c, 1))
     names = lambda c, k: F.transform(F.slice(F.array_sort(F.collect_list(F.when(c, F.struct("line_no", "item_name")))), 1, k), lambda x: x["item_name"])
     # one exchange by receipt_id serves the windows and this aggregate
@@ -225,17 +231,32 @@ def item_status(items: DataFrame, outliers: DataFrame, least: float = 70) -> Dat
 
     keys = outliers.select(F.col("receipt_id").alias("o_receipt"), name_key(F.col("item_name")).alias("o_name"), F.round("price", 2).alias("o_price"), F.lit(1).alias("hit")).filter("o_name <> '' and o_price is not null").distinct()
     on = (F.col("receipt_id") == F.col("o_receipt")) & (name_key(F.col("item_name")) == F.col("o_name")) & (F.round("price", 2) == F.col("o_price"))
-    got = items.join(keys, on, "left").withColumn("is_outlier", F.coalesce("hit", F.lit(0)))
+    got = items.join(keys, on, "left").withColumn("is_outlier", F.coalesce("hit", F.lit(0))).drop("o_receipt", "o_name", "o_price", "hit")
+    return _status(got, least)
+
+
+def item_status_by_receipt(items: DataFrame, rules: Rules = Rules(), least: float = 70) -> DataFrame:
+    """``item_status`` with the outliers of the items themselves: an item is like an outlier of its receipt in
+    name and price only if it is one, so windows over one exchange do and the outliers are not joined back.
+    Prices must be whole cents."""
+    from ..functions.text import name_key
+
+    rated, outlier, _ = _rated(items, rules)
+    hit = outlier & (name_key(F.col("item_name")) != "")
+    return _status(rated.withColumn("is_outlier", hit.cast("int")).drop("p", "n", "mean", "sd", "q1", "q3"), least)
+
+
+def _status(got: DataFrame, least: float) -> DataFrame:
     under = lambda c: (F.col(c) > 0) & (F.col(c) < least)
     low = under("name_conf") | under("price_conf")
-    flagged = F.col("flagged") if "flagged" in items.columns else F.lit(False)
+    flagged = F.col("flagged") if "flagged" in got.columns else F.lit(False)
     show = lambda c: F.format_string("%.1f", F.col(c).cast("double"))
     reasons = F.filter(F.array(
         F.when(low, F.concat(F.lit("name_conf="), show("name_conf"), F.lit(", price_conf="), show("price_conf"), F.lit(f" (<{least:.1f})"))),
-        F.when(F.col("is_outlier") == 1, "validation_outlier"), F.when(flagged, F.coalesce(F.col("flag_reason") if "flag_reason" in items.columns else F.lit(None), F.lit("flagged"))),
+        F.when(F.col("is_outlier") == 1, "validation_outlier"), F.when(flagged, F.coalesce(F.col("flag_reason") if "flag_reason" in got.columns else F.lit(None), F.lit("flagged"))),
     ), lambda x: x.isNotNull())
     status = F.when(flagged, "FLAGGED").when(F.col("is_outlier") == 1, "OUTLIER").when(low, "LOW_CONF").otherwise("OK")
-    return got.withColumns({"item_status": status, "status_reason": F.when(F.size(reasons) > 0, F.array_join(reasons, " | "))}).drop("o_receipt", "o_name", "o_price", "hit")
+    return got.withColumns({"item_status": status, "status_reason": F.when(F.size(reasons) > 0, F.array_join(reasons, " | "))})
 
 
 def ui_item_status(items: DataFrame, outliers: DataFrame, suspicious: DataFrame, named: DataFrame) -> DataFrame:

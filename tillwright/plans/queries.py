@@ -91,7 +91,7 @@ count(*) FILTER (ai_review_status = 'pending') AS pending_review, count(*) FILTE
 count(*) FILTER (extraction_source = 'ocr') AS ocr_only_count, count(*) FILTER (extraction_source = 'ocr+llm') AS ocr_llm_count, count(*) FILTER (status IN ('Failed', 'Error')) AS failed_count,
 count(*) FILTER (created_at >= DATE '{AS_OF}' - 7) AS new_this_week, (SELECT count(*) FROM ist WHERE item_status IN ('OUTLIER', 'FLAGGED', 'LOW_CONF', 'ERROR')) AS flagged_items FROM receipts""")
 def dashboard_summary(spark, d):
-    return dashboard.summary(adapters.receipts(spark, d), _with_status(spark, d), AS_OF)
+    return dashboard.summary(adapters.receipts(spark, d), validation.item_status_by_receipt(adapters.items(spark, d), RULES), AS_OF)
 
 
 @query(f"""WITH {RECEIPTS}, {ITEMS}, {SUBTOTALS}, {_STATUS} SELECT (SELECT count(*) FROM items i WHERE EXISTS (SELECT 1 FROM io WHERE io.receipt_id = i.receipt_id AND io.item_name = i.item_name AND io.price = i.price) AND i.receipt_id IN (SELECT receipt_id FROM sub))::BIGINT AS price_outliers,
@@ -134,7 +134,7 @@ def item_status(spark, d):
 
 @query(f"WITH {ITEMS}, {_STATUS} SELECT receipt_id, line_no, item_status FROM ist WHERE item_status IN ('OUTLIER', 'FLAGGED', 'LOW_CONF', 'ERROR')")
 def flagged_items(spark, d):
-    return dashboard.flagged_items(_with_status(spark, d)).select("receipt_id", "line_no", "item_status")
+    return dashboard.flagged_items(validation.item_status_by_receipt(adapters.items(spark, d), RULES)).select("receipt_id", "line_no", "item_status")
 
 
 @query(f"""WITH {RECEIPTS} SELECT status, count(*) AS n, ((count(*) * 200 + (SELECT count(*) FROM receipts)) // (2 * (SELECT count(*) FROM receipts)))::BIGINT AS percent FROM receipts GROUP BY 1""")
