@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import more, review, values  # noqa: F401
+from . import kernels, more, review, values  # noqa: F401
 from .queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
