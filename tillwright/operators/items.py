@@ -11,10 +11,10 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.money import MISREAD
+from .streams import by_receipt
 
 # Words and patterns that decide what a group is.
 EACH = re.compile(r"\b(each|ea\.?|@)\b", re.I)
@@ -506,39 +506,39 @@ SUMMARY = "receipt_id long, subtotal double, tax double, total double, subtotal_
 KINDS = {"adaptive": None, "name_then_price": name_then_price, "price_then_name": price_then_name, "mixed": mixed}
 
 
-def _receipt(pdf: pd.DataFrame):
-    pdf = pdf.sort_values("idx", kind="stable")
-    words, labels, confs = pdf.word.fillna("").tolist(), pdf.label.fillna("O").tolist(), pdf.conf.fillna(0.0).tolist()
-    return words, labels, confs, group_tokens(words, labels, confs, pdf[["x1", "y1", "x2", "y2"]].fillna(0).to_numpy().tolist())
+def _receipt(rows: list[tuple]):
+    """Words, labels, confidences and groups of one receipt's tokens (idx, word, label, conf, box), in order."""
+    words, labels, confs = [r[1] or "" for r in rows], [r[2] or "O" for r in rows], [r[3] or 0.0 for r in rows]
+    return words, labels, confs, group_tokens(words, labels, confs, [[x or 0 for x in r[4:]] for r in rows])
 
 
 _COLUMNS = ("receipt_id", "idx", "word", "label", "conf", "x1", "y1", "x2", "y2")
 
 
-def _isolated(tokens: DataFrame, run: Callable[[pd.DataFrame], list[tuple]], schema: str, with_errors: bool) -> DataFrame:
-    """``run`` for each receipt, as rows of the schema. One that raises gives no rows, or where ``with_errors``
-    one row with its id and the error alone: the other receipts go on."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def _isolated(tokens: DataFrame, run: Callable[[object, list[tuple]], list[tuple]], schema: str, with_errors: bool) -> DataFrame:
+    """``run`` for each receipt, as rows of the schema: tokens are dealt by receipt once and each partition is
+    read as one sorted stream, a receipt in memory at a time. One that raises gives no rows, or where
+    ``with_errors`` one row with its id and the error alone: the other receipts go on."""
+    fields = [tuple(c.split()) for c in (schema + ", error string" * with_errors).split(", ")]
+    width = len(fields) - with_errors
 
-    def safe(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def safe(key, rows: list[tuple]) -> list[tuple]:
         try:
-            rows = [(*r, None) for r in run(pdf)]
+            return [(*r, None) if with_errors else r for r in run(key, rows)]
         except Exception as e:  # whatever one receipt's data breaks
-            rows = [(key[0], *(None for _ in names[1:]), f"{type(e).__name__}: {e}")] if with_errors else []
-        out = pd.DataFrame(rows, columns=[*names, "error"]).astype(object)
-        return out if with_errors else out[names]
+            return [(key, *[None] * (width - 1), f"{type(e).__name__}: {e}")] if with_errors else []
 
-    return tokens.select(*_COLUMNS).groupBy("receipt_id").applyInPandas(safe, schema + ", error string" * with_errors)
+    return by_receipt(tokens, _COLUMNS, "idx", safe, fields)
 
 
 def extract_items(tokens: DataFrame, kind: str = "adaptive", settings: Settings = Settings(), with_errors: bool = False) -> DataFrame:
     """Items of every receipt's tokens. ``kind`` forces one extractor. A receipt that fails gives no rows, or
     its error."""
 
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        words, labels, confs, groups = _receipt(pdf)
+    def run(receipt, rows: list[tuple]) -> list[tuple]:
+        words, labels, confs, groups = _receipt(rows)
         found = adaptive(groups, words, labels, confs, settings) if kind == "adaptive" else KINDS[kind](groups, settings)
-        return [(int(pdf.receipt_id.iloc[0]), i, x.name, x.price, x.unit_price, x.tokens, x.conf, x.source) for i, x in enumerate(found, 1)]
+        return [(int(receipt), i, x.name, x.price, x.unit_price, x.tokens, x.conf, x.source) for i, x in enumerate(found, 1)]
 
     return _isolated(tokens, run, ITEMS, with_errors)
 
@@ -547,11 +547,11 @@ def extract_summary(tokens: DataFrame, settings: Settings = Settings(), with_err
     """Corrected subtotal, tax and total of every receipt, with its layout and number of items. A receipt that
     fails gives no row, or its error."""
 
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        words, labels, confs, groups = _receipt(pdf)
+    def run(receipt, rows: list[tuple]) -> list[tuple]:
+        words, labels, confs, groups = _receipt(rows)
         found = adaptive(groups, words, labels, confs, settings)
         f = corrected(summary_fields(groups, settings), sum(x.price for x in found))
-        return [(int(pdf.receipt_id.iloc[0]), *(f[k] for k in ("subtotal", "tax", "total", "subtotal_conf", "tax_conf", "total_conf")), layout(groups, settings.reach, 1.5), len(found))]
+        return [(int(receipt), *(f[k] for k in ("subtotal", "tax", "total", "subtotal_conf", "tax_conf", "total_conf")), layout(groups, settings.reach, 1.5), len(found))]
 
     return _isolated(tokens, run, SUMMARY, with_errors)
 
