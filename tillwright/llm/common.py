@@ -131,8 +131,7 @@ def deal_ranges(rows: DataFrame, n: int, parts: int, beside: Sequence[tuple[str,
     share = min(1 << 30, (SAMPLE * parts << 30) // max(1, n) + 1)
     some = rows.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < share).select("k").distinct().collect() if parts > 1 else []
     some = sorted((r["k"] for r in some), key=_key_order)
-    every = max(1, len(some) // parts)
-    bounds = some[every // 2 :: every][: parts - 1]
+    bounds = [some[i] for i in sorted({j * len(some) // parts for j in range(1, parts)})] if some else []
     place = _range_of(F.col("k"), bounds, kind)
     ends = rows.groupBy(place.alias("p")).agg(F.min("k").alias("first"), F.max("k").alias("last")).orderBy("p").collect()
     if not ends:
