@@ -65,13 +65,14 @@ def test_tokens_emitted_are_final_for_any_list(word, picks, cuts):
             tokens.append(u + v)
     v = bs.Vocabulary.__new__(bs.Vocabulary)
     v.end, v.merges, v.rank = "", merges, {m: i for i, m in enumerate(merges)}
+    v.made, v.none = [a + b for a, b in merges], len(merges)
     v.lookahead = bs.lookahead(merges, {t: len(t) for t in tokens})
     t, out, at, most = bs.Transducer(v), [], 0, 0
     for k in cuts * 20:
         out += t.feed(word[at : at + k])
         at += k
         most = max(most, len(t.held))
-    out += t.finish()
+    out += t.feed(word[at:]) + t.finish()
     parts = list(word)
     for a, b in merges:  # merges one after the other, each from the left
         i = 0

@@ -31,8 +31,10 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from .common import WordCache, bounded_batches
@@ -40,9 +42,13 @@ from .common import WordCache, bounded_batches
 #: Blanks that Python's split takes and the vocabulary's pattern doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Printable ASCII without the space, and the letters of Latin-1 that compose with nothing but marks.
+SIMPLE = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: Characters of a chunk that are read at once; chunks up to CACHED characters are kept.
 BLOCK = 4096
 CACHED = 40
+#: Chunks, or ids of a long chunk, that are hashed at once.
+STEP = 8192
 
 
 def lookahead(merges: Iterable[tuple[str, str]], size: dict[str, int]) -> int:
@@ -74,6 +80,7 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.rank = {m: i for i, m in enumerate(self.merges)}
+        self.made, self.none = [u + v for u, v in self.merges], len(self.merges)
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.specials.items()}
         size = {t: len(t.removesuffix(self.end)) for t in self.ids}
@@ -85,9 +92,34 @@ class Vocabulary:
         self.lookahead = lookahead(self.merges, size)
         tok = Tokenizer.from_file(path)
         self.normalizer, self.splitter = tok.normalizer, tok.pre_tokenizer
+        self.plain = _plain_pattern(spec)
         self.special = re.compile("|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
 
 
+def byte_letters() -> dict[str, int]:
+    """Letter for each byte: printable Latin-1 characters stand for themselves, the others, in order,
+    for the characters from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
+#: By byte: the code of its letter.
+LETTERS = {b: ord(c) for c, b in byte_letters().items()}
+
+
+def _plain_pattern(spec: dict):
+    """What splits a chunk of printable ASCII and Latin-1 letters after lower-casing, if the file's normaliser and splitter
+    do to such a chunk no more than that (none of these letters changes by composing). Other chunks, and files, go
+    through the library's parts."""
+    steps = [(n["type"], n.get("pattern", {}).get("Regex")) for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    fits = (
+        steps == [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)] and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"]
+        and [(r["type"], r["add_prefix_space"], r["use_regex"]) for r in rest] == [("ByteLevel", False, False)])
+    return regex.compile(split["pattern"]["Regex"]) if fits else None
+
+
 class Transducer:
     """One word, in parts: ``feed`` takes symbols (the letters of its bytes) and returns the tokens that
     no further symbol can change; ``finish`` ends the word."""
@@ -123,24 +155,20 @@ class Transducer:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The tokens of a short run of symbols: merges by priority, from the left."""
-        parts, rank = list(symbols), self.v.rank
-        found = [rank.get(p, 1 << 60) for p in zip(parts, parts[1:])]
-        while found:
-            best = min(found)
-            if best == 1 << 60:
-                break
-            u, v = self.v.merges[best]
-            i = found.index(best)
-            while i < len(found):
-                if found[i] == best:
-                    parts[i : i + 2] = [u + v]
-                    del found[i]
-                    if i > 0:
-                        found[i - 1] = rank.get((parts[i - 1], parts[i]), 1 << 60)
-                    if i < len(found):
-                        found[i] = rank.get((parts[i], parts[i + 1]), 1 << 60)
-                else:
-                    i += 1
+        parts, get, made, none = list(symbols), self.v.rank.get, self.v.made, self.v.none
+        found = [get(p, none) for p in zip(parts, parts[1:])]
+        while found and (best := min(found)) != none:
+            uv, i = made[best], found.index(best)
+            while True:
+                parts[i] = uv
+                del parts[i + 1], found[i]
+                if i:
+                    found[i - 1] = get((parts[i - 1], uv), none)
+                if i < len(found):
+                    found[i] = get((uv, parts[i + 1]), none)
+                if best not in found:
+                    break
+                i = found.index(best)
         return parts
 
 
@@ -165,17 +193,27 @@ class Encoder:
         self.v = Vocabulary(path)
         self.words = WordCache(self._word, 200_000)
         self.chunks = WordCache(self._chunk, 200_000)
+        self.written = WordCache(self._written, 200_000)
 
     def _word(self, word: str) -> tuple[int, ...]:
-        t = Transducer(self.v)
-        return tuple(self.v.ids[x] for x in [*t.feed(word), *t.finish()])
+        t, ids = Transducer(self.v), self.v.ids
+        return tuple([ids[x] for x in [*t.feed(word), *t.finish()]])
 
     def split(self, piece: str) -> list[str]:
         """Words of a piece, normalised, in the letters that stand for bytes."""
+        if self.v.plain is not None and SIMPLE.fullmatch(piece):
+            words = self.v.plain.findall(piece.lower())
+            return words if piece.isascii() else [w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(LETTERS) for w in words]
         return [w for w, _ in self.v.splitter.pre_tokenize_str(self.v.normalizer.normalize_str(piece))]
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(i for w in self.split(chunk) for i in self.words[w])
+        words = self.split(chunk)
+        return self.words[words[0]] if len(words) == 1 else tuple([i for w in words for i in self.words[w]])
+
+    def _written(self, chunk: str) -> tuple[int, bytes, bytes]:
+        """Number of ids of a chunk, the ids and the token strings, each with a space before it."""
+        ids = self._chunk(chunk)
+        return len(ids), b"".join([b" %d" % i for i in ids]), "".join([" " + self.v.token[i] for i in ids]).encode("utf-8")
 
     def _long(self, chunk: str) -> Iterator[int]:
         """A chunk block by block: a word goes on over a cut if both sides of it split as one word."""
@@ -194,23 +232,61 @@ class Encoder:
             before = piece[last:]  # a character with its marks
         yield from (self.v.ids[x] for x in t.finish())
 
-    def _plain(self, text: str) -> Iterator[int]:
-        chunks = BLANKS.split(text) if SEPARATORS.search(text) else text.split()
-        known = self.chunks
-        for c in chunks:
-            if len(c) <= CACHED:
-                yield from known[c]
-            else:
-                yield from self._long(c)
-
-    def encode(self, text: str) -> Iterator[int]:
-        """The ids of ``text``, one after the other."""
+    def _parts(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
+        """(special token, none) and (None, chunks) in order."""
         start = 0
         for m in self.v.special.finditer(text) if self.v.special else ():
-            yield from self._plain(text[start : m.start()])
-            yield self.v.specials[m.group()]
+            yield None, _chunks(text[start : m.start()])
+            yield self.v.specials[m.group()], []
             start = m.end()
-        yield from self._plain(text[start:] if start else text)
+        yield None, _chunks(text[start:] if start else text)
+
+    def encode(self, text: str) -> Iterator[int]:
+        """The ids of ``text``, one after the other."""
+        known = self.chunks
+        for special, chunks in self._parts(text):
+            if special is not None:
+                yield special
+            for c in chunks:
+                yield from known[c] if len(c) <= CACHED else self._long(c)
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids and of the decoded text. Chunks are decoded one by one: the joiner's state
+        between them is only whether anything was written, as a chunk's tokens are whole."""
+        hashes, n = (hashlib.sha256(), hashlib.sha256()), 0
+
+        def add(ids: bytes, decoded: bytes, count: int) -> None:
+            nonlocal n
+            for h, b in zip(hashes, (ids, decoded)):
+                h.update(b if n else b[1:])  # no space before the first
+            n += count
+
+        known = self.written
+        for special, chunks in self._parts(text):
+            if special is not None:
+                add(b" %d" % special, f" {self.v.token[special]}".encode(), 1)
+            for start in range(0, len(chunks), STEP):
+                some = chunks[start : start + STEP]
+                if max(map(len, some)) <= CACHED:
+                    found = [known[c] for c in some]
+                    add(b"".join([f[1] for f in found]), b"".join([f[2] for f in found]), sum([f[0] for f in found]))
+                else:
+                    for c in some:
+                        if len(c) <= CACHED:
+                            add(known[c][1], known[c][2], known[c][0])
+                        else:
+                            self._add_long(c, add)
+        return n, hashes[0].hexdigest(), hashes[1].hexdigest()
+
+    def _add_long(self, chunk: str, add) -> None:
+        ids = self._long(chunk)
+        while some := list(islice(ids, STEP)):
+            add(b"".join([b" %d" % i for i in some]), "".join([" " + self.v.token[i] for i in some]).encode("utf-8"), len(some))
+
+
+def _chunks(text: str) -> list[str]:
+    """The runs of a text without blanks."""
+    return [c for c in BLANKS.split(text) if c] if SEPARATORS.search(text) else text.split()
 
 
 class Joiner:
@@ -228,14 +304,6 @@ class Joiner:
         return out
 
 
-def byte_letters() -> dict[str, int]:
-    """Letter for each byte: printable Latin-1 characters stand for themselves, the others, in order,
-    for the characters from U+0100 on."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    other = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(other)}
-
-
 class TextDecoder:
     """Readable text of ids, one at a time: bytes of a token go through an incremental UTF-8 decoder,
     which holds those of an unfinished character; a word's end becomes a space."""
@@ -274,30 +342,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-#: Ids that are hashed and decoded at once.
-STEP = 8192
-
-
-def _digests(e: Encoder, text: str) -> tuple[int, str, str]:
-    ids_hash, text_hash, joiner, n = hashlib.sha256(), hashlib.sha256(), Joiner(e.v), 0
-    some: list[int] = []
-
-    def flush() -> None:
-        nonlocal n
-        ids_hash.update((" " * bool(n) + " ".join(map(str, some))).encode())
-        text_hash.update(joiner.feed(some).encode("utf-8"))
-        n += len(some)
-        some.clear()
-
-    for i in e.encode(text):
-        some.append(i)
-        if len(some) >= STEP:
-            flush()
-    if some:
-        flush()
-    return n, ids_hash.hexdigest(), text_hash.hexdigest()
-
-
 def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text; with_ids also the ids and the
     decoded text."""
@@ -307,7 +351,7 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, key: str =
         e = encoder(path)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            found = [_digests(e, t) for t in texts]
+            found = [e.digests(t) for t in texts]
             cols = [b.column(0), *(pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string())))]
             if with_ids:
                 ids = [list(e.encode(t)) for t in texts]
