@@ -192,3 +192,70 @@ def test_a_failing_receipt_does_not_stop_the_others(spark):
     assert all(r.receipt_id == 1 for r in good)
     errors = items.extract_items(t, with_errors=True).filter("error is not null").collect()
     assert len(errors) == 1 and errors[0].receipt_id is None and errors[0].name is None
+
+
+def test_batches_that_name_a_receipt_twice(spark):
+    from tillwright.operators import review
+
+    empty = review.empty_tables(spark)
+    t = dict(empty)
+    t["receipts"] = spark.createDataFrame([(1, "Pending", "pending", 11), (2, "Processed", "approved", None)], "receipt_id long, status string, ai_review_status string, active_llm_run_id long").select(
+        "receipt_id", *(F.lit(None).cast(f.dataType).alias(f.name) for f in empty["receipts"].schema if f.name not in ("receipt_id", "status", "ai_review_status", "active_llm_run_id")), "status", "ai_review_status", "active_llm_run_id").select(*empty["receipts"].columns)
+    now = F.lit("2001-01-01").cast("timestamp")
+    asked = spark.createDataFrame([(1, "Failed", 1), (1, "Processed", 2), (1, "Error", 3), (1, "x", 4), (2, "Failed", 5), (9, "Failed", 6), (9, "Failed", 7), (None, None, 8)], "receipt_id long, new_status string, seq int")
+    out, rejects = review.set_status(t["receipts"], asked, now)
+    assert sorted((r.receipt_id, r.status) for r in out.collect()) == [(1, "Processed"), (2, "Processed")]
+    assert sorted((str(r.receipt_id), str(r.new_status), r.reason) for r in rejects.collect()) == [
+        ("1", "Error", "superseded"), ("1", "Failed", "superseded"), ("1", "x", "bad_status"), ("2", "Failed", "read_only"), ("9", "Failed", "not_found"), ("9", "Failed", "not_found"), ("None", "None", "not_found")]
+    assert review.set_status(t["receipts"], asked.limit(0), now)[0].count() == 2
+    item = "struct<line_no:int,item_name:string,currency:string,unit_price:double,confidence:double>"
+    kind = f"receipt_id long, vendor string, receipt_date string, subtotal double, tax double, total double, summary_vendor string, summary_phone string, summary_address string, summary_receipt_date string, items array<{item}>"
+    edit = lambda k, v, tax: (k, v, None, 1.0, tax, 2.0, v, None, None, None, [(1, v, "usd", 1.0, 5.0)])
+    edits = spark.createDataFrame([edit(1, "b", 1.0), edit(1, "a", 1.0), edit(1, "a", 1.0), edit(1, "0", None), edit(2, "c", 1.0), edit(7, "d", 1.0)], kind)
+    got = review.approve_edits(t, edits, now)
+    assert [(r.receipt_id, r.vendor) for r in got["receipts"].orderBy("receipt_id").collect()] == [(1, "a"), (2, None)]
+    assert [(r.receipt_id, r.item_name) for r in got["items"].collect()] == [(1, "a")] and [(r.receipt_id, r.vendor) for r in got["summary"].collect()] == [(1, "a")]
+    assert sorted((r.receipt_id, r.reason) for r in got["rejects"].collect()) == [(1, "missing_amount"), (1, "read_only"), (1, "read_only"), (2, "read_only"), (7, "not_found")]
+    answer = "receipt_id long, seq long, route_used string, set_active boolean, vendor string, receipt_date string, subtotal double, tax double, total double, currency string, confidence double, items array<struct<name:string,qty:double,unit_price:double,price:double,currency:string,confidence:string>>"
+    answers = spark.createDataFrame([(1, 5, "ocr_text", True, v, None, 1.0, 1.0, 2.0, None, 0.5, []) for v in ("b", "a")] + [(8, 1, "ocr_text", True, "z", None, 1.0, 1.0, 2.0, None, 0.5, [])], answer)
+    staged = review.stage_runs(t, answers, now)
+    assert [(r.llm_run_id, r.vendor) for r in staged["runs"].orderBy("llm_run_id").collect()] == [(1, "a"), (2, "b")]
+    assert [tuple(r) for r in staged["rejects"].collect()] == [(8, 1, "not_found")] and staged["receipts"].filter("active_llm_run_id = 2").count() == 1
+    twice = spark.createDataFrame([(1, "me"), (1, "you"), (5, "me"), (5, "me")], "llm_run_id long, approved_by string")
+    runs = staged | {"receipts": t["receipts"], "items": t["items"]}
+    assert [tuple(r) for r in review.approve_runs(runs, twice, now)["rejects"].collect()] == [(5, "not_found")] and review.approve_runs(runs, twice, now)["receipts"].count() == 2
+    assert review.reject_runs(runs, twice.withColumnRenamed("approved_by", "rejected_by"), now)["receipts"].count() == 2
+
+
+def test_money_spans_are_those_of_a_scan(spark):
+    import re
+
+    texts = ["", "1.00 11.00 1.00", "GST 21.00 @ 5.00 % 1.05", "a-1,50b$2.005 3.0 .44 é9.99", "7.77 7.77", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", "t", money.money_spans(F.col("t")).alias("s")).collect():
+        assert [(s.start, s.end, s.raw) for s in r.s or []] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"[-+]?\$?\d+[.,]\d{2}", r.t or "")]
+
+
+def test_long_summary_by_rule(spark):
+    """Surest label, amount up to two groups after a tax word, base and rate, sums that don't fit."""
+    from tillwright.operators import long_blocks
+
+    def receipt(k, *lines):
+        return [(k, 100 * i + j, w, lab, conf, 100 * j, 30 * i, 100 * j + 80, 30 * i + 20, i) for i, line in enumerate(lines) for j, (w, lab, conf) in enumerate(line)]
+
+    sub = lambda v, c=0.9: [("SUBTOTAL", "B-SUM.SUBTOTAL", c), (v, "I-SUM.SUBTOTAL", c)]
+    tot = lambda v, c=0.9: [("TOTAL", "B-SUM.TOTAL", c), (v, "I-SUM.TOTAL", c)]
+    rows = [
+        *receipt(1, sub("100.00"), [("HST", "O", 0.9), ("12.50", "O", 0.9)]),  # no total row: the word TOTAL is in SUBTOTAL's
+        *receipt(2, sub("10.00", 0.99), sub("20.00", 0.5), tot("31.05"), [("GST", "O", 0.9), ("20.00", "O", 0.9), ("@", "O", 0.9), ("5.25", "O", 0.9), ("%", "O", 0.9), ("1.05", "O", 0.9)]),
+        *receipt(3, [("PST", "B-TAX", 0.9)], [("x", "B-MENU.NM", 0.9)], [("0.70", "B-MENU.PRICE", 0.9)], [("AMT", "B-SUM.TOTAL", 0.8), ("9.99", "I-SUM.TOTAL", 0.8)]),
+        *receipt(4, [("hello", "O", 0.9)]),
+        *receipt(5, [("COUPON", "O", 0.9), ("-3.00", "O", 0.9)], tot("50.00")),
+    ]
+    t = spark.createDataFrame(rows, "receipt_id long, idx int, word string, label string, conf double, x1 int, y1 int, x2 int, y2 int, row_id int")
+    got = {r.receipt_id: r for r in long_blocks.extract_long(t)[1].collect()}
+    assert (got[1].subtotal, got[1].tax, got[1].total) == (100.0, 0.0, 100.0)
+    assert (got[2].subtotal, got[2].tax, got[2].total, got[2].subtotal_confidence) == (10.0, 1.05, 31.05, 0.99)  # the surest group; the difference is no tax
+    assert (got[3].subtotal, got[3].tax, got[3].total, got[3].tax_confidence) == (None, 0.7, 9.99, 0.85)
+    assert got[4].total is None and got[4].subtotal is None and got[4].total_confidence == 0.0
+    assert (got[5].discount, got[5].discount_confidence, got[5].total) == (3.0, 0.9, 50.0)

@@ -132,6 +132,22 @@ def money_values(c: Column) -> Column:
     return F.filter(F.transform(found, lambda x: parse_price(x, 0.0)), lambda x: x.isNotNull())
 
 
+def money_spans(c: Column) -> Column:
+    """Array of struct(start, end, value, raw) of all money in a text, in order; positions from 0, end exclusive.
+
+    Matches don't overlap, so each is the first place of its text at or after the end of the one before."""
+    found = F.regexp_extract_all(c, F.lit(r"([-+]?\$?\d+(?:[.,]\d{2}))"), F.lit(1))
+    span = "array<struct<start:int,end:int,value:double,raw:string>>"
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans"))
+
+    def step(a: Column, raw: Column) -> Column:
+        start = F.call_function("locate", raw, c, a["at"] + 1) - 1
+        one = lambda s: F.struct((s + F.length(raw)).alias("at"), F.array_append(a["spans"], F.struct(s.alias("start"), (s + F.length(raw)).alias("end"), parse_price(raw, 0.0).alias("value"), raw.alias("raw"))).alias("spans"))
+        return let(start, one)
+
+    return F.filter(F.aggregate(found, none, step, lambda a: a["spans"]), lambda m: m["value"].isNotNull())
+
+
 def is_tax_rate(raw: Column, value: Column) -> Column:
     """Whether a number is a tax rate and not an amount: a percent sign, or exactly one of the rates."""
     bare = F.trim(F.replace(raw, F.lit("$"), F.lit("")))

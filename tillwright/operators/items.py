@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..functions.money import MISREAD
-from .streams import by_receipt
+from .streams import by_receipt, isolated
 
 # Words and patterns that decide what a group is.
 EACH = re.compile(r"\b(each|ea\.?|@)\b", re.I)
@@ -114,12 +114,16 @@ class Group:
         return (min(ys) + max(ys)) / 2 if ys else 0.0
 
 
+def _kind(label: str) -> str:
+    return label[2:] if label[:2] in ("B-", "I-") else label
+
+
 def group_tokens(words, labels, confs, boxes) -> list[Group]:
-    """Groups in order: a B begins one, an I of the same type goes on, every other token is alone."""
+    """Groups in order: a B and a change of type begin one; tokens without a label are a type of their own."""
     out: list[Group] = []
     parts: list[list[float]] = []
     for w, lab, c, b in zip(words, labels, confs, boxes):
-        if lab.startswith("I-") and out and out[-1].label[2:] == lab[2:] and out[-1].label != "O":
+        if out and not lab.startswith("B-") and _kind(out[-1].label) == _kind(lab):
             out[-1].tokens.append(w)
             out[-1].boxes.append(tuple(b))
             parts[-1].append(c)
@@ -520,15 +524,7 @@ def _isolated(tokens: DataFrame, run: Callable[[object, list[tuple]], list[tuple
     read as one sorted stream, a receipt in memory at a time. One that raises gives no rows, or where
     ``with_errors`` one row with its id and the error alone: the other receipts go on."""
     fields = [tuple(c.split()) for c in (schema + ", error string" * with_errors).split(", ")]
-    width = len(fields) - with_errors
-
-    def safe(key, rows: list[tuple]) -> list[tuple]:
-        try:
-            return [(*r, None) if with_errors else r for r in run(key, rows)]
-        except Exception as e:  # whatever one receipt's data breaks
-            return [(key, *[None] * (width - 1), f"{type(e).__name__}: {e}")] if with_errors else []
-
-    return by_receipt(tokens, _COLUMNS, "idx", safe, fields)
+    return by_receipt(tokens, _COLUMNS, "idx", isolated(run, len(fields) - with_errors, with_errors), fields)
 
 
 def extract_items(tokens: DataFrame, kind: str = "adaptive", settings: Settings = Settings(), with_errors: bool = False) -> DataFrame:

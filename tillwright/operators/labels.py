@@ -1,7 +1,7 @@
 """Label post-processing: one ordered chain of repairs per receipt.
 
 The repairs look ahead by varying numbers of tokens and read what earlier ones wrote, so a receipt's
-tokens go through the whole chain in one grouped-map kernel (one shuffle by receipt_id); the core is
+tokens go through the whole chain in one kernel, fed from a sorted stream (one shuffle by receipt_id); the core is
 plain Python over a ``Page`` and is tested without Spark. A receipt is bounded by its paper.
 """
 
@@ -10,9 +10,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .streams import by_receipt
+
 # The vocabulary of the tagger's repairs. Each is matched against a whole trimmed token.
 HEADER_END, FOOTER_START, PRICE_COLUMN, UNSURE = 120, 900, 650, 0.75
 PATTERNS = {
@@ -357,10 +358,16 @@ def repair_labels(tokens: DataFrame, steps: tuple[str, ...] | None = None) -> Da
     labels and confidences; raw_label is the label before. ``steps`` names a part of the chain."""
     chain = tuple(f for f in CHAIN if steps is None or f.__name__ in steps)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        none = lambda c: None if pdf[c].isna().any() else pdf[c].tolist()
-        p = repair(Page(pdf.word, pdf.label.fillna("O"), pdf.conf, pdf[["x1", "y1", "x2", "y2"]].fillna(0).to_numpy().tolist(), none("row_id"), none("zone")), chain)
-        return pd.DataFrame({"receipt_id": pdf.receipt_id.to_numpy(), "idx": pdf.idx.to_numpy(), "word": p.words, "raw_label": pdf.label.to_numpy(), "label": p.labels, "conf": p.confs, "row_id": [int(r) for r in p.rows], "zone": p.zones})
-
-    return tokens.select("receipt_id", "idx", "word", "label", "conf", "x1", "y1", "x2", "y2", "row_id", "zone").groupBy("receipt_id").applyInPandas(run, OUT)
+    def run(receipt, rows: list[tuple]) -> list[tuple]:
+        idx, words, labels, confs, *rest = (list(c) for c in zip(*rows))
+        boxes, row_ids, zones_ = [[x or 0 for x in b] for b in zip(*rest[:4])], rest[4], rest[5]
+        whole = lambda c: None if any(x is None for x in c) else c
+        try:
+            p = repair(Page(words, [x or "O" for x in labels], confs, boxes, whole(row_ids), whole(zones_)), chain)
+            got = p.words, p.labels, p.confs, [int(r) for r in p.rows], p.zones
+        except Exception:  # whatever one receipt's data breaks: its tokens stay as they are
+            got = words, labels, confs, row_ids, zones_
+        return [(receipt, i, w, raw, lab, c, r, z) for i, raw, w, lab, c, r, z in zip(idx, labels, *got)]
+
+    columns = ("receipt_id", "idx", "word", "label", "conf", "x1", "y1", "x2", "y2", "row_id", "zone")
+    return by_receipt(tokens, columns, "idx", run, [tuple(c.split()) for c in OUT.split(", ")])

@@ -7,13 +7,13 @@ expressions; only the pairing of blocks, which uses them up, is a kernel per rec
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, text
 from ..functions.money import let
-from . import long_rows, sequences, summary, tables
+from . import items, long_rows, long_summary, sequences
+from .streams import by_receipt, isolated
 
 # Words that name no item, words that only continue a name, the price that no item reaches.
 NO_NAMES = ("SUBTOTAL", "TOTAL", "TAX", "GST", "PST", "HST", "QST", "PURCHASE", "DEBIT", "INTERAC", "CHANGE", "TENDERED", "AMOUNT", "BALANCE", "CLOSING", "CREDIT")
@@ -133,19 +133,31 @@ def pair_blocks(data: list[dict]) -> list[tuple[str, float, float, str]]:
 
 
 def extract_block_items(tokens: DataFrame) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", kind="stable")
-        data = [{"name": n if isinstance(n, str) else "", "segments": list(s), "prices": list(p), "confs": list(c), "conf": m} for n, s, p, c, m in zip(pdf.name, pdf.segments, pdf.prices, pdf.price_confs, pdf.conf)]
-        return pd.DataFrame([(int(pdf.receipt_id.iloc[0]), k, *x) for k, x in enumerate(pair_blocks(data), 1)], columns=[c.split()[0] for c in long_rows.ITEMS.split(", ")])
+    """Items of every receipt's blocks. A receipt that fails gives no rows."""
 
-    return blocks(tokens).groupBy("receipt_id").applyInPandas(run, long_rows.ITEMS)
+    def run(receipt, rows: list[tuple]) -> list[tuple]:
+        data = [{"name": n or "", "segments": list(s or []), "prices": list(p or []), "confs": list(c or [])} for _, n, s, p, c in rows]
+        return [(receipt, k, *x) for k, x in enumerate(pair_blocks(data), 1)]
+
+    fields = [tuple(c.split()) for c in long_rows.ITEMS.split(", ")]
+    return by_receipt(blocks(tokens), ("receipt_id", "block", "name", "segments", "prices", "price_confs"), "block", isolated(run, len(fields)), fields)
 
 
 def extract_long(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, summary) of long receipts. Items of rows come before those of blocks; equal names and
-    prices are one item; weak names and payment lines are no items. The summary is read from the rows."""
-    rows = sequences.rows(tokens).join(tokens.groupBy("receipt_id", "row_id").agg(F.avg("conf").alias("conf")), ["receipt_id", "row_id"])
-    both = tables.union_by_priority([long_rows.extract_long_items(rows), extract_block_items(tokens)], [F.col("receipt_id"), text.name_key(F.col("name")), F.round("price", 2)], "item_no")
-    items = both.filter(F.col("price").isNotNull() & ~text.is_weak_name(F.col("name")) & ~text.is_footer(F.col("name")))
-    head = summary.from_rows(rows).withColumn("tax", F.lit(None).cast("double"))
-    return items, summary.correct_long(summary.tax_from_delta(head))
+    """(items, summary) of long receipts (tokens with a row_id), read in three ways up to where the summary begins:
+    items of blocks come before those of rows, and those before the ones that labels alone give; equal names and
+    prices are one item; weak names and payment lines are no items. For the summary see ``long_summary``."""
+    rows = sequences.rows(tokens)
+    groups, printed = long_summary.read_groups(tokens), long_summary.read_rows(rows)
+    early = sequences.trim_at(tokens, groups, "idx", "stop")
+    ways = (extract_block_items(early), long_rows.extract_long_items(sequences.trim_at(rows, printed, "row_id", "stop_row")), items.extract_items(early).filter(F.col("name") != items.NO_NAME))
+    found = None
+    for way, df in enumerate(ways):
+        df = df.select("receipt_id", F.lit(way).alias("way"), "item_no", "name", "price", "price_confidence", "source")
+        found = df if found is None else found.unionByName(df)
+    first = Window.partitionBy("receipt_id", "key", "cents").orderBy("way", "item_no")
+    found = found.withColumns({"key": text.name_key(F.col("name")), "cents": F.round("price", 2)}).withColumn("nth", F.row_number().over(first))
+    found = found.filter((F.col("nth") == 1) & F.col("price").isNotNull() & ~text.is_weak_name(F.col("name")) & ~text.is_footer(F.col("name")))
+    listed = found.withColumn("item_no", F.row_number().over(Window.partitionBy("receipt_id").orderBy("way", "item_no"))).drop("way", "key", "cents", "nth")
+    sums = listed.groupBy("receipt_id").agg(F.sum("price").alias("items_sum"))
+    return listed, long_summary.settle(groups, printed, sums)

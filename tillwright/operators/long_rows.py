@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money, text
+from .streams import by_receipt, isolated
 
 _MONEY = r"([-+]?\$?\d+[.,]\d{2})"
 
@@ -121,15 +121,13 @@ ITEMS = "receipt_id long, item_no int, name string, price double, price_confiden
 
 
 def extract_long_items(rows: DataFrame) -> DataFrame:
-    """Items of every receipt's rows: by layout first, then in order over what is left."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id", kind="stable")
-        listed = lambda v: [] if v is None else [x for x in v]
-        data = [Row(n if isinstance(n, str) else None, listed(p), listed(f), bool(j), bool(s), bool(u), float(y), float(c), listed(parts)) for n, p, f, j, s, u, y, c, parts in zip(pdf.name, pdf.prices, pdf.final_prices, pdf.junk, pdf["skip"], pdf.has_unit_price, pdf.y_top, pdf.conf, pdf.parts)]
-        found = by_layout(data) + in_order(data)
-        return pd.DataFrame([(int(pdf.receipt_id.iloc[0]), k, *x) for k, x in enumerate(found, 1)], columns=[c.split()[0] for c in ITEMS.split(", ")])
-
-    return row_features(rows).groupBy("receipt_id").applyInPandas(run, ITEMS)
+    """Items of every receipt's rows: by layout first, then in order over what is left. A receipt that fails
+    gives no rows."""
 
+    def run(receipt, rows: list[tuple]) -> list[tuple]:
+        data = [Row(n, list(p or []), list(f or []), bool(j), bool(s), bool(u), float(y or 0), float(c or 0), list(parts or [])) for _, n, p, f, j, s, u, y, c, parts in rows]
+        return [(receipt, k, *x) for k, x in enumerate(by_layout(data) + in_order(data), 1)]
 
+    fields = [tuple(c.split()) for c in ITEMS.split(", ")]
+    columns = ("receipt_id", "row_id", "name", "prices", "final_prices", "junk", "skip", "has_unit_price", "y_top", "conf", "parts")
+    return by_receipt(row_features(rows), columns, "row_id", isolated(run, len(fields)), fields)

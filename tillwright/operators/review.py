@@ -3,12 +3,14 @@
 Tables are a dict of DataFrames: ``receipts``, ``items``, ``summary``, ``runs``, ``run_items``. Each action
 takes all requests of a batch and returns the changed tables under their names, and ``rejects``
 (the request's key, reason) for requests that may not be carried out. Each table is read once and joined
-with the requests; only new rows are numbered.
+with the requests; only new rows are numbered. A batch may name a receipt or a run more than once: the tables then
+are what they would be after its requests one by one, in the order of ``seq`` where requests have it, else
+in that of their values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import confidence_100
@@ -42,17 +44,34 @@ def _conform(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in like.dtypes))
 
 
+def _whole(df: DataFrame) -> Column:
+    """A row's values as one text, which orders rows that nothing else tells apart."""
+    return F.to_json(F.struct(*df.columns))
+
+
+def _judged(requests: DataFrame, reason: Column, late: str, *first: Column) -> tuple[DataFrame, DataFrame]:
+    """(requests that are carried out, all others with their ``reason``): of a receipt's requests without a reason
+    the first by ``first`` is carried out, the others get the reason ``late``."""
+    judged = requests.withColumn("reason", reason)
+    nth = F.row_number().over(Window.partitionBy("receipt_id", F.col("reason").isNull()).orderBy(*first))
+    judged = judged.withColumn("reason", F.when(F.col("reason").isNull() & (nth > 1), late).otherwise(F.col("reason")))
+    return judged.filter("reason is null"), judged.filter("reason is not null")
+
+
 def stage_runs(t: Tables, answers: DataFrame, now: Column, default_currency: str = "CAD") -> Tables:
     """Append parsed model answers (receipt_id, seq, route_used, set_active, HEADER, currency, confidence, items)
     as runs that wait for approval, with their items numbered in order; the newest staged run with set_active
-    becomes its receipt's active one. A route outside ROUTES is rejected; ids go on after the largest."""
+    becomes its receipt's active one. Ids go on after the largest, by (receipt_id, seq), then the answer's values;
+    rejects: bad_route (outside ROUTES), not_found (no such receipt)."""
+    known = t["receipts"].select("receipt_id", F.lit(True).alias("_found"))
     fine = F.coalesce(F.col("route_used").isin(*ROUTES), F.lit(False))
-    rejects = answers.filter(~fine).select("receipt_id", "seq", F.lit("bad_route").alias("reason"))
-    money = answers.filter(fine).withColumns({
+    judged = answers.withColumn("_text", _whole(answers)).join(known, "receipt_id", "left").withColumn("reason", F.when(~fine, "bad_route").when(F.col("_found").isNull(), "not_found"))
+    rejects = judged.filter("reason is not null").select("receipt_id", "seq", "reason")
+    money = judged.filter("reason is null").drop("_found", "reason").withColumns({
         "currency": currency_3(F.col("currency"), default=default_currency), "confidence": confidence_100(F.col("confidence").cast("string")),
         "approval_status": F.lit("pending"), "updated_at": now, "created_at": now,
     })
-    new = number_rows(money, t["runs"], "llm_run_id", F.col("receipt_id"), F.col("seq"))
+    new = number_rows(money, t["runs"], "llm_run_id", F.col("receipt_id"), F.col("seq"), F.col("_text"))
     name = F.trim(F.coalesce(F.when(F.trim("i.name") != "", F.col("i.name")), F.lit("Unknown")))
     lines = new.select("llm_run_id", F.col("currency").alias("run_currency"), F.posexplode("items").alias("pos", "i")).select(
         "llm_run_id", (F.col("pos") + 1).alias("line_no"), name.alias("item_name"), F.col("i.qty").alias("qty"), F.col("i.unit_price").alias("unit_price"),
@@ -120,8 +139,9 @@ def _replace_items(items: DataFrame, receipts: DataFrame, lines: DataFrame, orde
 
 
 def upsert_summary(summary: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
-    """Summaries with those of ``incoming`` (one per receipt) written over: a receipt's summary keeps its id and
-    creation time, new ones are numbered after the largest."""
+    """Summaries with those of ``incoming`` written over (of several for a receipt the last by ``seq``, else by their
+    values): a receipt's summary keeps its id and creation time, new ones are numbered after the largest."""
+    incoming = latest(incoming.withColumn("_text", _whole(incoming)), "receipt_id", *([F.col("seq")] if "seq" in incoming.columns else []), F.col("_text")).drop("_text")
     values = [c for c in summary.columns if c not in ("summary_id", "receipt_id", "created_at")]
     new = incoming.select(F.col("receipt_id").alias("_r"), *(F.col(c).alias(f"_{c}") for c in values))
     joined = summary.join(new, F.col("receipt_id") == F.col("_r"), "left")
@@ -130,8 +150,7 @@ def upsert_summary(summary: DataFrame, incoming: DataFrame, now: Column) -> Data
     return old.unionByName(_conform(number_rows(fresh, summary, "summary_id", F.col("receipt_id")), summary))
 
 
-def edit_rejects(receipts: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edits of the review screen that may not be saved: not_found, read_only, bad_review_status, missing_amount."""
+def _judge_edits(receipts: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = receipts.select("receipt_id", F.col("status").alias("_status"), _review_state().alias("_state"), F.lit(True).alias("_found"))
     amounts = [F.col(c).isNull() for c in ("subtotal", "tax", "total") if c in edits.columns]
     missing = F.greatest(*amounts) if len(amounts) > 1 else amounts[0] if amounts else F.lit(False)
@@ -139,15 +158,23 @@ def edit_rejects(receipts: DataFrame, edits: DataFrame) -> DataFrame:
         F.when(missing, "missing_amount").when(F.col("_found").isNull(), "not_found").when(F.col("_status") == "Processed", "read_only")
         .when(~F.col("_state").isin(*REVIEW_STATES), "bad_review_status")
     )
-    return edits.join(state, "receipt_id", "left").withColumn("reason", reason).filter("reason is not null").select("receipt_id", "reason")
+    order = [F.col("seq").asc_nulls_last()] if "seq" in edits.columns else []
+    return _judged(edits.withColumn("_text", _whole(edits)).join(state, "receipt_id", "left"), reason, "read_only", *order, F.col("_text"))
+
+
+def edit_rejects(receipts: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits of the review screen that may not be saved: not_found, read_only, bad_review_status, missing_amount.
+    The first edit that is saved makes its receipt read-only for the others."""
+    return _judge_edits(receipts, edits)[1].select("receipt_id", "reason")
 
 
 def approve_edits(t: Tables, edits: DataFrame, now: Column) -> Tables:
     """Save what the review screen shows (receipt_id, HEADER, summary_vendor, summary_phone, summary_address,
     summary_receipt_date, items): header values as they are, nulls too; items replaced; the summary written
-    over; status Processed. Where a run waited, the review and the run are approved, by ``ui_user``."""
-    rejects = edit_rejects(t["receipts"], edits)
-    good = edits.join(rejects.select("receipt_id"), "receipt_id", "left_anti")
+    over; status Processed. Where a run waited, the review and the run are approved, by ``ui_user``. Of several
+    edits of a receipt the first that may be saved is; rejects as in ``edit_rejects``."""
+    good, rejected = _judge_edits(t["receipts"], edits)
+    good, rejects = good.select(*edits.columns), rejected.select("receipt_id", "reason")
     new = good.select(F.col("receipt_id").alias("_r"), *(F.col(c).alias(f"_{c}") for c in HEADER))
     joined = t["receipts"].join(new, F.col("receipt_id") == F.col("_r"), "left")
     hit, waits = F.col("_r").isNotNull(), _review_state() == "pending"
@@ -174,17 +201,18 @@ def approve_edits(t: Tables, edits: DataFrame, now: Column) -> Tables:
 
 def set_status(receipts: DataFrame, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(receipts with their new statuses, rejects (receipt_id, new_status, reason)): not_found, bad_review_status,
-    bad_status, read_only. A Processed receipt may be set to Processed again."""
+    bad_status, read_only, superseded. A Processed receipt may be set to Processed again. Of several requests
+    for a receipt one to Processed stands, as it is final, else the last; the others are superseded."""
     state = receipts.select("receipt_id", F.col("status").alias("_status"), _review_state().alias("_state"), F.lit(True).alias("_found"))
     reason = (
         F.when(F.col("_found").isNull(), "not_found").when(~F.col("_state").isin(*REVIEW_STATES), "bad_review_status")
         .when(~F.coalesce(F.col("new_status").isin(*STATUSES), F.lit(False)), "bad_status").when((F.col("_status") == "Processed") & (F.col("new_status") != "Processed"), "read_only")
     )
-    judged = requests.join(state, "receipt_id", "left").withColumn("reason", reason)
-    good = judged.filter("reason is null").select(F.col("receipt_id").alias("_r"), "new_status")
-    joined = receipts.join(good, F.col("receipt_id") == F.col("_r"), "left")
+    last = [F.col("seq").desc_nulls_last()] if "seq" in requests.columns else []
+    good, rejected = _judged(requests.join(state, "receipt_id", "left"), reason, "superseded", (F.col("new_status") == "Processed").desc(), *last, F.col("new_status").desc())
+    joined = receipts.join(good.select(F.col("receipt_id").alias("_r"), "new_status"), F.col("receipt_id") == F.col("_r"), "left")
     out = _set(joined, F.col("_r").isNotNull(), {"status": F.col("new_status"), "updated_at": now})
-    return out.select(*receipts.columns), judged.filter("reason is not null").select("receipt_id", "new_status", "reason")
+    return out.select(*receipts.columns), rejected.select("receipt_id", "new_status", "reason")
 
 
 def run_with_items(runs: DataFrame, run_items: DataFrame) -> DataFrame:

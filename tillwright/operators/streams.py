@@ -10,6 +10,19 @@ from pyspark.sql import DataFrame
 KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
 
 
+def isolated(run: Callable[[object, list[tuple]], list[tuple]], width: int, with_errors: bool = False) -> Callable[[object, list[tuple]], list[tuple]]:
+    """``run`` that doesn't raise: a receipt that fails gives no rows or, where ``with_errors``, one of ``width``
+    columns with its id alone, and the error."""
+
+    def safe(key, rows: list[tuple]) -> list[tuple]:
+        try:
+            return [(*r, None) if with_errors else r for r in run(key, rows)]
+        except Exception as e:  # whatever one receipt's data breaks
+            return [(key, *[None] * (width - 1), f"{type(e).__name__}: {e}")] if with_errors else []
+
+    return safe
+
+
 def by_receipt(rows: DataFrame, columns: tuple[str, ...], order: str, run: Callable[[object, list[tuple]], list[tuple]], fields: list[tuple[str, str]]) -> DataFrame:
     """``run(receipt_id, rows)`` for each receipt's rows (the other columns), sorted by ``order``; its tuples are
     rows of ``fields`` (name, type). Rows are dealt by receipt once; a receipt is in memory at a time."""

@@ -125,9 +125,11 @@ def reject_rejects(receipts: DataFrame, requests: DataFrame) -> DataFrame:
 
 def ui_approve(receipts: DataFrame, edits: DataFrame) -> DataFrame:
     """Receipts with the values of the review screen, not merged with the old ones: Processed, and
-    approved where a run waited. Rows with a missing amount are left as they were (``edit_rejects``)."""
+    approved where a run waited. Rows with a missing amount are left as they were (``edit_rejects``); of
+    several edits of a receipt the least by its values stands."""
     fields = [c for c in edits.columns if c != "receipt_id" and c in receipts.columns]
-    new = valid_edits(edits).select(F.col("receipt_id").alias("__r"), *(F.col(c).alias(f"__{c}") for c in fields))
+    one = valid_edits(edits).groupBy("receipt_id").agg(F.min_by(F.struct(*fields), F.to_json(F.struct(*fields))).alias("__e")).select("receipt_id", "__e.*")
+    new = one.select(F.col("receipt_id").alias("__r"), *(F.col(c).alias(f"__{c}") for c in fields))
     joined = receipts.join(new, (F.col("receipt_id") == F.col("__r")) & can_approve(), "left")
     hit = F.col("__r").isNotNull()
     values = {c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)) for c in fields}
@@ -145,10 +147,13 @@ def edit_rejects(edits: DataFrame) -> DataFrame:
 
 
 def set_status(receipts: DataFrame, requests: DataFrame) -> DataFrame:
-    """New statuses by (receipt_id, new_status): allowed values only, Processed is final."""
-    joined = receipts.join(requests.select(F.col("receipt_id").alias("__r"), "new_status"), F.col("receipt_id") == F.col("__r"), "left")
-    fine = F.col("new_status").isin(*STATUSES) & (F.col("status") != "Processed")
-    return joined.withColumn("status", F.when(F.coalesce(fine, F.lit(False)), F.col("new_status")).otherwise(F.col("status"))).select(*receipts.columns)
+    """New statuses by (receipt_id, new_status): allowed values only, Processed is final. Of several allowed ones
+    for a receipt Processed stands, else the last in the order of their names."""
+    top = F.max(F.struct((F.col("new_status") == "Processed").alias("final"), "new_status"))
+    asked = requests.filter(F.col("new_status").isin(*STATUSES)).groupBy(F.col("receipt_id").alias("__r")).agg(top.alias("__new"))
+    joined = receipts.join(asked, F.col("receipt_id") == F.col("__r"), "left")
+    fine = F.col("__r").isNotNull() & ~F.col("status").eqNullSafe("Processed")
+    return joined.withColumn("status", F.when(fine, F.col("__new.new_status")).otherwise(F.col("status"))).select(*receipts.columns)
 
 
 def fold_events(events: DataFrame) -> DataFrame:

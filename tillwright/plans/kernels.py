@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import blocks, items, sequences
+from ..operators import blocks, items, long_blocks, sequences
 from ..sources import adapters
 from .queries import ITEMS, query
 
@@ -88,3 +88,47 @@ def line_summaries_of_orders(spark, d):
 @query(f"WITH {ITEMS}, t AS (SELECT receipt_id, line_no * 100 + k AS idx, CASE k WHEN 0 THEN split_part(item_name, ' ', 1) WHEN 1 THEN split_part(item_name, ' ', 2) ELSE (qty + 0.25)::DECIMAL(18,2)::VARCHAR END AS word FROM items, range(0, 3) r(k)) SELECT receipt_id, idx::INT AS idx, concat_ws(' ', lag(word) OVER w, word, lead(word) OVER w) AS around FROM t WINDOW w AS (PARTITION BY receipt_id ORDER BY idx)")
 def context_of_orders(spark, d):
     return _tokens(spark, d).select("receipt_id", "idx", sequences.context("word", 1, 1).alias("around"))
+
+
+# long receipts
+
+def _long_tokens(spark, d) -> DataFrame:
+    """Every order as a long receipt, in five layouts of its summary: a labelled tax; an unlabelled one with base and
+    rate; a total alone; no total; savings and no tax. After the summary each has lines that look like items."""
+    t = _tokens(spark, d).withColumn("row_id", F.floor(F.col("idx") / 100).cast("int"))
+    sums = _lines(spark, d).groupBy("receipt_id").agg(F.sum("price").alias("sub"), F.max("line_no").alias("last"))
+    tax, sub, k = F.lit("1.05").cast(MONEY), F.col("sub").cast(MONEY), F.col("receipt_id") % 5
+    show = lambda c: c.cast(MONEY).cast("string")
+
+    def line(when: Column, *words: tuple[Column | str, str]) -> Column:
+        tokens = F.array(*(_token(F.lit(w) if isinstance(w, str) else w, label, 50 + 160 * i) for i, (w, label) in enumerate(words)))
+        return F.when(when, tokens)
+
+    some, total = F.lit(True), show(sub + tax)
+    rows = F.array_compact(F.array(
+        line(k.isin(0, 1, 3, 4), (F.when(k == 3, "MERCHANDISE").otherwise("SUBTOTAL"), "B-SUM.SUBTOTAL"), (show(sub), "I-SUM.SUBTOTAL")),
+        line(k == 0, ("HST", "B-TAX"), ("1.05", "I-TAX")),
+        line(k == 1, ("GST", "O"), ("21.00", "O"), ("@", "O"), ("5.00", "O"), ("%", "O"), ("1.05", "O")),
+        line(k == 3, ("QST", "O")), line(k == 3, ("1.05", "O")),
+        line(k == 4, ("SAVINGS", "O"), ("2.40", "O")),
+        line(k.isin(0, 1, 4), ("TOTAL", "B-SUM.TOTAL"), (total, "I-SUM.TOTAL")),
+        line(k == 2, ("TOTAL", "B-SUM.TOTAL"), (show(sub), "I-SUM.TOTAL")),
+        line(k == 4, ("TOTAL", "O"), ("SAVINGS", "O"), ("9.99", "O")),
+        line(some, ("APPLE", "B-MENU.NM"), ("PIE", "I-MENU.NM"), ("7.77", "B-MENU.PRICE")), line(some, ("LEMON", "O"), ("TART", "O"), ("8.88", "O"))))
+    s = sums.select("receipt_id", "last", F.posexplode(rows).alias("n", "r")).select("receipt_id", (F.col("last") + 1 + F.col("n")).alias("line"), F.posexplode("r").alias("k", "p"))
+    s = _placed(s, F.col("line")).withColumn("row_id", F.floor(F.col("idx") / 100).cast("int"))
+    return t.unionByName(s)
+
+
+@query(f"WITH {_IT}, u AS (SELECT receipt_id, upper(item_name) AS name, price::DOUBLE AS price, min(line_no) AS n FROM pr GROUP BY ALL) SELECT receipt_id, row_number() OVER (PARTITION BY receipt_id ORDER BY n)::INT AS item_no, name, price FROM u")
+def long_items_of_orders(spark, d):
+    return long_blocks.extract_long(_long_tokens(spark, d))[0].select("receipt_id", "item_no", F.upper("name").alias("name"), "price")
+
+
+@query(f"""WITH {_IT}, s AS (SELECT receipt_id, receipt_id % 5 AS k, sum(price) AS sub, sum(DISTINCT price) AS one FROM pr GROUP BY 1),
+u AS (SELECT receipt_id, sum(price) AS bought FROM (SELECT DISTINCT receipt_id, item_name, price FROM pr) GROUP BY 1)
+SELECT receipt_id, CASE WHEN k <> 2 OR abs(bought - sub) <= 1 THEN CASE WHEN k = 2 THEN bought ELSE sub END END::DOUBLE AS subtotal, CASE WHEN k <> 2 THEN 1.05 END::DOUBLE AS tax, (sub + CASE WHEN k = 2 THEN 0 ELSE 1.05 END)::DOUBLE AS total, CASE WHEN k = 4 THEN 9.99 END::DOUBLE AS discount,
+CASE WHEN k = 2 THEN CASE WHEN abs(bought - sub) <= 1 THEN 0.4 ELSE 0 END WHEN k = 3 THEN 0.9 ELSE 0.95 END::DOUBLE AS subtotal_confidence, CASE k WHEN 2 THEN 0 WHEN 4 THEN 0.92 WHEN 3 THEN 0.85 ELSE 0.9 END::DOUBLE AS tax_confidence FROM s JOIN u USING (receipt_id)""")
+def long_summaries_of_orders(spark, d):
+    out = long_blocks.extract_long(_long_tokens(spark, d))[1]
+    return out.select("receipt_id", *(F.round(c, 2).alias(c) for c in ("subtotal", "tax", "total", "discount")), "subtotal_confidence", "tax_confidence")

@@ -204,6 +204,63 @@ def set_status_rejects(spark, d):
     return _statuses(spark, d)[1]
 
 
+# batches that name a receipt more than once
+
+def _repeated_edits(spark, d) -> review.Tables:
+    """Two edits of every fifth receipt, the first of every fifteenth without its tax, and two of a receipt that isn't there."""
+    t = _tables(spark, d)
+    item = F.struct(F.lit(1).alias("line_no"), F.concat(F.lit("edit "), F.col("seq").cast("string")).alias("item_name"), F.lit("usd").alias("currency"), F.col("total").cast(MONEY).alias("unit_price"), F.lit(80.0).alias("confidence"))
+    edits = t["receipts"].filter(_k() % 5 == 0).withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        "receipt_id", "seq", F.concat(F.lit("shop "), F.col("seq").cast("string")).alias("vendor"), "receipt_date", "subtotal", F.when((_k() % 15 != 0) | (F.col("seq") == 2), F.col("tax")).alias("tax"), F.col("total").cast(MONEY).alias("total"),
+        F.concat(F.lit("shop "), F.col("seq").cast("string")).alias("summary_vendor"), F.lit("222").alias("summary_phone"), F.lit(None).cast("string").alias("summary_address"), F.lit(None).cast("string").alias("summary_receipt_date"), F.array(item).alias("items"))
+    gone = spark.createDataFrame([(-1, n, Decimal(1), Decimal(1), Decimal(1)) for n in (1, 2)], f"receipt_id long, seq int, subtotal {MONEY}, tax {MONEY}, total {MONEY}")
+    return review.approve_edits(t, edits.unionByName(gone, allowMissingColumns=True), _now())
+
+
+_TWICE = _BASE + ", tw AS (SELECT *, CASE WHEN receipt_id % 15 = 0 THEN 'shop 2' ELSE 'shop 1' END AS shop, CASE WHEN receipt_id % 15 = 0 THEN 'edit 2' ELSE 'edit 1' END AS line FROM rc WHERE receipt_id % 5 = 0 AND status <> 'Processed')"
+
+
+@query(_TWICE + " SELECT r.receipt_id, coalesce(t.shop, r.vendor) AS vendor, CASE WHEN t.receipt_id IS NULL THEN r.status ELSE 'Processed' END AS status FROM rc r LEFT JOIN tw t USING (receipt_id)")
+def repeated_edit_receipts(spark, d):
+    return _repeated_edits(spark, d)["receipts"].select("receipt_id", "vendor", "status")
+
+
+@query(_TWICE + " SELECT item_id, receipt_id, line_no, item_name FROM it WHERE receipt_id NOT IN (SELECT receipt_id FROM tw) UNION ALL SELECT (SELECT max(item_id) FROM it) + row_number() OVER (ORDER BY receipt_id), receipt_id, 1, line FROM tw")
+def repeated_edit_items(spark, d):
+    return _repeated_edits(spark, d)["items"].select("item_id", "receipt_id", "line_no", "item_name")
+
+
+@query(_TWICE + """, sm AS (SELECT receipt_id + 7 AS summary_id, receipt_id, vendor FROM rc WHERE receipt_id % 3 = 0), fr AS (SELECT receipt_id, shop, row_number() OVER (ORDER BY receipt_id) AS k FROM tw WHERE receipt_id % 3 <> 0)
+SELECT s.summary_id, s.receipt_id, coalesce(t.shop, s.vendor) AS vendor FROM sm s LEFT JOIN tw t USING (receipt_id) UNION ALL SELECT (SELECT max(summary_id) FROM sm) + k, receipt_id, shop FROM fr""")
+def repeated_edit_summary(spark, d):
+    return _repeated_edits(spark, d)["summary"].select("summary_id", "receipt_id", "vendor")
+
+
+@query(_TWICE + """ SELECT receipt_id, CASE WHEN receipt_id % 15 = 0 AND n = 1 THEN 'missing_amount' ELSE 'read_only' END AS reason FROM rc, range(1, 3) t(n)
+WHERE receipt_id % 5 = 0 AND (status = 'Processed' OR n = CASE WHEN receipt_id % 15 = 0 THEN 1 ELSE 2 END) UNION ALL SELECT -1, 'not_found' FROM range(2)""")
+def repeated_edit_rejects(spark, d):
+    return _repeated_edits(spark, d)["rejects"]
+
+
+def _repeated_statuses(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Three requests for three receipts in seven: Error, then Failed, then Processed, Nonsense or Pending."""
+    third = F.when(_k() % 7 == 0, "Processed").when(_k() % 7 == 1, "Nonsense").otherwise("Pending")
+    asked = _tables(spark, d)["receipts"].filter(_k() % 7 < 3).select("receipt_id", F.posexplode(F.array(F.lit("Error"), F.lit("Failed"), third)).alias("seq", "new_status"))
+    return review.set_status(_tables(spark, d)["receipts"], asked, _now())
+
+
+@query(_BASE + " SELECT receipt_id, CASE WHEN receipt_id % 7 = 0 THEN 'Processed' WHEN receipt_id % 7 < 3 AND status <> 'Processed' THEN CASE receipt_id % 7 WHEN 1 THEN 'Failed' ELSE 'Pending' END ELSE status END AS status FROM rc")
+def repeated_statuses(spark, d):
+    return _repeated_statuses(spark, d)[0].select("receipt_id", "status")
+
+
+@query(_BASE + """, q AS (SELECT receipt_id, status = 'Processed' AS final, n, CASE n WHEN 0 THEN 'Error' WHEN 1 THEN 'Failed' ELSE CASE receipt_id % 7 WHEN 0 THEN 'Processed' WHEN 1 THEN 'Nonsense' ELSE 'Pending' END END AS new_status FROM rc, range(3) t(n) WHERE receipt_id % 7 < 3)
+SELECT receipt_id, new_status, CASE WHEN new_status = 'Nonsense' THEN 'bad_status' WHEN final THEN 'read_only' ELSE 'superseded' END AS reason FROM q
+WHERE new_status <> 'Processed' AND (final OR new_status = 'Nonsense' OR n < CASE WHEN receipt_id % 7 = 1 THEN 1 ELSE 2 END)""")
+def repeated_status_rejects(spark, d):
+    return _repeated_statuses(spark, d)[1]
+
+
 # look-ups
 
 @query(_BASE + " SELECT ru.llm_run_id, any_value(ru.approval_status) AS approval_status, coalesce(string_agg(ri.line_no || ':' || ri.item_name, ';' ORDER BY ri.line_no, ri.llm_item_id), '') AS items FROM ru LEFT JOIN ri ON ri.llm_run_id = ru.llm_run_id GROUP BY 1")
