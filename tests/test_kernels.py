@@ -259,3 +259,60 @@ def test_long_summary_by_rule(spark):
     assert (got[3].subtotal, got[3].tax, got[3].total, got[3].tax_confidence) == (None, 0.7, 9.99, 0.85)
     assert got[4].total is None and got[4].subtotal is None and got[4].total_confidence == 0.0
     assert (got[5].discount, got[5].discount_confidence, got[5].total) == (3.0, 0.9, 50.0)
+
+
+def test_chunks_against_a_plain_walk(spark):
+    """Chunks that shrink, among them tokens with more pieces than a chunk holds."""
+    rng = random.Random(4)
+    receipts = {k: [rng.choice([1, 1, 2, 3, 40, 600]) if rng.random() < 0.1 else rng.randint(1, 3) for _ in range(n)] for k, n in enumerate([1, 5, 19, 20, 399, 400, 401, 1500])}
+    rows = [(k, i, p) for k, ps in receipts.items() for i, p in enumerate(ps)]
+    got = sequences.shrinking_windows(spark.createDataFrame(rows, "receipt_id long, idx int, pieces int").repartition(3))
+    want = []
+    for k, ps in receipts.items():
+        start = chunk = 0
+        while True:
+            end = min(start + 400, len(ps))
+            while True:
+                read, seen = 0, 0
+                for p in ps[start:end]:
+                    if read >= 510:
+                        break
+                    read, seen = read + p, seen + 1
+                if seen == end - start or end - start <= 20:
+                    break
+                end = start + max(20, int((end - start) * 0.85))
+            want.append((k, chunk, start, end - 1, start + seen))
+            chunk += 1
+            if end >= len(ps):
+                break
+            start = end - 128 if end - 128 > start else end
+    assert sorted(map(tuple, got.collect())) == want
+    tokens = spark.createDataFrame(rows, "receipt_id long, idx int, pieces int")
+    read = sequences.in_windows(got).withColumns({"label": F.lit("B-X"), "conf": F.lit(0.5)})
+    merged = sequences.merge_chunks(read, tokens)
+    assert merged.count() == len(rows) and merged.filter("label = 'O'").count() == len(rows) - sequences.in_windows(got).select("receipt_id", "idx").distinct().count()
+
+
+def test_reconstruction_by_rule(spark):
+    names = "receipt_id idx word label conf x1 y1 x2 y2".split()
+    line = lambda *ws: [(1, i, w, lab, 0.9, i, 0, i + 1, 9) for i, (w, lab) in enumerate(ws)]
+    words = line(("Costco", "B-MENU.NM"), ("9.99", "B-MENU.PRICE"), ("1234567", "O"), ("MILK", "I-MENU.NM"), ("2:50A", "B-MENU.PRICE"), (None, "O"), ("EGGS", "B-MENU.NM"), ("4.CO-", "B-MENU.PRICE"), ("0.5lb", "O"), ("tpd/12", "O"), ("3", "B-MENU.PRICE"), ("x", "I-MENU.PRICE"), ("JAM", "B-MENU.NM"), ("5.00", "B-MENU.PRICE"), ("Void", "O"), ("TEA", "B-MENU.NM"), ("1.00-", "B-MENU.PRICE"), ("PIE", "B-MENU.NM"), ("abc", "B-MENU.PRICE"))
+    got = sequences.reconstruct(spark.createDataFrame(words, ", ".join(f"{c} {'string' if c in ('word', 'label') else 'double' if c == 'conf' else 'long'}" for c in names))).orderBy("item_no").collect()
+    assert [(r.item_name, r.price, r.price_str, r.skus, r.weight, r.discounts, r.coupons) for r in got] == [
+        ("MILK", 2.5, "2:50A", ["1234567"], None, [], []), ("EGGS", 3.0, "3", [], "0.5lb", ["4.CO-"], ["tpd/12"]), ("PIE", None, "abc", [], None, [], [])]
+    assert got[1].tokens == ["EGGS", "3", "x", "0.5lb"]
+
+
+def test_a_failing_long_receipt_or_label_page_does_not_stop_the_others(spark, monkeypatch):
+    from tillwright.operators import streams
+
+    def run(key, rows):
+        if key == 2:
+            raise ValueError("broken")
+        return [(key, len(rows))]
+
+    df = spark.createDataFrame([(k, i) for k in (1, 2, 3) for i in range(k)], "receipt_id long, idx int")
+    fields = [("receipt_id", "long"), ("n", "int")]
+    assert sorted(tuple(r) for r in streams.by_receipt(df, ("receipt_id", "idx"), "idx", streams.isolated(run, 2), fields).collect()) == [(1, 1), (3, 3)]
+    with_error = streams.by_receipt(df, ("receipt_id", "idx"), "idx", streams.isolated(run, 2, True), [*fields, ("error", "string")]).collect()
+    assert [r.error for r in sorted(with_error)] == [None, "ValueError: broken", None]

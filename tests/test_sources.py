@@ -38,3 +38,52 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["spend"], r["count"]) for r in spark.sql("SELECT * FROM trend").collect()] == [(4.0, 2)]
+
+
+def test_paths_by_rank(spark):
+    f = ["/d/in/a.png", "/d/doc/best_images/a.png", "/d/x/best_images/a.png", "/d/z/a.png", "/d/y/a.png"]
+    wanted = spark.createDataFrame([("in/a.png", "/json/doc.json"), (" ", None), (None, None)], "wanted string, document string")
+    for i, want in enumerate(["/d/in/a.png", "/d/doc/best_images/a.png", "/d/x/best_images/a.png", "/d/y/a.png"]):
+        got = ocr.resolve_paths(wanted, spark.createDataFrame([(p,) for p in f[i:]], "path string"), "/d").collect()
+        assert {r.wanted: r.path for r in got} == {"in/a.png": want, " ": None, None: None}
+
+
+def test_store_reads_complete_versions_only(spark, tmp_path):
+    from tillwright.sources.store import TableStore
+
+    s = TableStore(spark, f"file://{tmp_path}/t")
+    assert s.version() == 0
+    assert s.write({"a": spark.range(3), "b": spark.range(1)}) == 1 and s.write({"a": spark.range(5)}) == 2
+    spark.range(9).write.parquet(f"{s.root}/3/a")
+    assert s.version() == 2 and s.read()["a"].count() == 5 and set(s.read()) == {"a"}
+    assert s.write({"a": spark.range(7)}) == 3 and s.read()["a"].count() == 7
+
+
+def test_upsert_stream_written_again(spark, tmp_path):
+    from tillwright.sources.store import TableStore
+
+    s = TableStore(spark, f"file://{tmp_path}/t")
+    s.write({"r": spark.createDataFrame([], "receipt_id long, source_id string, seq long, total double")})
+    run = ingest.upsert_batches(lambda: s.read()["r"], lambda df, n: s.write({"r": df}))
+    batch = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 3.0)], "source_id string, seq long, total double")
+    run(batch, 0)
+    run(batch, 0)
+    assert [tuple(r) for r in s.read()["r"].orderBy("receipt_id").select("receipt_id", "source_id", "total").collect()] == [(1, "a", 2.0), (2, "b", 3.0)]
+
+
+def test_one_csv_and_broken_files(spark, tmp_path):
+    import csv
+    import glob
+
+    from tillwright.operators import intake, tables
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"id": "a", "image_path": "x/a.png", "image_size": [10, 40], "words": ["TOTAL", "9.99"], "bboxes": [[0, 0, 1, 1]] * 2}, indent=2))
+    (tmp_path / "in" / "b.json").write_text('{"id": "b", "words": [')
+    good, bad = ocr.check(ocr.scan_json(spark, str(tmp_path / "in")))
+    assert good.count() == 1 and [r.error for r in bad.collect()] == ["missing words or boxes"]
+    rows = intake.ocr_csv_rows(good)
+    for _ in range(2):
+        tables.append_csv(rows, f"file://{tmp_path}/out")
+    lines = [x for f in glob.glob(f"{tmp_path}/out/*.csv") for x in csv.reader(open(f))]
+    assert len(rows.columns) == 18 and lines.count(rows.columns) == 2 and [x[0] for x in lines if x != rows.columns] == ["a.png"] * 2

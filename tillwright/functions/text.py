@@ -210,6 +210,26 @@ def summary_word(c: Column, subtotal: list[str], total: list[str], tax: list[str
     return out.otherwise(t)
 
 
+def tagger_words(words: Column, most: int = 2) -> Column:
+    """Array of struct(word, currency), one for each of a receipt's words, which keep their places: summary words in
+    their usual form, with the tax words of the regions that the words hint at; then a currency mark before an amount
+    taken off and kept aside; then the word as the tagger wants it."""
+    from ..operators.summary import TAX_WORDS
+    from .money import let, normalize_word, split_currency
+    from .report import SUBTOTAL_WORDS, TOTAL_WORDS
+
+    def usual(found: Column) -> Column:
+        def one(w: Column) -> Column:
+            read = lambda tax: summary_word(w, SUBTOTAL_WORDS, TOTAL_WORDS, tax, most)
+            american = [*TAX_WORDS["USA"], *TAX_WORDS["UNIVERSAL"]]  # the other regions' words are universal too
+            form = F.when(F.array_contains(found, "USA"), read(american)).otherwise(read(TAX_WORDS["UNIVERSAL"]))
+            return let(form, lambda x: let(split_currency(x), lambda p: F.struct(normalize_word(p["amount"]).alias("word"), p["currency"].alias("currency"))))
+
+        return F.transform(words, one)
+
+    return let(regions(F.array_join(words, " ")), usual)
+
+
 def regions(c: Column) -> Column:
     """Tax regions that a text hints at: by its taxes, else by its currency; the universal one is always last."""
     from .money import detect_currency

@@ -65,6 +65,24 @@ def ocr_summary(docs: DataFrame) -> DataFrame:
     )
 
 
+def ocr_csv_rows(docs: DataFrame) -> DataFrame:
+    """The 18 columns of the OCR summary file for good documents (optionally best_variant, score and overlay, whether an
+    overlay was drawn): what was found, and where the step put its files."""
+    stem, words = ocr.stem(F.col("image_path")), F.array_join("words", " ")
+    signals = text.quality_signals(words)
+    size = lambda i: F.get("image_size", F.lit(i))
+    given = lambda c, kind: F.col(c) if c in docs.columns else F.lit(None).cast(kind)
+    at = lambda folder, end: F.concat(F.lit(folder + "/"), stem, F.lit(end))
+    rows = F.coalesce("row_ids", F.array().cast("array<int>"))
+    return docs.select(
+        ocr.base_name(F.col("image_path")).alias("filename"), given("best_variant", "string").alias("best_variant"), given("score", "double").alias("score"),
+        F.coalesce("mean_conf", mean_line_confidence(F.coalesce("token_confs", F.array().cast("array<double>")))).alias("mean_confidence"), F.coalesce(F.size("lines"), F.size(F.array_distinct(rows))).alias("num_lines"),
+        at("best_images", "_best_ocr.png").alias("best_image_path"), at("best_texts", "_best.txt").alias("best_text_path"), at("variant_scores", "_variants.json").alias("variant_scores_json"), at("best_ocr_json_full", ".json").alias("best_ocr_json_full"),
+        F.when(F.coalesce(given("overlay", "boolean"), F.lit(False)), at("overlays", ".png")).otherwise("").alias("overlay_path"), F.size("words").alias("token_count"), (F.size("words") == F.size("bboxes")).alias("token_box_match"),
+        signals["has_total"].alias("has_total_keyword"), signals["total_amount"].alias("has_amount_near_total"), signals["amounts"].alias("num_amounts"), signals["has_date"].alias("has_date_pattern"), is_long(size(1), size(0)).alias("is_long_receipt"),
+        at("best_images", "_best_view.png").alias("best_view_image_path"))
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """Words of good documents with their boxes, in order: what tagging and extraction start from."""
     t = docs.select(F.coalesce("id", ocr.stem(F.col("path"))).alias("source_id"), F.posexplode(F.arrays_zip("words", "bboxes", *(F.coalesce(c, F.array().cast(k)).alias(c) for c, k in (("row_ids", "array<int>"), ("zones", "array<string>"), ("token_confs", "array<double>"))))).alias("idx", "t"))

@@ -138,16 +138,21 @@ def _replace_items(items: DataFrame, receipts: DataFrame, lines: DataFrame, orde
     return kept.unionByName(_conform(number_rows(lines, items, "item_id", F.col("receipt_id"), F.col("line_no"), *(F.col(c) for c in order)), items))
 
 
-def upsert_summary(summary: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
-    """Summaries with those of ``incoming`` written over (of several for a receipt the last by ``seq``, else by their
-    values): a receipt's summary keeps its id and creation time, new ones are numbered after the largest."""
+def upsert_child(table: DataFrame, incoming: DataFrame, now: Column, id_name: str) -> DataFrame:
+    """A table of one row per receipt with those of ``incoming`` written over (of several for a receipt the last by
+    ``seq``, else by their values): a receipt's row keeps its id and creation time, new ones are numbered after the largest."""
     incoming = latest(incoming.withColumn("_text", _whole(incoming)), "receipt_id", *([F.col("seq")] if "seq" in incoming.columns else []), F.col("_text")).drop("_text")
-    values = [c for c in summary.columns if c not in ("summary_id", "receipt_id", "created_at")]
+    values = [c for c in table.columns if c not in (id_name, "receipt_id", "created_at")]
     new = incoming.select(F.col("receipt_id").alias("_r"), *(F.col(c).alias(f"_{c}") for c in values))
-    joined = summary.join(new, F.col("receipt_id") == F.col("_r"), "left")
-    old = _set(joined, F.col("_r").isNotNull(), {c: F.col(f"_{c}") for c in values}).select(*summary.columns)
-    fresh = incoming.join(summary.select("receipt_id"), "receipt_id", "left_anti").withColumn("created_at", now)
-    return old.unionByName(_conform(number_rows(fresh, summary, "summary_id", F.col("receipt_id")), summary))
+    joined = table.join(new, F.col("receipt_id") == F.col("_r"), "left")
+    old = _set(joined, F.col("_r").isNotNull(), {c: F.col(f"_{c}") for c in values}).select(*table.columns)
+    fresh = incoming.join(table.select("receipt_id"), "receipt_id", "left_anti").withColumn("created_at", now)
+    return old.unionByName(_conform(number_rows(fresh, table, id_name, F.col("receipt_id")), table))
+
+
+def upsert_summary(summary: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+    """``upsert_child`` of the summaries."""
+    return upsert_child(summary, incoming, now, "summary_id")
 
 
 def _judge_edits(receipts: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .streams import by_receipt
+
 KEY = "receipt_id"
 
 
@@ -182,10 +184,50 @@ def chunk_windows(tokens: DataFrame, size: int = 400, back: int = 128) -> DataFr
     return tokens.withColumn("chunk", F.explode(F.sequence(first, F.floor(F.col("idx") / step)))).withColumn("chunk", F.col("chunk").cast("int")).filter(F.col("idx") < F.col("chunk") * step + size)
 
 
-def merge_chunks(predictions: DataFrame) -> DataFrame:
-    """Per token the label with the largest confidence over its chunks, the later chunk of equals."""
+def shrinking_windows(tokens: DataFrame, size: int = 400, back: int = 128, capacity: int = 510, least: int = 20, ratio: float = 0.85) -> DataFrame:
+    """(receipt_id, chunk, first, last, seen): the chunks in which a tagger of ``capacity`` pieces reads a receipt's
+    tokens (idx from 0 without gaps, pieces: parts of a token). A chunk of ``size`` tokens shrinks by ``ratio`` while its
+    last token would be cut off, to ``least``; the next one begins ``back`` tokens before its end, or at its end where that
+    would not be further on. Tokens first to last make the chunk, those before ``seen`` are read.
+
+    Each chunk starts where the one before ended, so a receipt's are found in order, over one sorted stream."""
+
+    def run(key, rows: list[tuple]) -> list[tuple]:
+        before = [0]  # pieces before each token
+        for _, pieces in rows:
+            before.append(before[-1] + max(0, pieces or 0))
+        n, start, out = len(rows), 0, []
+        while start < n:
+            width = min(size, n - start)
+            while before[start + width - 1] - before[start] >= capacity and width > least:
+                width = max(least, int(width * ratio))
+            end = start + width
+            seen = end
+            while before[seen - 1] - before[start] >= capacity:
+                seen -= 1
+            out.append((key, len(out), start, end - 1, seen))
+            if end >= n:
+                break
+            start = end - back if end - back > start else end
+        return out
+
+    fields = [("receipt_id", "long"), ("chunk", "int"), ("first", "int"), ("last", "int"), ("seen", "int")]
+    return by_receipt(tokens, (KEY, "idx", "pieces"), "idx", run, fields)
+
+
+def in_windows(windows: DataFrame) -> DataFrame:
+    """(receipt_id, idx, chunk) for each token that a chunk reads."""
+    return windows.select(KEY, "chunk", F.explode(F.sequence("first", F.col("seen") - 1)).alias("idx"))
+
+
+def merge_chunks(predictions: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """Per token the label with the largest confidence over its chunks, the later chunk of equals; with ``tokens``
+    (receipt_id, idx) also those that no chunk has read, as O without confidence."""
     best = F.max_by(F.struct("label", "conf"), F.struct("conf", "chunk"))
-    return predictions.groupBy(KEY, "idx").agg(best.alias("b")).select(KEY, "idx", "b.label", "b.conf")
+    got = predictions.groupBy(KEY, "idx").agg(best.alias("b")).select(KEY, "idx", "b.label", "b.conf")
+    if tokens is None:
+        return got
+    return tokens.select(KEY, "idx").join(got, [KEY, "idx"], "left").select(KEY, "idx", F.coalesce("label", F.lit("O")).alias("label"), F.coalesce("conf", F.lit(0.0)).alias("conf"))
 
 
 def prediction_log(tokens: DataFrame, raw: str = "raw_label", final: str = "label") -> DataFrame:
@@ -193,20 +235,37 @@ def prediction_log(tokens: DataFrame, raw: str = "raw_label", final: str = "labe
     return tokens.select(KEY, "idx", "word", raw, final, (~F.col(raw).eqNullSafe(F.col(final))).alias("changed"), "conf")
 
 
+# Words of a page's head and the patterns of tokens between a name and its price.
+HEAD_WORDS = ("costco", "wholesale", "member", "basket", "date", "time")
+SKU, WEIGHT = r"^\d{6,10}$", r"(?i)\d+\.?\d*\s*(KG|LB|OZ|G|ML|L)"
+
+
 def reconstruct(tokens: DataFrame) -> DataFrame:
-    """Items by label: each B-MENU.NM opens one; it gets the names, the first price, article numbers,
-    discounts and the mean confidence of the tokens up to the next. Items without a price or with a
-    void mark are dropped."""
+    """Items by label: each B-MENU.NM, or an article number before the first one, opens an item, which takes what
+    follows up to the next: names, prices, article numbers, weights, discounts, coupons. A void mark drops it, and so does a
+    missing name or price; the first price counts, and box and confidence are those of names and prices. Words of
+    the page's head and the first tokens of summary groups are passed over."""
+    word, label = F.trim(F.coalesce("word", F.lit(""))), F.coalesce("label", F.lit("O"))
+    t = tokens.withColumns({"word": word, "label": label}).filter((F.col("word") != "") & ~F.lower("word").isin(*HEAD_WORDS) & ~F.col("label").startswith("B-SUM.") & (F.col("label") != "B-TAX"))
+    up = F.upper("word")
+    discount = (up.endswith("-") | up.contains("CO-") | up.contains("-GP")) & up.rlike(r"\d")
+    kind = (
+        F.when(F.col("label").rlike("^[BI]-MENU\\.NM"), "name").when(F.col("label").rlike("^[BI]-MENU\\.PRICE"), F.when(discount, "discount").otherwise("price"))
+        .when(F.col("word").rlike(SKU), "sku").when(F.col("word").rlike(WEIGHT), "weight").when(up.contains("TPD"), "coupon"))
     w = _w().rowsBetween(Window.unboundedPreceding, 0)
-    marked = tokens.withColumn("item", F.sum(F.when(F.col("label") == "B-MENU.NM", 1).otherwise(0)).over(w)).filter("item > 0")
-    is_name, is_price = F.col("label").contains("MENU.NM"), F.col("label").contains("MENU.PRICE")
-    discount = (F.col("word").endswith("-") | F.col("word").rlike("CO-|GP-")) & F.col("word").rlike(r"\d")
-    pick = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct("idx", "word"))))
-    got = marked.groupBy(KEY, "item").agg(
-        pick(is_name & ~F.col("word").rlike(r"^\d{6,}$")).alias("names"), pick(is_price & ~discount).alias("prices"), pick(F.col("word").rlike(r"^\d{6,}$")).alias("skus"), pick(discount).alias("discounts"),
-        F.max(F.when(F.upper("word").isin("VOID", "VOIDED"), 1).otherwise(0)).alias("void"), F.avg("conf").alias("conf_mean"),
-        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
-    )
+    t = t.withColumn("kind", kind).withColumns({
+        "item": F.sum(F.when(F.col("label").startswith("B-MENU.NM"), 1).otherwise(0)).over(w), "open": F.max(F.when(F.col("kind") == "sku", 1).otherwise(0)).over(w)})
+    t = t.filter((F.col("item") > 0) | (F.col("open") > 0))
+    pick = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("idx", "word"))))
+    main = F.col("kind").isin("name", "price")
+    end = lambda f, c: f(F.when(main, F.col(c))).alias(c)
+    got = t.groupBy(KEY, "item").agg(
+        *(pick(k).alias(k) for k in ("name", "price", "sku", "weight", "discount", "coupon")), F.max(F.upper("word").rlike(r"\bVOID\b")).alias("void"), F.avg(F.when(main, F.col("conf"))).alias("conf_mean"),
+        end(F.min, "x1"), end(F.min, "y1"), end(F.max, "x2"), end(F.max, "y2"))
+    got = got.filter((F.size("name") > 0) & (F.size("price") > 0) & ~F.col("void"))
     words = lambda c: F.transform(c, lambda x: x["word"])
-    price = F.regexp_extract(F.replace(F.get(words("prices"), F.lit(0)), F.lit(":"), F.lit(".")), r"(\d+(?:\.\d+)?)", 1).try_cast("double")
-    return got.withColumn("price", price).filter("price is not null and void = 0").select(KEY, F.col("item").alias("item_no"), F.array_join(words("names"), " ").alias("item_name"), "price", words("skus").alias("skus"), words("discounts").alias("discounts"), F.round("conf_mean", 4).alias("conf_mean"), F.array("x1", "y1", "x2", "y2").alias("bbox"))
+    first = F.get(words("price"), F.lit(0))
+    value = F.regexp_extract(F.replace(F.regexp_replace(F.upper(first), "-+$", ""), F.lit(":"), F.lit(".")), r"^(\d{1,6}(?:\.\d{1,2})?)", 1).try_cast("double")
+    return got.select(
+        KEY, F.col("item").alias("item_no"), F.array_join(words("name"), " ").alias("item_name"), value.alias("price"), first.alias("price_str"), words("sku").alias("skus"), F.get(words("weight"), F.lit(0)).alias("weight"),
+        words("discount").alias("discounts"), words("coupon").alias("coupons"), F.concat(words("sku"), words("name"), words("price"), words("weight")).alias("tokens"), F.round("conf_mean", 4).alias("conf_mean"), F.array("x1", "y1", "x2", "y2").alias("bbox"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = (
@@ -53,13 +53,20 @@ def list_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,bmp,tif,tiff,webp}").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime").orderBy("path")
 
 
-def resolve_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """The file of each wanted path: the same path, else one with that name, the first by path."""
+def resolve_paths(wanted: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
+    """The file of each wanted path (wanted; optionally document: the path of its JSON file), null without one: the
+    path under ``root``; else its name in the best images beside a folder of the document's name; else in any
+    folder of best images; else anywhere; of several the first by path."""
+    top = root.rstrip("/") + "/" if root else ""
     f = files.select("path", base_name(F.col("path")).alias("name"))
-    w = wanted.select("wanted", base_name(F.col("wanted")).alias("name"))
-    hit = w.join(f, "name", "left").withColumn("step", F.when(F.col("path") == F.col("wanted"), 0).otherwise(1))
-    first = Window.partitionBy("wanted").orderBy("step", "path")
-    return hit.withColumn("n", F.row_number().over(first)).filter("n = 1").select("wanted", "path")
+    path = F.trim("wanted")
+    doc = stem(F.col("document")) if "document" in wanted.columns else F.lit(None).cast("string")
+    w = wanted.select("wanted", base_name(path).alias("name"), F.concat(F.lit(top), path).alias("_flat"), F.concat(F.lit(top), doc, F.lit("/best_images/"), base_name(path)).alias("_beside"))
+    at = F.col("path")
+    step = F.when(at == F.col("_flat"), 0).when(at == F.col("_beside"), 1).when(at.endswith(F.concat(F.lit("/best_images/"), F.col("name"))), 2).otherwise(3)
+    hit = w.join(f, "name", "left")
+    best = hit.groupBy("wanted", "_beside").agg(F.min_by("path", F.struct(step.alias("step"), "path")).alias("path"))
+    return best.select("wanted", "path")
 
 
 def image_url(path: Column, base: str = "/images/") -> Column:
