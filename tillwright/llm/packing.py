@@ -1,15 +1,15 @@
 """Packing tokens into sequences by Karmarkar-Karp multiway differencing.
 
 A document's tokens past its last full sequence are an item. Items are gathered into blocks; a block
-is split into its number of windows by largest differencing: the two partial partitions with the
-largest spread are merged, the larger windows of one with the smaller windows of the other, until one
-partition is left, whose windows are near-equal. While a window exceeds the capacity, its largest item
-is cut there and differencing runs again, twice at most; if windows still exceed it by more than SPARE
-of a window in all, the number of windows rises until none does. A smaller excess is cut off and goes
-to the next block, as one more window would pad more than that. The last block of a partition has no
-next one: there the excess fills the room of the other windows, and what is left is cut into sequences
-whose lengths are powers of two, the longest first. A block is bounded (BLOCK_WINDOWS windows), tokens
-are never shuffled, and a lost task is repeated from its input alone.
+is split into windows by largest differencing: the two partial partitions with the largest spread are
+merged, the larger windows of one with the smaller windows of the other, until one partition is left,
+whose windows are near-equal. While a window exceeds the capacity, the number of windows rises by one and
+differencing runs again, so items stay whole. What that leaves empty would be padding: as many windows
+as hold a block's tokens when full are kept, the heaviest, and the items of the few lighter ones go into
+their room, cut only there. Less than a window is left over and waits for the next block; after the last
+block of a partition it is cut into sequences whose lengths are powers of two, the longest first. All blocks, full or
+not, go the same way. A block is bounded (BLOCK_WINDOWS windows), tokens are never shuffled, and a lost
+task is repeated from its input alone.
 
 Defined cases: null text is empty and is one token, the end id; repeated rows are packed once each; a
 very long text is cut into full sequences first, and only its rest is an item; rows with a null id are
@@ -34,8 +34,6 @@ from .common import bounded_batches
 CAPACITY = 2048
 END_ID = 1
 BLOCK_WINDOWS = 128
-#: Runs of differencing that may cut; share of a window that may be cut off instead of raising the count.
-CUTS, SPARE = 2, 0.25
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -81,64 +79,25 @@ def balance(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
-def near_equal(sizes: list[int], capacity: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
-    """Near-equal windows of pieces (item, start, length), none above the capacity, and the pieces cut off,
-    SPARE of a window at most. The number of windows is the least possible, and rises while the windows of
-    the differencing exceed the capacity by more than that."""
-    pieces = [(i, 0, n) for i, n in enumerate(sizes) if n]
-    k, cuts = max(1, -(-sum(sizes) // capacity)), 0
-    while True:
-        windows = differencing([n for *_, n in pieces], k) if k < len(pieces) else [[p] for p in range(len(pieces))]
-        excess = [sum(pieces[p][2] for p in w) - capacity for w in windows]
-        over = sum(x for x in excess if x > 0)
-        if not over:
-            return [[pieces[p] for p in w] for w in windows if w], []
-        spare = cuts == CUTS and over <= SPARE * capacity
-        if cuts == CUTS and not spare:
-            k += 1
-            continue
-        rest = []
-        for w, x in zip(windows, excess):
-            if x > 0:  # no item is larger than a window, so the largest of two or more holds the excess of a near-equal one
-                for p in sorted(w, key=lambda p: -pieces[p][2]):
-                    i, start, n = pieces[p]
-                    m = min(n, x)
-                    pieces[p] = (i, start, n - m)
-                    rest.append((i, start + n - m, m))
-                    x -= m
-                    if not x:
-                        break
-        if spare:
-            return [[pieces[p] for p in w if pieces[p][2]] for w in windows], rest
-        pieces, cuts = [p for p in pieces if p[2]] + rest, cuts + 1
-
-
-def fill(sizes: list[int], capacity: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
-    """Full windows of pieces (item, start, length), and the pieces left over, less than a window: for the
-    last block, whose excess has no later window to go to."""
-    k = sum(sizes) // capacity
-    if not k:
-        return [], [(i, 0, s) for i, s in enumerate(sizes) if s]
-    windows, over = [], []
-    for w in differencing(sizes, k):
-        room, kept = capacity, []
-        for i in w:
-            n = min(room, sizes[i])
-            if n:
-                kept.append((i, 0, n))
-            if n < sizes[i]:
-                over.append((i, n, sizes[i] - n))
-            room -= n
-        windows.append([kept, room])
-    for w in windows:
-        while w[1]:
+def fill(windows: list[list[int]], sizes: list[int], capacity: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Full windows of pieces (item, start, length), and the pieces left over, less than a window. The heaviest
+    windows stay and the items of the others fill their room; only those are cut."""
+    full = sum(sizes) // capacity
+    weight = lambda w: sum(sizes[i] for i in w)
+    windows = sorted(windows, key=weight, reverse=True)
+    over = [(i, 0, sizes[i]) for w in reversed(windows[full:]) for i in w if sizes[i]]
+    out = []
+    for w in windows[:full]:
+        kept, room = [(i, 0, sizes[i]) for i in w if sizes[i]], capacity - weight(w)
+        while room:
             i, start, n = over.pop()
-            m = min(n, w[1])
-            w[0].append((i, start, m))
-            w[1] -= m
+            m = min(n, room)
+            kept.append((i, start, m))
+            room -= m
             if m < n:
                 over.append((i, start + m, n - m))
-    return [w for w, _ in windows], over
+        out.append(kept)
+    return out, over
 
 
 def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -248,19 +207,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: b
 
         def block(last: bool) -> None:
             nonlocal waiting, tokens
-            later, most = [], BLOCK_WINDOWS * capacity
-            if not last and tokens > most:  # a block is of whole windows: the last item is cut there
-                doc, at, ids, doc_tokens = waiting[-1]
-                n = len(ids) // 4 - (tokens - most)
-                waiting[-1], later = (doc, at, ids[: 4 * n], doc_tokens), [(doc, at + n, ids[4 * n :], doc_tokens)]
-            windows, left = (fill if last else near_equal)([len(x[2]) // 4 for x in waiting], capacity)
-            for w in windows:
+            sizes = [len(x[2]) // 4 for x in waiting]
+            windows, left = fill(balance(sizes, capacity), sizes, capacity)
+            for w in windows + (powers(left) if last else []):
                 put([piece(*p) for p in w])
-            if last:
-                for w in powers(left):
-                    put([piece(*p) for p in w])
-                left = []
-            waiting = [piece(*p) for p in left] + later
+            waiting = [] if last else [piece(*p) for p in left]
             tokens = sum(len(x[2]) // 4 for x in waiting)
 
         def out() -> pa.RecordBatch:
