@@ -9,7 +9,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{a:b}</style><scrip
 
 
 def text(html, near=()):
-    return h.main_text(h.lines(html), [h.lines(x) for x in near])
+    page = h.lines(html)
+    mine, others = h.measured(page), [h.measured(h.lines(x)) for x in near]
+    return h.main_text(h.candidates(page), h.places(h.deleted(mine, [x for x in others if x != mine]), mine[1]))
 
 
 def test_article_is_kept_whole():
@@ -98,41 +100,88 @@ def test_hidden_blocks_go():
         assert text(around + "<p hidden>gone<p>a<div hidden=''><p>gone</div><p data-hidden=x title='so hidden'>b<p class='hidden-gem'>c") == "a\n\nb\n\nc"
 
 
-def test_extract_against_brute_force(spark):
+def test_frames_inside_and_outside_of_an_article():
+    gone = ['<div id="comments"><p>x</div>', '<ul class="comment-list"><li>x</ul>', '<div class="reader-comments">x</div>', '<div class="ad-slot">x</div>', '<section class="related-posts"><p>x</section>', '<div class="share-buttons">x</div>', '<div class="cookie-notice">x</div>', '<p class="ad">x</p>', '<div class="box notice">x</div>']
+    own = ['<section class="discussion"><p>one</p></section>', '<div class="alert">two</div>', '<table class="side"><tr><td>three</table>', '<p>four <span class="advert">x</span>and <b>more</b>', '<section id="related-work">five</section>', '<div class="table-side">six</div>']
+    want = ["one", "two", "three", "four and more", "five", "six"]
+    assert text("<article>" + "".join(a + b for a, b in zip([*own, "", "", ""], gone)) + "</article>") == "\n\n".join(want)
+    outside = ['<div class="search-results"><p>one</div>', '<section class="social history"><p>two</section>', '<div id="main-side">three</div>', "<div class='sidereal'>four</div>"]
+    assert text("".join(outside) + "<div class='side'>x</div><div id='search-box'>x</div><div class=banner>x</div>") == "one\n\ntwo\n\nthree\n\nfour"
+
+
+def test_menus_with_words_of_their_own_are_shared_by_place():
+    def page(words, story):
+        return f"<div><ul>{''.join(f'<li><a href=/{w}>{w}</a>' for w in words.split())}</ul></div><p>{story}</p><ul><li>a point of {story}</ul><p><a href=x>{story} to read</a></p>"
+
+    assert text(page("a b c", "one"), [page("d e f g", "two")]) == "one\n\na point of one\n\none to read"
+    assert text(page("a b c", "one"), [page("d", "two")]).count("\n\n") == 4  # one place of the menu is shared, two links are left
+
+
+def test_difference_comes_before_elements():
+    a, b = (h.lines(f"<nav><li>{w}</nav><article><p>{w}</article><footer>{w}</footer>") for w in "ab")
+    assert h.deleted(h.measured(a), [h.measured(b)]) == [0, 2] and h.deleted(h.measured(a), []) == []
+    assert h.candidates(a) == ["a"] and h.places([0, 2], [-1, 1, -1]) == [] and h.places([0, 1], [-1, 0, 1]) == [0]
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "40"])
+def test_extract_against_a_plain_version(spark, parts):
+    """Pages made from lists of lines, whose shared ones stand in one order, so that the longest common subsequence is
+    what both have. The plain version reads the lists, not the html."""
     import random
 
     rng = random.Random(4)
-    pool = [f"line {i}" for i in range(6)]
-    rows = []
-    for i in range(120):
-        body = "".join(f"<p>{rng.choice(pool) if rng.random() < 0.5 else f'own {i} {k}'}" for k in range(rng.randint(0, 6)))
-        if i % 3 == 0:
-            body = f"<p>{rng.choice(pool)}<article>{body}</article><p>{rng.choice(pool)}"
-        rows.append((i, f"https://h{i % 5}.example/{rng.randint(0, 9)}/{i}", body if i % 11 else None))
-    order = sorted(rows, key=lambda r: (r[1].split("/")[2].encode(), "/" + "/".join(r[1].split("/")[3:]), r[0]))
-    host = lambda r: r[1].split("/")[2]
-
-    def common(a, b):  # places of a in one longest common subsequence, by the table; of equal ones the last, as the operator
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        return best[-1][-1]
+    pool = [f"line {i}" for i in range(9)]
+    rows, made = [], {}
+    for i in range(150):
+        before, inside, after = (sorted(rng.sample(part, rng.randint(0, 3))) + [f"own {i} {n}"] * (rng.random() < 0.6) for n, part in enumerate((pool[:3], pool[3:6], pool[6:])))
+        has = i % 3 > 0
+        page = tuple([(0, x) for x in before] + ([(1, x) for x in inside] if has else [(0, x) for x in inside]) + [(0, x) for x in after])
+        if i % 10 == 9:
+            page = made[i - 5]  # a copy, elsewhere on some host
+        made[i] = page
+        tag = lambda k: "".join(f"<p>{x}</p>" for kind, x in page if kind == k)
+        cut = next((n for n, (kind, _) in enumerate(page) if kind == 1), None)
+        flat = lambda part: "".join(f"<p>{x}</p>" for _, x in part)
+        html = flat(page) if cut is None else flat(page[:cut]) + "<article>" + tag(1) + "</article>" + flat([x for x in page[cut:] if x[0] == 0])
+        rows.append((i if i % 13 else None, f"https://h{i % 4}.example/{rng.randint(0, 9)}/{i}", html + f"<!-- {rng.randint(0, 2)} -->"))
+    contents = {}
+    for (key, url, _), page in zip(rows, made.values()):
+        host, path = url.split("/")[2], "/" + "/".join(url.split("/")[3:])
+        at = (path, key is not None, key or 0)
+        contents[host, page] = min(contents.get((host, page), at), at)
+    want = {}
+    for (host, page), at in contents.items():
+        order = sorted((v, p) for (h_, p), v in contents.items() if h_ == host)
+        k = order.index((at, page))
+        near = [order[j][1] for j in (k - 1, k + 1) if 0 <= j < len(order)]
+        size = sum(len(x) for kind, x in page if kind)
+        template = len(near) == 2 and not any(2 * sum(len(x) for kind, x in page if kind and (1, x) in other) > size for other in near)
+        inner = [x for kind, x in page if kind]
+        kept = []
+        for kind, x in page:
+            if kind == 0 and any((0, x) in other for other in near):
+                continue
+            if kind and template and all((1, x) in other for other in near):
+                n = inner.index(x)
+                lists = [[y for k2, y in other if k2] for other in near]
+                if any(all(-len(c) <= j < len(c) and c[j] == x for c in lists) for j in (n, n - len(inner))):
+                    continue
+            kept.append(x)
+        want[host, page] = "\n\n".join(kept)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r.url: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {url: want[url.split("/")[2], page] for (_, url, _), page in zip(rows, made.values())}
+    assert sum(text != "\n\n".join(x for _, x in page) for text, page in zip(got.values(), made.values())) > 75  # the neighbours decide
 
-    want, loose = {}, {}
-    for at, r in enumerate(order):
-        mine = h.lines(r[2])
-        near = [h.lines(order[j][2]) for j in (at - 1, at + 1) if 0 <= j < len(order) and host(order[j]) == host(r)]
-        want[r[0]] = h.main_text(mine, near)
-        loose[r[0]] = h.main_text(mine, [])
-        for other in near:
-            assert len(h.shared([t for t, _ in mine], [t for t, _ in other])) == common([t for t, _ in mine], [t for t, _ in other])
-    for parts in ("1", "4", "40"):
-        spark.conf.set("spark.sql.shuffle.partitions", parts)
-        got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-        assert got == want
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert sum(want[i] != loose[i] for i in want) > len(want) // 3  # the neighbours decide
+
+def test_equal_pages_of_a_host_get_equal_texts(spark):
+    same = "<div>Menu</div><div>Imprint</div><p>copy"
+    rows = [(i, f"https://h.example/{i}", same) for i in range(3)] + [(3, "https://h.example/3", "<div>Menu</div><p>other</p><div>Imprint</div>"), (9, "https://lone.example/", same)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "copy", 1: "copy", 2: "copy", 3: "other", 9: "Menu\n\nImprint\n\ncopy"}
 
 
 def test_pages(spark):
@@ -163,4 +212,4 @@ def test_texts_do_not_depend_on_the_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(got[1]) == len(rows) and all(x == got[1] for x in got.values())
     assert sum("Menu" in r[2] for r in got[1]) == 0
-    assert sum("Byline" in r[2] for r in got[1]) == 8 + 4  # the first and last of a host, and both rows beside or of a copy
+    assert sum("Byline" in r[2] for r in got[1]) == 8  # the first and last of a host

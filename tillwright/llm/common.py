@@ -93,15 +93,17 @@ def free_name(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Bytes of text in one range of an ordered pass, about; keys looked at for each bound.
+#: Bytes of text in one range of an ordered pass, about; ranges at most, as their bounds are constants of the plan and
+#: a range, of whatever size, is read as a stream; keys looked at for each bound.
 RANGE_BYTES = 64 << 20
+MOST_RANGES = 20_000
 SAMPLE = 20
 
 
 def range_count(rows: DataFrame, size: Column) -> tuple[int, int]:
-    """Number of rows, and of ranges to deal them to: by their bytes, at least the shuffle's partitions."""
+    """Number of rows, and of ranges to deal them to: by their bytes, at least the shuffle's partitions, MOST_RANGES at most."""
     got = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
-    return got["n"], max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-got["size"] // RANGE_BYTES))
+    return got["n"], min(MOST_RANGES, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-got["size"] // RANGE_BYTES)))
 
 
 def _literal(keys: list, kind: str) -> Column:
