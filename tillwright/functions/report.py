@@ -46,12 +46,19 @@ def shown_price(c: Column) -> Column:
 
 
 def validation_text(validated: DataFrame) -> DataFrame:
-    """A report of each row of ``validate_all``: status, sums, counts, recommendations."""
-    parts = [
-        F.concat(F.lit("Subtotal: "), F.col("subtotal_status")), F.concat(F.lit("Expected: "), shown_price(F.col("subtotal")), F.lit(", items: "), shown_price(F.col("items_total"))),
-        F.format_string("Outliers: %d, names: %d, prices: %d", "outliers_count", "name_quality_issues", "price_range_warnings"), F.array_join("recommendations", "\n"),
-    ]
-    return validated.select("receipt_id", F.concat_ws("\n", *parts).alias("report"))
+    """The report of each receipt of ``validate_all`` (with its items): a heading, the subtotal with its problematic
+    items, the outliers, the recommendations. Fixed values: the wording and the widths."""
+    bar, gap = "=" * 80, F.col("discrepancy").cast("double")
+    pct = F.when(F.col("subtotal") == 0, F.lit(0.0)).otherwise(F.round(gap / F.col("subtotal").cast("double") * 100, 2))
+    item = lambda x: F.format_string("      - %-40s $%7.2f", F.coalesce(x["item_name"], F.lit("UNKNOWN")), x["price"].cast("double"))
+    listed = lambda c, f: F.coalesce(F.transform(c, f), F.array().cast("array<string>"))
+    checked = F.when(F.col("subtotal_status") == "SKIPPED", F.array().cast("array<string>")).otherwise(F.concat(
+        F.array(F.format_string("    Expected:      $%.2f", F.col("subtotal").cast("double")), F.format_string("    Reconstructed: $%.2f", F.col("items_total").cast("double")), F.format_string("    Discrepancy:   $%+.2f (%+.2f%%)", gap, pct)),
+        listed("problems", lambda x: F.concat(item(x), F.format_string(" (Z-score: %5.1f)", x["z_score"])))))
+    lines = F.concat(
+        F.array(F.lit("\n" + bar), F.lit(" " * 31 + "VALIDATION REPORT" + " " * 32), F.lit(bar), F.lit("\n[1] SUBTOTAL CONSISTENCY"), F.concat(F.lit("    Status: "), "subtotal_status")), checked,
+        F.array(F.lit("\n[2] PRICE OUTLIER DETECTION"), F.concat(F.lit("    Status: "), "outliers_status")), listed("outliers", item), F.array(F.lit("\n[3] RECOMMENDATIONS")), F.transform("recommendations", lambda x: F.concat(F.lit("    "), x)), F.array(F.lit("\n" + bar)))
+    return validated.select("receipt_id", F.array_join(lines, "\n").alias("report"))
 
 
 def clamp_item(price: Column, confidence: Column) -> Column:

@@ -320,8 +320,8 @@ def colons(p: Page) -> None:
 
 
 def grocery_rows(p: Page) -> None:
-    """Rows of name, code, flag, price: codes, flags, categories and units are nothing, the rightmost
-    price is the price, what stands before the code is the name."""
+    """Rows of name, code, flag, price: codes, flags, categories and units lose their label, the rightmost
+    price is the price, what stands before the code is the name (a unit too)."""
     for row in p.by_row().values():
         if p.zones[row[0]] != "body":
             continue

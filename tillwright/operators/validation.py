@@ -95,6 +95,20 @@ def _checked(got: DataFrame, rules: Rules, *more: str) -> DataFrame:
     return got.select("receipt_id", "subtotal", "items_total", F.when(F.col("subtotal").isNotNull(), gap).cast("decimal(28,2)").alias("discrepancy"), status.alias("subtotal_status"), *more)
 
 
+def subtotal_message(status: Column, gap: Column, pct: Column) -> Column:
+    """What a person reads of a subtotal check; null where it was skipped. The wording."""
+    gap, pct = gap.cast("double"), pct.cast("double")
+    return (
+        F.when(status == "PASS", F.format_string("✓ Subtotal matches (discrepancy: %.2f%%)", pct))
+        .when(status == "WARNING", F.format_string("⚠ Slight discrepancy: $%+.2f (%+.2f%%)", gap, pct))
+        .when(status == "FAIL", F.format_string("✗ Large discrepancy: $%+.2f (%+.2f%%) — likely OCR/labeling errors", gap, pct)))
+
+
+def discrepancy_pct(gap: Column, subtotal: Column) -> Column:
+    """The gap in percent of the subtotal; 0 for a subtotal of 0."""
+    return F.when(subtotal == 0, F.lit(0.0)).otherwise(gap.cast("double") / subtotal.cast("double") * 100)
+
+
 def has_artifact(name: Column) -> Column:
     out = F.lit(False)
     for a in ARTIFACTS:
@@ -125,6 +139,21 @@ def name_quality(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return items.withColumns(_name_issues(items, rules)).filter("artifact or digit_heavy or too_short or too_long or low_conf")
 
 
+def name_reports(items: DataFrame, rules: Rules = Rules(), most: int = 10) -> DataFrame:
+    """Per receipt: status, the number of items with issues of their name, and the first ``most`` of them
+    (item_name, price, conf, issues). Fixed values: the wording of the issues."""
+    name = F.coalesce("item_name", F.lit(""))
+    conf = F.coalesce(F.expr("try_cast(conf_mean as double)"), F.lit(1.0)) if "conf_mean" in items.columns else F.lit(1.0)
+    ratio = F.when(F.length(name) > 0, F.length(F.regexp_replace(name, r"\P{Nd}", "")) / F.length(name)).otherwise(F.lit(0.0))
+    rated = items.withColumns({k: c for k, c in _name_issues(items, rules).items()})
+    said = F.array_compact(F.array(
+        F.when(F.col("artifact"), "OCR artifacts (0/O, 1/I, 5/S confusion)"), F.when(F.col("digit_heavy"), F.format_string("High digit ratio (%.1f%%) — likely SKU/barcode mixed", ratio * 100)),
+        F.when(F.col("too_short"), "Name too short — likely SKU only").when(F.col("too_long"), "Name too long — likely multiple items merged"), F.when(F.col("low_conf"), F.format_string("Low confidence (%.2f)", conf))))
+    one = F.struct("line_no", name.alias("item_name"), F.col("price"), conf.alias("conf"), F.col("said").alias("issues"))
+    got = rated.withColumn("said", said).groupBy("receipt_id").agg(F.count(F.when(F.size("said") > 0, 1)).alias("num_issues"), F.array_sort(F.collect_list(F.when(F.size("said") > 0, one))).alias("all"))
+    return got.select("receipt_id", F.when(F.col("num_issues") > 0, "ISSUES_FOUND").otherwise("OK").alias("status"), "num_issues", F.transform(F.slice("all", 1, most), lambda x: x.dropFields("line_no")).alias("issues"))
+
+
 def _range_reason(rules: Rules) -> Column:
     p, shown = F.col("price"), F.format_string("$%.2f", F.col("price").cast("double"))
     return (
@@ -161,17 +190,24 @@ def _rated(items: DataFrame, rules: Rules) -> tuple[DataFrame, Column, Column]:
     return rated, outlier, F.coalesce((F.col("sd") > 0) & (off > rules.problem_sd * F.col("sd")), F.lit(False))
 
 
-def validate_all(receipts: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """A row per receipt: status of each check, counts, and the recommendations in order."""
+def validate_all(receipts: DataFrame, items: DataFrame, rules: Rules = Rules(), with_items: bool = False) -> DataFrame:
+    """A row per receipt: status of each check, counts, and the recommendations in order; with_items also the first three
+    problematic items (item_name, price, z_score), the first three outliers (item_name, price) and the outliers' status."""
     rated, outlier, problem = _rated(items, rules)
+    z = F.when(F.col("sd") > 0, F.round((F.col("p") - F.col("mean")) / F.col("sd"), 2))
+    first = lambda c, *cols: F.transform(F.slice(F.array_sort(F.collect_list(F.when(c, F.struct("line_no", "item_name", "price", *cols)))), 1, 3), lambda x: x.dropFields("line_no"))
+    more = {"problems": first(problem, z.alias("z_score")), "outliers": first(outlier), "priced": F.max("n")} if with_items else {}
     count = lambda c: F.count(F.when(c, 1))
     names = lambda c, k: F.transform(F.slice(F.array_sort(F.collect_list(F.when(c, F.struct("line_no", "item_name")))), 1, k), lambda x: x["item_name"])
     # one exchange by receipt_id serves the windows and this aggregate
     found = rated.groupBy("receipt_id").agg(
         count(outlier).alias("outliers_count"), count(_name_issue(items, rules)).alias("name_quality_issues"), count(_range_reason(rules).isNotNull()).alias("price_range_warnings"),
-        names(problem, 3).alias("problem_names"), names(outlier, 2).alias("outlier_names"), F.sum(F.when(F.col("price") > 0, F.col("price"))).alias("items_total"),
+        names(problem, 3).alias("problem_names"), names(outlier, 2).alias("outlier_names"), F.sum(F.when(F.col("price") > 0, F.col("price"))).alias("items_total"), *(c.alias(k) for k, c in more.items()),
     )
-    out = _checked(receipts.select("receipt_id", "subtotal").join(found, "receipt_id", "left"), rules, "outliers_count", "name_quality_issues", "price_range_warnings", "problem_names", "outlier_names")
+    out = _checked(receipts.select("receipt_id", "subtotal").join(found, "receipt_id", "left"), rules, "outliers_count", "name_quality_issues", "price_range_warnings", "problem_names", "outlier_names", *more)
+    if with_items:
+        status = F.when(F.coalesce("priced", F.lit(0)) < 3, "INSUFFICIENT_DATA").when(F.coalesce("outliers_count", F.lit(0)) > 0, "OUTLIERS_FOUND").otherwise("OK")
+        out = out.withColumn("outliers_status", status).drop("priced")
     out = out.fillna(0, ["outliers_count", "name_quality_issues", "price_range_warnings"])
     listed = lambda c: F.concat(F.lit("['"), F.array_join(c, "', '"), F.lit("']"))
     # fixed values: the wording of the recommendations

@@ -106,7 +106,7 @@ def _long_tokens(spark, d) -> DataFrame:
 
     some, total = F.lit(True), show(sub + tax)
     rows = F.array_compact(F.array(
-        line(k.isin(0, 1, 3, 4), (F.when(k == 3, "MERCHANDISE").otherwise("SUBTOTAL"), "B-SUM.SUBTOTAL"), (show(sub), "I-SUM.SUBTOTAL")),
+        line(k.isin(0, 1, 3, 4), (F.when(k == 3, "AMOUNT").otherwise("SUBTOTAL"), "B-SUM.SUBTOTAL"), (show(sub), "I-SUM.SUBTOTAL")),
         line(k == 0, ("HST", "B-TAX"), ("1.05", "I-TAX")),
         line(k == 1, ("GST", "O"), ("21.00", "O"), ("@", "O"), ("5.00", "O"), ("%", "O"), ("1.05", "O")),
         line(k == 3, ("QST", "O")), line(k == 3, ("1.05", "O")),

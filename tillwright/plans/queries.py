@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import money, text
+from ..functions import money, report, text
 from ..operators import dashboard, tables, validation, workflow
 from ..sources import adapters
 
@@ -446,3 +446,35 @@ def region_split(spark, d):
     from ..operators import sequences
 
     return sequences.regions(adapters.priced_events(spark, d).withColumn("y", F.col("price")), "line_no", "y", 30).select("receipt_id", "line_no", "region")
+
+
+@query(f"""WITH {RECEIPTS}, {ITEMS}, {SUBTOTALS}, g AS (SELECT sub.receipt_id, subtotal, coalesce(s, 0) - subtotal AS gap, CASE WHEN subtotal = 0 THEN 0 ELSE (coalesce(s, 0) - subtotal)::DOUBLE / subtotal::DOUBLE * 100 END AS pct FROM sub LEFT JOIN sums USING (receipt_id))
+SELECT receipt_id, CASE WHEN subtotal IS NULL THEN NULL WHEN abs(pct) < 1 THEN format('✓ Subtotal matches (discrepancy: {{:.2f}}%)', pct) WHEN abs(pct) < 5 THEN format('⚠ Slight discrepancy: ${{:+.2f}} ({{:+.2f}}%)', gap::DOUBLE, pct) ELSE format('✗ Large discrepancy: ${{:+.2f}} ({{:+.2f}}%) — likely OCR/labeling errors', gap::DOUBLE, pct) END AS message FROM g""")
+def subtotal_messages(spark, d):
+    got = validation.subtotal_check(_subtotals(spark, d), adapters.items(spark, d))
+    return got.select("receipt_id", validation.subtotal_message(F.col("subtotal_status"), F.col("discrepancy"), validation.discrepancy_pct(F.col("discrepancy"), F.col("subtotal"))).alias("message"))
+
+
+@query(f"""WITH {ITEMS}, e AS (SELECT receipt_id, line_no, CASE part_id % 6 WHEN 0 THEN 'ab' WHEN 1 THEN '12345 x' WHEN 2 THEN 'c' || repeat('ream ', 9) WHEN 3 THEN 'corn' WHEN 4 THEN '' ELSE item_name END AS name, part_id % 6 AS k, confidence / 100.0::DOUBLE AS conf FROM items),
+i AS (SELECT *, list_filter([CASE WHEN contains(lower(name), 'rn') THEN 'OCR artifacts (0/O, 1/I, 5/S confusion)' END, CASE WHEN k = 1 THEN 'High digit ratio (71.4%) — likely SKU/barcode mixed' END, CASE WHEN len(name) < 3 THEN 'Name too short — likely SKU only' WHEN len(name) > 40 THEN 'Name too long — likely multiple items merged' END,
+  CASE WHEN conf < 0.65 THEN format('Low confidence ({{:.2f}})', conf) END], lambda x: x IS NOT NULL) AS issues FROM e),
+g AS (SELECT receipt_id, count(*) FILTER (len(issues) > 0) AS num_issues, list(name || ': ' || array_to_string(issues, '; ') ORDER BY line_no) FILTER (len(issues) > 0) AS l FROM i GROUP BY 1)
+SELECT receipt_id, CASE WHEN num_issues > 0 THEN 'ISSUES_FOUND' ELSE 'OK' END AS status, num_issues, coalesce(array_to_string(l[:3], '|'), '') AS issues FROM g""")
+def name_reports(spark, d):
+    """Names short, long, of digits, misread, empty; the first three of a receipt's issues are shown."""
+    i, k = adapters.items(spark, d), F.col("part_id") % 6
+    name = F.when(k == 0, "ab").when(k == 1, "12345 x").when(k == 2, "c" + "ream " * 9).when(k == 3, "corn").when(k == 4, F.lit(None).cast("string")).otherwise(F.col("item_name"))
+    got = validation.name_reports(i.withColumns({"item_name": name, "conf_mean": F.col("confidence") / 100.0}), most=3)
+    shown = F.array_join(F.transform("issues", lambda x: F.concat(x["item_name"], F.lit(": "), F.array_join(x["issues"], "; "))), "|")
+    return got.select("receipt_id", "status", "num_issues", shown.alias("issues"))
+
+
+@query(f"""WITH {RECEIPTS}, {ITEMS}, {SUBTOTALS}, g AS (SELECT sub.receipt_id, subtotal, coalesce(s, 0) AS t, coalesce(s, 0) - subtotal AS gap, CASE WHEN subtotal = 0 THEN 0 ELSE round((coalesce(s, 0) - subtotal)::DOUBLE / subtotal::DOUBLE * 100, 2) END AS pct FROM sub LEFT JOIN sums USING (receipt_id)),
+n AS (SELECT receipt_id, count(*) AS n FROM items WHERE price > 0 GROUP BY 1)
+SELECT g.receipt_id, repeat('=', 80) AS bar, CASE WHEN subtotal IS NULL THEN '    Status: SKIPPED' ELSE '    Status: ' || CASE WHEN abs(gap) * 100 < subtotal OR subtotal = 0 THEN 'PASS' WHEN abs(gap) * 100 < 5 * subtotal THEN 'WARNING' ELSE 'FAIL' END END AS status,
+  CASE WHEN subtotal IS NOT NULL THEN format('    Expected:      ${{:.2f}}', subtotal::DOUBLE) || chr(10) || format('    Reconstructed: ${{:.2f}}', t::DOUBLE) || chr(10) || format('    Discrepancy:   ${{:+.2f}} ({{:+.2f}}%)', gap::DOUBLE, pct) ELSE '' END AS sums, coalesce(n, 0) < 3 AS few FROM g LEFT JOIN n USING (receipt_id)""")
+def validation_reports(spark, d):
+    """Parts of the report that people read: its bar, status, the three sums, and whether outliers could be sought."""
+    got = report.validation_text(validation.validate_all(_subtotals(spark, d), adapters.items(spark, d), with_items=True))
+    part = lambda p, k=1: F.regexp_extract("report", p, k)
+    return got.select("receipt_id", F.element_at(F.split("report", "\n"), 2).alias("bar"), part(r"(    Status: \w+)").alias("status"), part(r"(    Expected:[^\n]*\n[^\n]*\n    Discrepancy:[^\n]*)").alias("sums"), F.col("report").contains("INSUFFICIENT_DATA").alias("few"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import files, kernels, more, processed, review, values  # noqa: F401
+from . import files, kernels, label_steps, more, processed, review, values  # noqa: F401
 from .queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
