@@ -128,6 +128,38 @@ def test_near_group_where_neighbours_differ(spark, monkeypatch):
     assert sorted([tuple(r) for r in near_dedup.near_duplicates(df, words=4).collect()], key=repr) == brute_near(data, 4)
 
 
+def test_near_buckets_of_many_components_are_banded_again(spark, monkeypatch):
+    """A passage that two thirds of each text consist of: its minima make one band key hold most texts, which are in
+    many small groups. The large buckets are banded again, and no link is lost."""
+    import random
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 1)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(70)]
+    data = []
+    for f in range(70):
+        own = [f"f{f}x{i}" for i in range(35)]
+        for v in range(2):
+            w = passage + own
+            w[70 + 5 * v] = f"edit{f}x{v}"
+            data.append((len(data), " ".join(w), "en", "s", 1))
+    rng.shuffle(data)
+    seen = []
+    plain = near_dedup._meeting
+
+    def meeting(named, classes, most=None):
+        sizes = [r.met for r in named.groupBy("key").count().withColumnRenamed("count", "met").collect()]
+        again = plain(named, classes, most)
+        seen.append((max(sizes), plain(named, classes, 10**9).count(), again.count()))
+        return again
+
+    monkeypatch.setattr(near_dedup, "_meeting", meeting)
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted([tuple(r) for r in near_dedup.near_duplicates(df, words=4).collect()], key=repr)
+    assert got == brute_near(data, 4) and sum(r[3] for r in got) == 70
+    assert seen[0][0] > 64 and seen[0][1] != seen[0][2]  # buckets with most texts, and they were banded again
+
+
 def test_near_pairs_that_meet_at_a_foreign_hub_only(spark):
     """The smallest document holds the words that give the others their minima: it is the hub of every
     bucket they share, yet unlike them."""

@@ -10,13 +10,15 @@
 3. Every class in a bucket is compared with the bucket's smallest class: a star, not all pairs. Links
    are confirmed on full sets and joined to components. Where a bucket then still holds several
    components, its pairs across components are estimated, block by block inside the tasks, and joined
-   to rough components, which hold all that may still be linked. Where a rough component has several
+   to rough components, which hold all that may still be linked. A bucket of more than BANDS * BLOCK classes is
+   banded again: only those that share one of the other bands as well meet, as pairs at the threshold do. Where a rough component has several
    confirmed components, its pairs across those are confirmed on full sets, again block by block. Tasks
    return links that join components, fewer than their rows, never the pairs: no candidate link between
    different components is lost, and none is written that joins nothing.
 4. Components come from alternating large-star and small-star steps on the confirmed links.
 
-A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 < 1e-7.
+A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 < 1e-7, and in a bucket that is banded
+again no other one with (1 - 0.8 ** 4) ** 31 < 1e-7.
 
 Defined cases: null text or one without words has no shingle and is linked with nothing; a text with
 fewer words than a shingle is one shingle; a row with a null id is linked with nothing and stays; rows
@@ -323,6 +325,26 @@ def _forest(batches: Iterator[pa.RecordBatch], least: int, percent: int | None)
         yield out()
 
 
+def _meeting(named: DataFrame, classes: DataFrame, most: int | None = None) -> DataFrame:
+    """Groups in which classes are still to be compared (key, rep, label, sig): the buckets (named: key, rep, label)
+    that hold several labels, those of more than ``most`` classes banded again, which costs BANDS rows a class
+    where comparing all blocks of the bucket would cost more."""
+    most = most or BANDS * BLOCK
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        groups = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("met")).filter("lo < hi").select("key", "met")
+        return join_heavy_apart(rows, groups, "key", "met", rows.count())
+
+    named = materialize(mixed(named), "mixed")
+    small = named.filter(F.col("met") <= most).join(classes.select("rep", "sig"), "rep").select("key", "rep", "label", "sig")
+    if not named.filter(F.col("met") > most).limit(1).count():
+        return small
+    large = named.filter(F.col("met") > most).join(classes.select("rep", "sig", "bands"), "rep").select("key", "rep", "label", "sig", F.explode("bands").alias("other"))
+    again = large.filter("other <> key").withColumn("key", F.xxhash64("key", "other")).drop("other")
+    again = mixed(materialize(again, "banded-again"))
+    return small.unionByName(again.select("key", "rep", "label", "sig"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -349,9 +371,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     # buckets whose classes, but for the hub that all were compared with, are in several components
     named = shared.filter("rep <> hub").join(first, shared["rep"] == first["node"], "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     named = materialize(named, "named")
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("met")).filter("lo < hi").select("key", "met")
-    named = join_heavy_apart(named, mixed, "key", "met", named.count())
-    rest = materialize(named.join(sigs, "rep").select("key", "rep", "label", "sig"), "rest")
+    rest = materialize(_meeting(named, classes), "rest")
     rough = _in_blocks(rest, "key", None, BLOCK).mapInArrow(lambda it: _forest(it, least, None), "a long, b long").distinct()
     stars_too = first.select(F.col("node").alias("a"), F.col("label").alias("b"))
     # what may be linked lies in one rough component; where that has several labels, full sets decide
