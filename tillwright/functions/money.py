@@ -282,6 +282,21 @@ def format_thousands(c: Column) -> Column:
     return F.translate(F.format_number(c, 2), ",", " ")
 
 
+#: Currencies as they are written in Canadian English.
+CANADIAN = {"CAD": "$", "USD": "US$", "EUR": "€", "GBP": "£", "AUD": "A$", "NZD": "NZ$", "HKD": "HK$", "MXN": "MX$", "BRL": "R$", "INR": "₹", "ILS": "₪"}
+
+
+def format_money(c: Column, currency: Column) -> Column:
+    """1234.5 and CAD to ``$1,234.50``; other codes of three letters stand before the amount, with a no-break space;
+    what is no code gives a dollar sign and the plain number. A minus comes first."""
+    code = F.upper(F.coalesce(currency, F.lit("CAD")))
+    sign = F.when(c < 0, "-").otherwise("")
+    mark = F.try_element_at(F.create_map(*(F.lit(x) for kv in CANADIAN.items() for x in kv)), code)
+    amount = F.format_number(F.abs(c), 2)
+    plain = F.concat(F.lit("$"), F.format_string("%.2f", c.cast("double")))
+    return F.when(code.rlike("^[A-Z]{3}$"), F.concat(sign, F.coalesce(mark, F.concat(code, F.lit("\u00a0"))), amount)).otherwise(plain)
+
+
 def parse_thousands(c: Column) -> Column:
     return _double(F.translate(c, " ", ""))
 

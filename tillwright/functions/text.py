@@ -306,3 +306,73 @@ def initials(c: Column, n: int = 2) -> Column:
     parts = F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda x: x != "")
     out = F.upper(F.array_join(F.transform(F.slice(parts, 1, n), lambda x: F.substring(x, 1, 1)), ""))
     return F.when(out == "", F.lit("?")).otherwise(out)
+
+
+#: What review states are called and how they are coloured; colours of a receipt's status.
+STATE_LABELS = {"approved": "Approved", "pending": "Pending", "not_requested": "OCR only", "rejected": "Rejected"}
+STATE_PILLS = {"approved": "pill-ok", "pending": "pill-pend", "not_requested": "pill-none", "rejected": "pill-rej"}
+BADGES = {"Approved": "success", "Pending": "warning", "Failed": "error"}
+
+
+def _by_value(c: Column, known: dict[str, str], other: Column) -> Column:
+    out = other
+    for k, v in known.items():
+        out = F.when(c == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def state_label(c: Column) -> Column:
+    """A review state in words; others as they are."""
+    return _by_value(c, STATE_LABELS, c)
+
+
+def state_pill(c: Column) -> Column:
+    return _by_value(c, STATE_PILLS, F.lit("pill-none"))
+
+
+def badge_color(c: Column) -> Column:
+    return _by_value(c, BADGES, F.lit("info"))
+
+
+def clean_ocr_text(c: Column) -> Column:
+    """A text with one kind of line end, two of them in a row at most, none at its ends."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+# Money as a token, tax words, labels of a summary.
+MONEY_TOKEN = r"^\$?\s*\d{1,7}[.,]\d{2}\s*$"
+TAX_LINE = r"(?i)\b(tax|vat|gst|hst|pst|qst|sales\s*tax|tps|tvq)\b"
+SUMMARY_LABELS = ("SUM.SUBTOTAL", "SUM.TAX", "SUM.TOTAL", "TAX")
+
+
+def is_money_token(c: Column) -> Column:
+    return F.trim(F.coalesce(c, F.lit(""))).rlike(MONEY_TOKEN)
+
+
+def is_real_tax(c: Column) -> Column:
+    """Whether a text names a tax; tips and fees alone are none."""
+    return F.coalesce(c, F.lit("")).rlike(TAX_LINE)
+
+
+def as_unlabelled(label: Column, conf: Column, least: float = 0.50) -> Column:
+    """Whether a token counts as one without a label: it has none, or a summary's with too little confidence."""
+    lab = F.coalesce(F.when(label != "", label), F.lit("O"))
+    summary = lab.isin(*(f"{b}-{k}" for b in "BI" for k in SUMMARY_LABELS))
+    return (lab == "O") | (summary & (F.coalesce(conf, F.lit(0.0)) < least))
+
+
+def nearest_keyword(c: Column, keywords: list[str], most: int = 2) -> Column:
+    """struct(keyword, distance): the keyword at the least edit distance, the first of equals, by letters and digits;
+    a token of four of them at most must be one. Null without one."""
+    from .money import let
+
+    bare = lambda k: "".join(ch for ch in k.upper() if ch.isascii() and ch.isalnum())
+    table = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(k).alias("keyword"), F.lit(bare(k)).alias("bare")) for i, k in enumerate(keywords)))
+
+    def match(t: Column) -> Column:
+        rated = F.transform(table, lambda k: F.struct(F.levenshtein(t, k["bare"]).alias("distance"), k["at"], k["keyword"]))
+        fits = F.filter(rated, lambda k: k["distance"] <= F.when(F.length(t) <= 4, 0).otherwise(most))
+        return F.when(t != "", let(F.array_min(fits), lambda b: F.when(b.isNotNull(), F.struct(b["keyword"].alias("keyword"), b["distance"].alias("distance")))))
+
+    return let(F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z0-9]", ""), match)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import llm_json, text
+from ..functions import llm_json, money, text
 from ..operators import labels
 from ..sources import adapters
 from .queries import query
@@ -91,3 +91,38 @@ def rows_as_text(spark, d):
 @query("SELECT doc_id AS receipt_id, " + " OR ".join(f"contains(lower(text), '{w}')" for w in text.TOTAL_WORDS) + " AS says_total FROM documents")
 def total_words_in_documents(spark, d):
     return adapters.read(spark, d, "documents").select(F.col("doc_id").alias("receipt_id"), text.has_total_words(F.col("text")).alias("says_total"))
+
+
+# texts for people, tokens
+
+@query("""WITH o AS (SELECT o_orderkey AS k, (o_totalprice * CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END)::DECIMAL(18,2) AS v FROM orders)
+SELECT k AS receipt_id, ['Approved', 'Pending', 'OCR only', 'Rejected', 'other'][(k % 5 + 1)::INT] AS label, ['pill-ok', 'pill-pend', 'pill-none', 'pill-rej', 'pill-none'][(k % 5 + 1)::INT] AS pill, ['success', 'warning', 'error', 'info', 'info'][(k % 5 + 1)::INT] AS badge,
+CASE WHEN k % 4 = 3 THEN format('${:.2f}', v::DOUBLE) ELSE CASE WHEN v < 0 THEN '-' ELSE '' END || ['$', 'US$', 'XTS' || chr(160)][(k % 4 + 1)::INT] || format('{:,.2f}', abs(v)::DOUBLE) END AS shown FROM o""")
+def texts_for_people(spark, d):
+    k = F.col("o_orderkey")
+    pick = lambda n, *values: F.get(F.array(*map(F.lit, values)), (k % n).cast("int"))
+    value = (F.col("o_totalprice") * F.when(k % 3 == 0, -1).otherwise(1)).cast("decimal(18,2)")
+    o = adapters.read(spark, d, "orders")
+    return o.select(
+        k.alias("receipt_id"), text.state_label(pick(5, "approved", "pending", "not_requested", "rejected", "other")).alias("label"), text.state_pill(pick(5, "approved", "pending", "not_requested", "rejected", "other")).alias("pill"),
+        text.badge_color(pick(5, "Approved", "Pending", "Failed", "Processed", "x")).alias("badge"), money.format_money(value, pick(4, "CAD", "usd", "XTS", "??")).alias("shown"))
+
+
+@query(r"""SELECT doc_id AS receipt_id, regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS text FROM documents""")
+def documents_cleaned(spark, d):
+    """Line ends of three kinds, some of them many in a row."""
+    c = F.col("text")
+    mixed = F.regexp_replace(c, "\n", "\r\n")
+    return adapters.read(spark, d, "documents").select(F.col("doc_id").alias("receipt_id"), text.clean_ocr_text(mixed).alias("text"))
+
+
+@query("""WITH w AS (SELECT o_orderkey AS receipt_id, unnest(['TOT', 'TOFU', 'Totel', 'Sub-Totl', 'GST', 'G5T', o_totalprice::DECIMAL(18,2)::VARCHAR, '$12,50', '1.5', 'sales tax', 'tip', '']) AS word, unnest(range(12))::INT AS i, o_totalprice AS p FROM orders)
+SELECT receipt_id, i, CASE i WHEN 0 THEN 'TOT' WHEN 2 THEN 'TOTAL' WHEN 3 THEN 'SUBTOTAL' WHEN 4 THEN 'GST' END AS keyword, CASE i WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 0 END AS distance, i IN (6, 7) AS is_money, i IN (4, 9) AS is_tax, i % 3 <> 1 AS unlabelled FROM w""")
+def words_of_the_summary(spark, d):
+    """Short words must be keywords as they are, longer ones may be misread; money, taxes, labels that are too unsure."""
+    o = adapters.read(spark, d, "orders").select(F.col("o_orderkey").alias("receipt_id"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("p"))
+    words = F.array(*map(F.lit, ("TOT", "TOFU", "Totel", "Sub-Totl", "GST", "G5T")), F.col("p"), *map(F.lit, ("$12,50", "1.5", "sales tax", "tip", "")))
+    w = o.select("receipt_id", F.posexplode(words).alias("i", "word"))
+    near = text.nearest_keyword(F.col("word"), ["SUBTOTAL", "TOTAL", "TOT", "GST"])
+    label, conf = F.when(F.col("i") % 3 == 0, "").otherwise("B-SUM.TOTAL"), F.when(F.col("i") % 3 == 1, 0.9).otherwise(0.2)
+    return w.select("receipt_id", "i", near["keyword"].alias("keyword"), near["distance"].alias("distance"), text.is_money_token(F.col("word")).alias("is_money"), text.is_real_tax(F.col("word")).alias("is_tax"), text.as_unlabelled(label, conf).alias("unlabelled"))
