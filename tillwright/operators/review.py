@@ -144,9 +144,9 @@ def upsert_child(table: DataFrame, incoming: DataFrame, now: Column, id_name: st
     incoming = latest(incoming.withColumn("_text", _whole(incoming)), "receipt_id", *([F.col("seq")] if "seq" in incoming.columns else []), F.col("_text")).drop("_text")
     values = [c for c in table.columns if c not in (id_name, "receipt_id", "created_at")]
     new = incoming.select(F.col("receipt_id").alias("_r"), *(F.col(c).alias(f"_{c}") for c in values))
-    joined = table.join(new, F.col("receipt_id") == F.col("_r"), "left")
+    joined = table.join(new.hint("merge"), F.col("receipt_id") == F.col("_r"), "left")
     old = _set(joined, F.col("_r").isNotNull(), {c: F.col(f"_{c}") for c in values}).select(*table.columns)
-    fresh = incoming.join(table.select("receipt_id"), "receipt_id", "left_anti").withColumn("created_at", now)
+    fresh = incoming.join(table.select("receipt_id").hint("merge"), "receipt_id", "left_anti").withColumn("created_at", now)
     return old.unionByName(_conform(number_rows(fresh, table, id_name, F.col("receipt_id")), table))
 
 

@@ -62,10 +62,11 @@ def save_processed(t: Tables, processed: DataFrame, now: Column, default_currenc
     batch = processed.withColumns({"job_id": F.trim(job), "source_id": F.trim(F.coalesce(_named("source_id"), own))})
     batch = latest(batch.withColumn("_text", F.to_json(F.struct(*processed.columns))), "source_id", F.col("seq"), F.col("_text")).drop("_text", "seq")
     old = t["receipts"].select(F.col("source_id").alias("_s"), F.col("receipt_id").alias("_id"), F.col("created_at").alias("_c"))
-    known = batch.join(old, F.col("source_id") == F.col("_s"), "left").drop("_s")
+    known = batch.hint("merge").join(old, F.col("source_id") == F.col("_s"), "left").drop("_s")
     fresh = number_rows(known.filter("_id is null").drop("_id"), t["receipts"], "receipt_id", F.col("source_id"))
     again = known.filter("_id is not null").withColumnRenamed("_id", "receipt_id")
-    batch = materialize(again.unionByName(fresh), "processed")
+    # A batch may be as large as the tables; its file's size says little of its rows, so it is never broadcast.
+    batch = materialize(again.unionByName(fresh), "processed").hint("merge")
 
     money = lambda c: safe_float(F.col(c).cast("string"))
     header = batch.withColumns({
@@ -84,7 +85,7 @@ def save_processed(t: Tables, processed: DataFrame, now: Column, default_currenc
     lines = _lines(batch.filter(F.size("items") > 0), least, default_currency)
     ids = t["items"].groupBy(F.col("receipt_id").alias("_r"), F.col("line_no").alias("_n")).agg(F.min("item_id").alias("_i"))
     lines = lines.withColumn("_k", F.row_number().over(Window.partitionBy("receipt_id", "line_no").orderBy("item_name", "unit_price")))
-    lines = lines.join(ids, (F.col("receipt_id") == F.col("_r")) & (F.col("line_no") == F.col("_n")) & (F.col("_k") == 1), "left").drop("_r", "_n", "_k")
+    lines = lines.hint("merge").join(ids, (F.col("receipt_id") == F.col("_r")) & (F.col("line_no") == F.col("_n")) & (F.col("_k") == 1), "left").drop("_r", "_n", "_k")
     new = number_rows(lines.filter("_i is null").drop("_i"), t["items"], "item_id", F.col("receipt_id"), F.col("line_no"), F.col("item_name"), F.col("unit_price"))
     lines = lines.filter("_i is not null").withColumnRenamed("_i", "item_id").unionByName(new)
     others = t["items"].join(batch.filter(F.size("items") > 0).select("receipt_id"), "receipt_id", "left_anti").select(*t["items"].columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, report, text
 from ..operators import sequences, writer
+from ..session import materialize
 from ..sources import adapters
 from .kernels import _lines, _placed, _token
 from .queries import ITEMS, query
@@ -34,7 +35,9 @@ def _save(spark, d):
     for c in ("receipt_name", "raw_json", "ocr_json", "predictionlog_json"):
         if c not in t["receipts"].columns:
             t["receipts"] = t["receipts"].withColumn(c, none.cast("string"))
-    return writer.save_processed(writer.save_processed(t, batch, _now()), batch, _now())
+    once = writer.save_processed(t, batch, _now())
+    once |= {n: materialize(once[n], f"saved-{n}") for n in ("receipts", "validation", "summary", "items")}  # the state that the second write begins with
+    return writer.save_processed(once, batch, _now())
 
 
 _SAVED = _BASE + """, nw AS (SELECT *, 'new-' || lpad(receipt_id::VARCHAR, 12, '0') AS src, (SELECT max(receipt_id) FROM rc) + row_number() OVER (ORDER BY receipt_id) AS new_id FROM rc WHERE receipt_id % 3 <> 0 AND receipt_id % 10 = 1),
