@@ -15,9 +15,10 @@ SUFFIXES = (".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp")
 
 
 def upload_name(number: Column, file_name: Column) -> Column:
-    """``RSCAN-000001.png``: the number in six digits and the file's suffix, ``.jpg`` for an unknown one."""
+    """``RSCAN-000001.png``: the number in six digits, more if it has more, and the file's suffix, ``.jpg`` for
+    an unknown one."""
     suffix = F.lower(F.regexp_extract(file_name, r"(\.[^./\\]+)$", 1))
-    return F.concat(F.format_string("RSCAN-%06d", number.cast("int")), F.when(suffix.isin(*SUFFIXES), suffix).otherwise(".jpg"))
+    return F.concat(F.format_string("RSCAN-%06d", number.cast("long")), F.when(suffix.isin(*SUFFIXES), suffix).otherwise(".jpg"))
 
 
 def job_id(at: Column, unique: Column) -> Column:

@@ -251,7 +251,7 @@ def span_subtotals(spark, d):
     return one.select("k", summary.subtotal_of_spans(spans).cast("int").alias("subtotal"))
 
 
-@query("""SELECT p_partkey AS k, 'RSCAN-' || lpad(p_partkey::VARCHAR, 6, '0') || CASE p_partkey % 3 WHEN 0 THEN '.png' ELSE '.jpg' END AS name, p_size * 70 >= 1600 OR p_size * 70 >= 2.6 * 900 AS is_long,
+@query("""SELECT p_partkey AS k, 'RSCAN-' || lpad(p_partkey::VARCHAR, greatest(6, len(p_partkey::VARCHAR))::INT, '0') || CASE p_partkey % 3 WHEN 0 THEN '.png' ELSE '.jpg' END AS name, p_size * 70 >= 1600 OR p_size * 70 >= 2.6 * 900 AS is_long,
 1 + greatest(0, ceil((p_size * 70 - 1200) / 1000.0))::INT AS n_tiles, greatest(0, ceil((p_size * 70 - 1200) / 1000.0))::INT * 1000 AS last_top, p_size * 70 AS last_bottom, 400 AS first_size, 340 AS second_size FROM part""")
 def uploads_and_tiles(spark, d):
     k, h = F.col("p_partkey"), F.col("p_size") * 70
