@@ -56,3 +56,28 @@ def test_tables_that_grow_are_not_broadcast(spark, folder):
         assert "Broadcast" not in plan(df)
     for name in ("validation", "summary", "items"):  # there only the first numbers of the ranges are
         assert plan(saved[name]).count("BroadcastHashJoin") == 1
+
+
+def test_images_are_written_by_tasks(spark, folder, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(*_, **__):
+        raise AssertionError("rows go through the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refuse)
+    same(spark, folder, "images_listed")
+
+
+def test_label_lists_are_dealt_once(spark, folder):
+    """One shuffle of the orders, none of their tokens; the labels are those of the token rows."""
+    from pyspark.sql import functions as F
+
+    from tillwright.operators import labels
+    from tillwright.plans.label_steps import CASES, _case
+
+    orders = adapters.read(spark, folder, "orders").select(F.col("o_orderkey").alias("receipt_id"), F.lit("1.25").alias("p")).repartition("receipt_id")
+    assert plan(_case(orders, len(CASES) - 1)).count("Exchange hashpartitioning") == 1
+    rows = [(k, i, w, lab, c, x, r * 30, x + 50, r * 30 + 20, r, z) for k in (1, 2) for i, (r, w, lab, c, x, z) in enumerate(CASES[-1][1])]
+    t = spark.createDataFrame(rows, "receipt_id long, idx int, word string, label string, conf double, x1 int, y1 int, x2 int, y2 int, row_id int, zone string")
+    long = labels.repair_labels(t).groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("idx", "label"))).alias("l")).select("receipt_id", F.col("l.label").alias("labels"))
+    assert sorted(map(tuple, labels.label_lists(t).collect())) == sorted(map(tuple, long.collect()))

@@ -3,6 +3,7 @@ And the service's endpoints, each over the tables."""
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame
@@ -52,18 +53,36 @@ def ocr_tokens_of_files(spark, d):
     return intake.batch(docs)[0].select("source_id", "idx", "word", "y1")
 
 
+def _write_files(spark, names: DataFrame, folder: str) -> None:
+    """A file of one byte at each ``path`` under the shared folder. Tasks write them where the folder is mounted as files;
+    in another store, which Python tasks can't write to, the driver does, one by one."""
+    conf, new = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    fs = new(folder).getFileSystem(conf)
+    if fs.getScheme() != "file":
+        for r in names.toLocalIterator():
+            out = fs.create(new(f"{folder}/{r.path}"))
+            out.write(1)
+            out.close()
+        return
+    top = fs.makeQualified(new(folder)).toUri().getPath()
+
+    def write(rows) -> None:
+        for r in rows:
+            path = f"{top}/{r.path}"
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as out:
+                out.write(b"\1")
+
+    names.repartition(3 * spark.sparkContext.defaultParallelism).foreachPartition(write)
+
+
 @query("""SELECT s_suppkey AS id, 'img' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.jpeg' ELSE '.webp' END AS name, 1::BIGINT AS length FROM supplier WHERE s_suppkey % 4 <> 3""")
 def images_listed(spark, d):
     """A file for every supplier in nested folders, each fourth no image: images are found by their suffix."""
     folder, k = _folder(spark), F.col("s_suppkey")
     suffix = F.when(k % 4 == 0, ".png").when(k % 4 == 1, ".jpeg").when(k % 4 == 2, ".webp").otherwise(".txt")
     names = adapters.read(spark, d, "supplier").select(k.alias("id"), F.concat(F.lit("img"), k.cast("string"), suffix).alias("name"))
-    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm
-    for r in names.toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{r.id % 7}/{r.name}")
-        out = path.getFileSystem(conf).create(path)
-        out.write(1)
-        out.close()
+    _write_files(spark, names.select(F.concat((F.col("id") % 7).cast("string"), F.lit("/"), "name").alias("path")), folder)
     found = ocr.list_images(spark, folder).select(ocr.base_name(F.col("path")).alias("name"), "length")
     return found.select(F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("id"), "name", "length")
 
