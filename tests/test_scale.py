@@ -52,7 +52,7 @@ def test_tables_that_grow_are_not_broadcast(spark, folder):
     from tillwright.plans.processed import _save
 
     saved = _save(spark, folder)
-    for df in (adapters.receipts(spark, folder), adapters.items(spark, folder), saved["receipts"]):
+    for df in (adapters.receipts(spark, folder, False), adapters.items(spark, folder, False), saved["receipts"]):
         assert "Broadcast" not in plan(df)
     for name in ("validation", "summary", "items"):  # there only the first numbers of the ranges are
         assert plan(saved[name]).count("BroadcastHashJoin") == 1

@@ -19,7 +19,7 @@ from .review import _BASE, MONEY, _k, _now, _tables
 
 def _save(spark, d):
     """Two rows for every third receipt (the second counts) and one for each of a tenth as many new ones, written twice."""
-    t = _tables(spark, d)
+    t = _tables(spark, d, broadcast=False)  # both writes keep several joins in the driver at once
     t["validation"] = t["receipts"].filter(_k() % 6 == 0).select((_k() + 3).alias("validation_id"), "receipt_id", F.lit("PASS").alias("subtotal_status"), F.lit(0.0).alias("subtotal_discrepancy"), F.lit(None).cast("double").alias("subtotal_discrepancy_pct"), F.lit(0).alias("outliers_count"), F.lit(0).alias("name_quality_issues"), F.lit(0).alias("price_range_warnings"), F.lit("{}").alias("validation_json"), F.col("created_at"))
     base = t["receipts"].filter((_k() % 3 == 0) | (_k() % 10 == 1)).withColumn("known", _k() % 3 == 0)
     base = base.withColumn("seq", F.explode(F.when(F.col("known"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))

@@ -23,9 +23,9 @@ def _now():
     return F.lit(NOW).cast("timestamp")
 
 
-def _tables(spark, d) -> review.Tables:
+def _tables(spark, d, broadcast: bool = True) -> review.Tables:
     """The workflow's tables: a run for three in four receipts, each with the receipt's items."""
-    r, i = adapters.receipts(spark, d), adapters.items(spark, d)
+    r, i = adapters.receipts(spark, d, broadcast), adapters.items(spark, d, broadcast)
     money = lambda c: c.cast(MONEY)
     receipts = r.withColumns({"subtotal": money(F.col("total") - 1), "tax": money(F.lit(1)), "created_at": F.col("created_at").cast("timestamp"), "updated_at": F.col("updated_at").cast("timestamp")})
     items = i.select(
