@@ -81,3 +81,31 @@ def test_label_lists_are_dealt_once(spark, folder):
     t = spark.createDataFrame(rows, "receipt_id long, idx int, word string, label string, conf double, x1 int, y1 int, x2 int, y2 int, row_id int, zone string")
     long = labels.repair_labels(t).groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("idx", "label"))).alias("l")).select("receipt_id", F.col("l.label").alias("labels"))
     assert sorted(map(tuple, labels.label_lists(t).collect())) == sorted(map(tuple, long.collect()))
+
+
+def test_words_are_read_once():
+    """Readings of a word are remembered; the stream reads columns, with and without nulls."""
+    import pyarrow as pa
+
+    from tillwright.operators import items, streams
+
+    items.tidy.cache_clear()
+    assert [items.tidy(" 9.95* ") for _ in range(3)] == ["9.95"] * 3 and items.tidy.cache_info().misses == 1
+    for given in ([1, 2], [1, None], [0.5, 2.0], ["a", "b", "a"], ["a", None], [[1], [2]]):
+        assert streams.values(pa.array(given)) == given
+
+
+def test_expressions_compute_texts_once(spark):
+    """Within functions on arrays nothing is shared unless it is bound: the words' text, a word's letters."""
+    from pyspark.sql import functions as F
+
+    from tillwright.functions import text
+
+    shown = lambda c: c._jc.toString() if hasattr(c, "_jc") else str(c)
+    assert shown(text.tagger_words(F.col("w"))).count("array_join(") == 1
+    assert shown(text.best_keyword(F.col("w"), ["TOTAL", "DUE"])).count("regexp_replace(") == 1
+    assert shown(text.is_footer(F.col("w"))).count("upper(") == 1
+    t = spark.createDataFrame([("TOTEL",), ("DUE",), ("cost",), ("it's",), ("",)], "w string")
+    got = [r[0] and tuple(r[0]) for r in t.select(text.best_keyword(F.col("w"), ["TOTAL", "DUE", "it's"])).collect()]
+    assert got == [("TOTAL", 1), ("DUE", 0), None, ("IT'S", 0), None]
+    assert t.filter(text.best_keyword(F.col("w"), []).isNotNull()).count() == 0
