@@ -105,6 +105,7 @@ def test_expressions_compute_texts_once(spark):
     assert shown(text.tagger_words(F.col("w"))).count("array_join(") == 1
     assert shown(text.best_keyword(F.col("w"), ["TOTAL", "DUE"])).count("regexp_replace(") == 1
     assert shown(text.is_footer(F.col("w"))).count("upper(") == 1
+    assert not any("upper(" in shown(f(F.col("w"), True)) for f in (text.is_footer, text.is_section))
     t = spark.createDataFrame([("TOTEL",), ("DUE",), ("cost",), ("it's",), ("",)], "w string")
     got = [r[0] and tuple(r[0]) for r in t.select(text.best_keyword(F.col("w"), ["TOTAL", "DUE", "it's"])).collect()]
     assert got == [("TOTAL", 1), ("DUE", 0), None, ("IT'S", 0), None]
