@@ -110,3 +110,29 @@ def test_expressions_compute_texts_once(spark):
     got = [r[0] and tuple(r[0]) for r in t.select(text.best_keyword(F.col("w"), ["TOTAL", "DUE", "it's"])).collect()]
     assert got == [("TOTAL", 1), ("DUE", 0), None, ("IT'S", 0), None]
     assert t.filter(text.best_keyword(F.col("w"), []).isNotNull()).count() == 0
+
+
+def test_few_bytes_are_joined_in_a_task(spark, folder):
+    """Shuffles' partitions are joined up to 1 MB, as their rows are laid out in many tokens; smaller bounds stand."""
+    from tillwright import session
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("64MB", session.JOINED_BYTES), ("16k", 16 << 10)):
+            spark.conf.set(key, given)
+            adapters.read(spark, folder, "lineitem")
+            assert spark.conf.get(key) == f"{want}b"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_items_hold_their_tokens_once(spark):
+    """A list for an item, not one for each kind of token: names, prices and the rest come from it, in order."""
+    from tillwright.operators import sequences
+
+    rows = [(1, 0, "TEA", "B-MENU.NM"), (1, 1, "123456", "O"), (1, 2, "2.50", "B-MENU.PRICE"), (1, 3, "1.CO-", "I-MENU.PRICE"), (1, 4, "POT", "I-MENU.NM"), (1, 5, "NIL", "B-MENU.NM"), (1, 6, "devoid", "I-MENU.NM"), (1, 7, "1.00", "B-MENU.PRICE"), (1, 8, "PIE", "B-MENU.NM"), (1, 9, "3.00 void", "B-MENU.PRICE")]
+    t = spark.createDataFrame([(*r, 0.5, 1, 2, 3, 4) for r in rows], "receipt_id long, idx int, word string, label string, conf double, x1 int, y1 int, x2 int, y2 int")
+    got = sequences.reconstruct(t)
+    assert got._jdf.queryExecution().analyzed().toString().count("collect_list(") == 1
+    assert [(r.item_name, r.price, r.skus, r.discounts) for r in got.orderBy("item_no").collect()] == [("TEA POT", 2.5, ["123456"], ["1.CO-"]), ("NIL devoid", 1.0, [], [])]
