@@ -136,3 +136,19 @@ def test_items_hold_their_tokens_once(spark):
     got = sequences.reconstruct(t)
     assert got._jdf.queryExecution().analyzed().toString().count("collect_list(") == 1
     assert [(r.item_name, r.price, r.skus, r.discounts) for r in got.orderBy("item_no").collect()] == [("TEA POT", 2.5, ["123456"], ["1.CO-"]), ("NIL devoid", 1.0, [], [])]
+
+
+def test_chunks_are_merged_where_they_are_dealt(spark):
+    """Chunks and whole texts are shuffled, their words are not; a word that no chunk reads is O, a label without a word goes."""
+    from pyspark.sql import functions as F
+
+    from tillwright.operators import sequences
+    from tillwright.session import partitions
+
+    windows = spark.createDataFrame([(1, 0, 0, 2, 3), (1, 1, 2, 4, 4), (2, 0, 0, 1, 2)], "receipt_id long, chunk int, first int, last int, seen int")
+    texts = spark.createDataFrame([(1, "a b c d e"), (2, "a")], "receipt_id long, t string").repartition(partitions(spark), "receipt_id")
+    tokens = texts.select("receipt_id", F.posexplode(F.split("t", " ")).alias("idx", "word"))
+    read = sequences.in_windows(windows).withColumns({"label": F.concat(F.lit("L"), F.col("chunk").cast("string")), "conf": F.lit(0.5)})
+    got = sequences.merge_chunks(read, tokens)
+    assert plan(got).count("Exchange") == 2 and "Join" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "L0", 0.5), (1, 1, "L0", 0.5), (1, 2, "L1", 0.5), (1, 3, "L1", 0.5), (1, 4, "O", 0.0), (2, 0, "L0", 0.5)]

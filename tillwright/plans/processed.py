@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, report, text
 from ..operators import sequences, writer
-from ..session import materialize
+from ..session import materialize, partitions
 from ..sources import adapters
 from .kernels import _lines, _placed, _token
 from .queries import ITEMS, query
@@ -100,8 +100,10 @@ def items_with_all_tokens(spark, d):
 # shrinking chunks
 
 def _pieces(spark, d) -> DataFrame:
-    """Words of every document; a word has a piece for each three letters, and every 50th has 40."""
-    words = adapters.read(spark, d, "documents").select(F.col("doc_id").alias("receipt_id"), F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("idx", "word"))
+    """Words of every document; a word has a piece for each three letters, and every 50th has 40. Whole documents are
+    dealt, so their words need not be."""
+    docs = adapters.read(spark, d, "documents").select(F.col("doc_id").alias("receipt_id"), "text").repartition(partitions(spark), "receipt_id")
+    words = docs.select("receipt_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("idx", "word"))
     return words.withColumn("pieces", F.when(F.col("idx") % 50 == 49, 40).otherwise(1 + F.floor((F.length("word") - 1) / 3)).cast("int"))
 
 
@@ -116,7 +118,7 @@ win AS (SELECT s.receipt_id, chunk, first, min(width) AS width FROM step s WHERE
 
 @query(_WINDOWS + " SELECT w.receipt_id, chunk::INT AS chunk, first::INT AS first, (first + width - 1)::INT AS last FROM win w")
 def shrinking_chunks(spark, d):
-    return sequences.shrinking_windows(_pieces(spark, d)).select("receipt_id", "chunk", "first", "last")
+    return sequences.shrinking_windows(_pieces(spark, d), dealt=True).select("receipt_id", "chunk", "first", "last")
 
 
 @query(_WINDOWS + """, seen AS (SELECT receipt_id, chunk, unnest(range(first, first + width)) AS idx, first FROM win),
@@ -127,7 +129,7 @@ SELECT receipt_id, count(*) AS tokens, sum(chunk)::BIGINT AS chunks, sum(conf)::
 def merged_chunks(spark, d):
     """Labels that a tagger gave in each chunk: of a word's the surest, the later of equals."""
     t = _pieces(spark, d)
-    read = sequences.in_windows(sequences.shrinking_windows(t)).withColumns({"label": F.col("chunk").cast("string"), "conf": ((F.col("idx") * 7 + F.col("chunk") * 13) % 10).cast("double")})
+    read = sequences.in_windows(sequences.shrinking_windows(t, dealt=True)).withColumns({"label": F.col("chunk").cast("string"), "conf": ((F.col("idx") * 7 + F.col("chunk") * 13) % 10).cast("double")})
     got = sequences.merge_chunks(read, t)
     return got.groupBy("receipt_id").agg(F.count("*").alias("tokens"), F.sum(F.when(F.col("label") != "O", F.col("label").cast("long"))).alias("chunks"), F.sum("conf").cast("long").alias("conf"))
 
