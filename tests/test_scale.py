@@ -152,3 +152,21 @@ def test_chunks_are_merged_where_they_are_dealt(spark):
     got = sequences.merge_chunks(read, tokens)
     assert plan(got).count("Exchange") == 2 and "Join" not in plan(got)
     assert sorted(map(tuple, got.collect())) == [(1, 0, "L0", 0.5), (1, 1, "L0", 0.5), (1, 2, "L1", 0.5), (1, 3, "L1", 0.5), (1, 4, "O", 0.0), (2, 0, "L0", 0.5)]
+
+
+def test_receipts_without_a_run_do_not_meet_in_one_task(spark):
+    """Only receipts that wait are dealt by their run's id, which is null for the others."""
+    from pyspark.sql import functions as F
+
+    from tillwright.operators import workflow
+
+    receipts = spark.createDataFrame([(1, 11, "pending"), (2, None, "pending"), (3, 31, "approved"), (4, None, None), (5, 51, "pending")], "receipt_id long, active_llm_run_id long, ai_review_status string")
+    items = spark.createDataFrame([(k, 1, f"tea{k}", 1.0) for k in range(1, 5)], "receipt_id long, line_no int, item_name string, price double")
+    lines = spark.createDataFrame([(11, 1, "run11", 2.0), (31, 1, "run31", 2.0)], "llm_run_id long, line_no int, item_name string, line_price double")
+    got = workflow.receipt_detail(receipts, items, run_items=lines)
+    switch = workflow.ui_source_switch(receipts.withColumn("total", F.lit(1.0)), lines.select("llm_run_id", F.col("line_price").alias("total")), "total")
+    for df in (got, switch):
+        assert "hashpartitioning(active_llm_run_id" not in plan(df) and "hashpartitioning(__active" in plan(df)
+    shown = [(r.receipt_id, [x.item_name for x in r["items"]], r.data_source) for r in got.orderBy("receipt_id").collect()]
+    assert shown == [(1, ["run11"], "llm"), (2, ["tea2"], "receipt"), (3, ["tea3"], "receipt"), (4, ["tea4"], "receipt"), (5, [], "llm")]
+    assert sorted(map(tuple, switch.collect())) == [(1, 2.0, "llm"), (2, 1.0, "receipt"), (3, 1.0, "receipt"), (4, 1.0, "receipt"), (5, 1.0, "receipt")]

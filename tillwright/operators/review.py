@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import confidence_100
-from .workflow import STATUSES, latest, number_rows
+from .workflow import STATUSES, latest, number_rows, runs_of_waiting
 
 Tables = dict[str, DataFrame]
 ROUTES = ("ocr_text", "vision_image")
@@ -241,7 +241,7 @@ def detail(t: Tables, validation: DataFrame | None = None) -> DataFrame:
     run = run.select(F.col("llm_run_id").alias("_run"), staged.alias("_staged"), *(F.col(c).alias(f"_{c}") for c in (*HEADER, *people, "confidence", "parsed_json")))
     facts = ("subtotal", "tax", "total", "vendor", *people, "receipt_date", "summary_json")
     summary = t["summary"].select("receipt_id", F.struct(*facts).alias("_summary"))
-    out = t["receipts"].join(own, "receipt_id", "left").join(summary, "receipt_id", "left").join(run, waiting & (F.col("active_llm_run_id") == F.col("_run")), "left")
+    out = t["receipts"].join(own, "receipt_id", "left").join(summary, "receipt_id", "left").join(runs_of_waiting(t["receipts"], waiting, run, "_run"), F.col("receipt_id") == F.col("__r"), "left")
     on = F.col("_run").isNotNull()
     kind = t["summary"].select(F.struct(*facts).alias("s")).schema["s"].dataType.simpleString()  # as text: all fields may be null
     from_run = F.struct(*(F.col("_parsed_json" if c == "summary_json" else f"_{c}").alias(c) for c in facts)).cast(kind)
