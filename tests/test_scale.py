@@ -170,3 +170,9 @@ def test_receipts_without_a_run_do_not_meet_in_one_task(spark):
     shown = [(r.receipt_id, [x.item_name for x in r["items"]], r.data_source) for r in got.orderBy("receipt_id").collect()]
     assert shown == [(1, ["run11"], "llm"), (2, ["tea2"], "receipt"), (3, ["tea3"], "receipt"), (4, ["tea4"], "receipt"), (5, [], "llm")]
     assert sorted(map(tuple, switch.collect())) == [(1, 2.0, "llm"), (2, 1.0, "receipt"), (3, 1.0, "receipt"), (4, 1.0, "receipt"), (5, 1.0, "receipt")]
+
+
+def test_outliers_are_not_joined_back(spark, folder):
+    """An item's status comes from windows over its receipt: the only join is that of parts."""
+    same(spark, folder, "item_status")
+    assert plan(fixtures.QUERIES["item_status"](spark, folder)).count("Join") == 1
