@@ -191,3 +191,14 @@ def test_requests_are_dealt_before_they_are_made_distinct(spark):
         assert depth("HashAggregate") and max(depth("HashAggregate")) < max(depth("Exchange"))
     assert sorted((r.receipt_id, r.ai_review_status) for r in done.collect()) == [(1, "rejected"), (2, "pending")]
     assert sorted(map(tuple, refused.collect())) == [(2, "read_only"), (3, "not_found")]
+
+
+def test_paths_are_grouped_where_they_are_joined(spark):
+    """Both sides are dealt by name once, and no list of files is broadcast; a path wanted twice comes once, one without a file too."""
+    from tillwright.sources import ocr
+
+    files = spark.createDataFrame([("/d/a/best_images/1.png",), ("/d/x/1.png",), ("/d/b/best_images/1.png",), ("/d/in/2.png",), ("/d/b/2.png",), ("/d/j3/best_images/3.png",), ("/d/a/best_images/3.png",)], "path string")
+    wanted = spark.createDataFrame([("in/1.png", "j1.json"), ("in/2.png", "j2.json"), ("in/2.png", "j2.json"), ("in/3.png", "j3.json"), ("in/4.png", None)], "wanted string, document string")
+    got = ocr.resolve_paths(wanted, files, "/d")
+    assert plan(got).count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [("in/1.png", "/d/a/best_images/1.png"), ("in/2.png", "/d/in/2.png"), ("in/3.png", "/d/j3/best_images/3.png"), ("in/4.png", None)]

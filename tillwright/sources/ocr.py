@@ -64,8 +64,9 @@ def resolve_paths(wanted: DataFrame, files: DataFrame, root: str = "") -> DataFr
     w = wanted.select("wanted", base_name(path).alias("name"), F.concat(F.lit(top), path).alias("_flat"), F.concat(F.lit(top), doc, F.lit("/best_images/"), base_name(path)).alias("_beside"))
     at = F.col("path")
     step = F.when(at == F.col("_flat"), 0).when(at == F.col("_beside"), 1).when(at.endswith(F.concat(F.lit("/best_images/"), F.col("name"))), 2).otherwise(3)
-    hit = w.join(f, "name", "left")
-    best = hit.groupBy("wanted", "_beside").agg(F.min_by("path", F.struct(step.alias("step"), "path")).alias("path"))
+    # by merge, as the files grow with the wanted paths; with the name among the keys groups need no further shuffle
+    hit = w.join(f.hint("merge"), "name", "left")
+    best = hit.groupBy("name", "wanted", "_beside").agg(F.min(F.when(at.isNotNull(), F.struct(step.alias("step"), "path"))).alias("b")).withColumn("path", F.col("b.path"))
     return best.select("wanted", "path")
 
 
