@@ -202,3 +202,18 @@ def test_paths_are_grouped_where_they_are_joined(spark):
     got = ocr.resolve_paths(wanted, files, "/d")
     assert plan(got).count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan(got)
     assert sorted(map(tuple, got.collect())) == [("in/1.png", "/d/a/best_images/1.png"), ("in/2.png", "/d/in/2.png"), ("in/3.png", "/d/j3/best_images/3.png"), ("in/4.png", None)]
+
+
+def test_odd_items_are_held_once(spark):
+    """One list for a receipt's outliers and problematic items, besides that of its prices; three and two of them in order."""
+    from tillwright.operators import validation
+
+    rows = [(1, k, f"n{k}", "10.00" if k < 20 else "900.00") for k in range(21)] + [(2, 1, "a", "1.00")]
+    items = spark.createDataFrame(rows, "receipt_id long, line_no int, item_name string, price string").selectExpr("receipt_id", "line_no", "item_name", "cast(price as decimal(18,2)) price")
+    receipts = spark.createDataFrame([(1, "5.00"), (2, "1.00"), (3, None)], "receipt_id long, subtotal string").selectExpr("receipt_id", "cast(subtotal as decimal(18,2)) subtotal")
+    got = validation.validate_all(receipts, items, with_items=True)
+    assert got._jdf.queryExecution().analyzed().toString().count("collect_list(") == 2
+    a, b, c = got.orderBy("receipt_id").collect()
+    assert [(x.item_name, float(x.price), x.z_score) for x in a.problems] == [("n20", 900.0, 4.36)] and [(x.item_name, float(x.price)) for x in a.outliers] == [("n20", 900.0)]
+    assert (a.outliers_count, a.price_range_warnings, a.outliers_status, b.outliers_status, c.outliers_status) == (1, 1, "OUTLIERS_FOUND", "INSUFFICIENT_DATA", "INSUFFICIENT_DATA")
+    assert b.problems == [] and c.problems is None and c.subtotal_status == "SKIPPED" and len(a.recommendations) == 4 - (a.name_quality_issues == 0)

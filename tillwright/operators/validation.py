@@ -163,6 +163,12 @@ def _range_reason(rules: Rules) -> Column:
     )
 
 
+def _out_of_range(rules: Rules) -> Column:
+    """Whether ``_range_reason`` names one, without its text."""
+    p = F.col("price")
+    return (p <= 0) | (p < rules.low_price) | (p > rules.high_price) | ((p > rules.special_price) & F.upper("item_name").contains(rules.special_word))
+
+
 def price_ranges(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Suspicious prices; the first rule that holds names the reason. Null prices pass."""
     return items.withColumn("reason", _range_reason(rules)).filter("reason is not null")
@@ -195,15 +201,19 @@ def validate_all(receipts: DataFrame, items: DataFrame, rules: Rules = Rules(),
     problematic items (item_name, price, z_score), the first three outliers (item_name, price) and the outliers' status."""
     rated, outlier, problem = _rated(items, rules)
     z = F.when(F.col("sd") > 0, F.round((F.col("p") - F.col("mean")) / F.col("sd"), 2))
-    first = lambda c, *cols: F.transform(F.slice(F.array_sort(F.collect_list(F.when(c, F.struct("line_no", "item_name", "price", *cols)))), 1, 3), lambda x: x.dropFields("line_no"))
-    more = {"problems": first(problem, z.alias("z_score")), "outliers": first(outlier), "priced": F.max("n")} if with_items else {}
+    # each condition is found once; an item that is odd in either way is held once, in one list
+    odd = F.struct("line_no", "item_name", "price", z.alias("z_score"), "problem", "outlier")
+    of = lambda c, k: F.slice(F.filter("odd", lambda x: x[c]), 1, k)
+    pick = lambda c, *cols: F.transform(of(c, 3), lambda x: F.struct(*(x[n].alias(n) for n in ("item_name", "price", *cols))))
+    names = lambda c, k: F.transform(of(c, k), lambda x: x["item_name"])
+    more = {"problems": pick("problem", "z_score"), "outliers": pick("outlier"), "priced": F.col("priced")} if with_items else {}
     count = lambda c: F.count(F.when(c, 1))
-    names = lambda c, k: F.transform(F.slice(F.array_sort(F.collect_list(F.when(c, F.struct("line_no", "item_name")))), 1, k), lambda x: x["item_name"])
     # one exchange by receipt_id serves the windows and this aggregate
-    found = rated.groupBy("receipt_id").agg(
-        count(outlier).alias("outliers_count"), count(_name_issue(items, rules)).alias("name_quality_issues"), count(_range_reason(rules).isNotNull()).alias("price_range_warnings"),
-        names(problem, 3).alias("problem_names"), names(outlier, 2).alias("outlier_names"), F.sum(F.when(F.col("price") > 0, F.col("price"))).alias("items_total"), *(c.alias(k) for k, c in more.items()),
+    found = rated.withColumns({"outlier": outlier, "problem": problem}).groupBy("receipt_id").agg(
+        count(F.col("outlier")).alias("outliers_count"), count(_name_issue(items, rules)).alias("name_quality_issues"), count(_out_of_range(rules)).alias("price_range_warnings"),
+        F.sort_array(F.collect_list(F.when(F.col("problem") | F.col("outlier"), odd))).alias("odd"), F.sum(F.when(F.col("price") > 0, F.col("price"))).alias("items_total"), F.max("n").alias("priced"),
     )
+    found = found.select("receipt_id", "outliers_count", "name_quality_issues", "price_range_warnings", names("problem", 3).alias("problem_names"), names("outlier", 2).alias("outlier_names"), "items_total", *(c.alias(k) for k, c in more.items()))
     out = _checked(receipts.select("receipt_id", "subtotal").join(found, "receipt_id", "left"), rules, "outliers_count", "name_quality_issues", "price_range_warnings", "problem_names", "outlier_names", *more)
     if with_items:
         status = F.when(F.coalesce("priced", F.lit(0)) < 3, "INSUFFICIENT_DATA").when(F.coalesce("outliers_count", F.lit(0)) > 0, "OUTLIERS_FOUND").otherwise("OK")
