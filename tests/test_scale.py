@@ -217,3 +217,43 @@ def test_odd_items_are_held_once(spark):
     assert [(x.item_name, float(x.price), x.z_score) for x in a.problems] == [("n20", 900.0, 4.36)] and [(x.item_name, float(x.price)) for x in a.outliers] == [("n20", 900.0)]
     assert (a.outliers_count, a.price_range_warnings, a.outliers_status, b.outliers_status, c.outliers_status) == (1, 1, "OUTLIERS_FOUND", "INSUFFICIENT_DATA", "INSUFFICIENT_DATA")
     assert b.problems == [] and c.problems is None and c.subtotal_status == "SKIPPED" and len(a.recommendations) == 4 - (a.name_quality_issues == 0)
+
+
+def test_fields_are_read_where_receipts_are_dealt(spark, folder):
+    """One scan and one shuffle of the lines; a receipt's words are not laid out in rows, sorted or joined back."""
+    shown = plan(fixtures.QUERIES["fields_of_receipts"](spark, folder))
+    assert shown.count("Exchange hashpartitioning") == 1
+    assert not any(step in shown for step in ("Sort", "Generate", "Window", "ObjectHashAggregate"))
+    same(spark, folder, "fields_of_receipts")
+
+
+def test_entity_lists_are_those_of_token_rows(spark):
+    """Also for an I without its B, a change of type, O and null between, null words, no tokens at all."""
+    from pyspark.sql import functions as F
+
+    from tillwright.operators import sequences
+
+    labels = ["I-A", "I-A", "B-A", "I-B", "O", "I-B", None, "I-B", "I-", "B-", "", "b-A", "I-SUM.TAX", "B-SUM.TAX"]
+    words = ["w0", None, "", " w3 ", *(f"w{i}" for i in range(4, 14))]
+    receipts = {1: list(zip(words, labels)), 2: [("x", "B-A")], 3: [("x", "O"), ("y", None)], 4: [], 5: None, 6: [(None, "B-A"), (None, "I-A"), ("z", "B-C")]}
+    t = spark.createDataFrame(list(receipts.items()), "receipt_id long, r array<struct<word: string, label: string>>")
+    tokens = t.select("receipt_id", F.posexplode("r").alias("idx", "w")).select("receipt_id", "idx", "w.word", "w.label", F.lit(0.9).alias("conf"))
+    got = t.select("receipt_id", F.explode(sequences.entity_list(F.col("r"))).alias("e")).select("receipt_id", "e.*")
+    want = sequences.entities(tokens)
+    assert got.columns == want.columns and want.count() == 12
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_substitutes_search_the_words_once(spark):
+    """The ZIP code's place and the repaired text are bound, not searched anew for each street number and branch."""
+    from pyspark.sql import functions as F
+
+    from tillwright.functions import money, text
+
+    shown = lambda c: spark.range(1).select(F.array(F.lit("a")).alias("w"), F.lit("t").alias("t")).select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert shown(text.address_fallback(F.col("w"))).count("d{5}") == 1 and shown(money.extract_amount_loose(F.col("t"))).count("COTAL") == 1
+    rows = [(["1", "4521", "OAK", "B", "vd", "G", "12345", "90210"],), (["12", "OAK"],), (["12345"],), (["99999", "OAK", "90210"],), (["455", *["x"] * 40, "90210"],), ([],), (None,), (["777", None, "90210"],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "w array<string>").select(text.address_fallback(F.col("w"))).collect()]
+    assert got == ["4521 OAK BLVD 12345", "", "", "", "", "", "", "777 90210"]
+    amounts = [r[0] for r in spark.createDataFrame([("cotal 12:50",), ("due 1,234.50",), (None,), ("x",)], "t string").select(money.extract_amount_loose(F.col("t"))).collect()]
+    assert amounts == ["12.50", "1234.50", "", ""]

@@ -84,19 +84,19 @@ def header_fields(entities: DataFrame) -> DataFrame:
     return got.select("receipt_id", distinct_words(F.col("vendor")).alias("vendor"), distinct_words(F.col("address")).alias("address"), distinct_words(F.col("phone")).alias("phone"), F.when(date != "", date).otherwise(distinct_words(F.col("date"))).alias("date"))
 
 
-def summary_fields(entities: DataFrame, words: DataFrame) -> DataFrame:
-    """vendor, address, phone, date, subtotal, tax, total of each receipt, '' where nothing says it.
+def summary_fields(receipts: DataFrame) -> DataFrame:
+    """vendor, address, phone, date, subtotal, tax, total of each receipt, '' where nothing says it. A receipt is one row
+    (receipt_id, words, entities: arrays in order), so nothing is shuffled.
 
     First what its entities say (kind HEAD.* or SUM.*, joined in order): a phone must be one, an amount is the last
-    in its text. Every field has each of its words once. Then ranked substitutes over the receipt's words (receipt_id, words:
-    array in order): the amount after TOTAL, a phone near its keyword or anywhere, a street number up to a ZIP code."""
+    in its text. Every field has each of its words once. Then ranked substitutes over the receipt's words: the amount
+    after TOTAL, a phone near its keyword or anywhere, a street number up to a ZIP code."""
     from .money import extract_amount, extract_amount_loose
     from .text import PHONE, address_fallback, phone_near, total_fallback
 
     kinds = {k.split(".")[1].lower(): k for k in ("HEAD.VENDOR", "HEAD.ADDRESS", "HEAD.PHONE", "HEAD.DATE", "SUM.SUBTOTAL", "SUM.TAX", "SUM.TOTAL")}
-    joined = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("start", "text")))), lambda x: x["text"]), " ")
-    said = entities.groupBy("receipt_id").agg(*(joined(k).alias(f"_{n}") for n, k in kinds.items()))
-    got = words.select("receipt_id", "words").join(said, "receipt_id", "left")
+    joined = lambda k: F.array_join(F.transform(F.filter("entities", lambda e: e["kind"] == k), lambda e: e["text"]), " ")
+    got = receipts.select("receipt_id", "words", *(joined(k).alias(f"_{n}") for n, k in kinds.items()))
     text = {n: F.coalesce(f"_{n}", F.lit("")) for n in kinds} | {"phone": F.regexp_extract(F.coalesce("_phone", F.lit("")), PHONE, 1)}
     text |= {n: extract_amount_loose(F.col(f"_{n}")) for n in ("subtotal", "tax", "total")}
     got = got.select("receipt_id", "words", *(distinct_words(c).alias(n) for n, c in text.items()))

@@ -152,9 +152,8 @@ def fields_of_receipts(spark, d):
         run(k != 3, "HEAD.VENDOR", "CORNER", "SHOP", "SHOP"), run(k == 0, "HEAD.ADDRESS", "MAIN", "ROAD", "MAIN", "9"), run(k == 0, "HEAD.PHONE", "Tel", "416-555-0199"), run(k == 0, "HEAD.DATE", "on", "12/05/2024"),
         run(k.isin(1, 2), "O", "99", "4521", "OAK", "B", "OAK", "Bvd", "G", "SPRINGFIELD", "90210", "Phone:", "(905)", "555-0123"), run(k == 0, "SUM.SUBTOTAL", "SUBTOTA", amount), run(k == 1, "SUM.SUBTOTAL", "due", "7:50"),
         run(k == 0, "SUM.TOTAL", "COTAL", (F.col("t") + 1).cast("string")), run(k.isin(1, 2), "O", "Total", "due", amount), run(k == 3, "O", "thank", "you"))))
-    words = t.select("receipt_id", runs.alias("r"))
-    tokens = words.select("receipt_id", F.posexplode("r").alias("idx", "w")).select("receipt_id", "idx", "w.word", "w.label", F.lit(0.9).alias("conf"))
-    out = report.summary_fields(sequences.entities(tokens), words.select("receipt_id", F.transform("r", lambda x: x["word"]).alias("words")))
+    tokens = t.select("receipt_id", runs.alias("r"))
+    out = report.summary_fields(tokens.select("receipt_id", F.transform("r", lambda x: x["word"]).alias("words"), sequences.entity_list(F.col("r")).alias("entities")))
     return out.withColumn("address", F.replace("address", F.lit("B OAK "), F.lit("")))
 
 
