@@ -261,6 +261,28 @@ def test_long_summary_by_rule(spark):
     assert (got[5].discount, got[5].discount_confidence, got[5].total) == (3.0, 0.9, 50.0)
 
 
+def test_native_and_scalar_texts_agree(spark):
+    """What the kernel of long receipts asks of a text is what the column functions say of it."""
+    from tillwright.functions import scalar, text
+    from tillwright.operators import summary
+
+    rng = random.Random(6)
+    words = ["TEA", "Crème", "ÉTOTAL", "total", "Subtotal", "GST", "5%", "5.00", "13", "$4.99", "1,25", "-3.00", "kg", "1.2 kg", "/kg", "EA", "INT 2", "MRJ", "GPHR)", "21-GROCERY", "dairy", "123456", "x", "XL", "bcdf", "a1b2", "(x)", "--", "ß", "visa", "THANK YOU", "REF#", "savings", "@", "²", "茶", "12:30", "\t", "  ", ""]
+    texts = [*words, *(" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(600))]
+    c, u = F.col("t"), F.upper(F.trim("t"))
+    spans = F.transform(money.money_spans(c), lambda m: F.struct(m["start"], m["end"], m["value"], m["raw"], money.is_tax_rate(m["raw"], m["value"])))
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(
+        "i", text.good_name(c), text.is_weak_name(c), text.is_junk_row(c), text.is_section(u, True), text.is_footer(u, True), text.is_summary_anchor(c), text.name_key(c), spans)
+    for i, *said, found in got.collect():
+        t = texts[i]
+        u = t.strip(" ").upper()
+        assert said == [scalar.good_name(t), scalar.is_weak_name(t), scalar.is_junk_row(t), scalar.is_section(u), scalar.is_footer(u), scalar.is_summary_anchor(t), scalar.name_key(t)], t
+        assert [tuple(x) for x in found] == [(*m, scalar.is_tax_rate(m[3], m[2])) for m in scalar.money_spans(t)], t
+    values = [[round(rng.choice([1.0, 1.004, 1.005, 2.675, rng.random() * 9]), 3) for _ in range(4)] for _ in range(50)]
+    for v, total, cents in spark.createDataFrame([(v,) for v in values], "v array<double>").select("v", summary.distinct_sum(F.col("v")), F.transform("v", lambda x: F.round(x, 2))).collect():
+        assert (total, cents) == (scalar.distinct_sum(v), [scalar.to_cent(x) for x in v])
+
+
 def test_chunks_against_a_plain_walk(spark):
     """Chunks that shrink, among them tokens with more pieces than a chunk holds."""
     rng = random.Random(4)

@@ -257,3 +257,10 @@ def test_substitutes_search_the_words_once(spark):
     assert got == ["4521 OAK BLVD 12345", "", "", "", "", "", "", "777 90210"]
     amounts = [r[0] for r in spark.createDataFrame([("cotal 12:50",), ("due 1,234.50",), (None,), ("x",)], "t string").select(money.extract_amount_loose(F.col("t"))).collect()]
     assert amounts == ["12.50", "1234.50", "", ""]
+
+
+def test_long_receipts_are_read_from_one_stream(spark, folder):
+    """A long receipt's tokens are laid out and sorted once, however many ways it is read in."""
+    found = plan(fixtures.QUERIES["long_items_of_orders"](spark, folder))
+    assert (found.count("MapInArrow"), found.count("Sort [receipt_id"), found.count("Generate posexplode")) == (1, 1, 3)
+    same(spark, folder, "long_items_of_orders")
