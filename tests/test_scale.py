@@ -293,3 +293,38 @@ def test_equal_pages_are_repaired_once(spark, folder, monkeypatch):
     labels.label_pages(whole)
     out = list(taken[0][1](iter(taken[0][0].toArrow().to_batches())))
     assert sum(b.num_rows for b in out) == 2 * len(pages) and len(made) == len(pages)
+
+
+def test_only_the_asked_tables_are_written(spark, folder, monkeypatch):
+    """A save of receipts numbers and stores no items, validations or summaries, and what it makes is what a whole save makes."""
+    from tillwright.operators import workflow, writer
+    from tillwright.plans import processed
+
+    whole = {n: sorted(map(str, df.drop("created_at", "updated_at", "reviewed_at").collect())) for n, df in processed._save(spark, folder).items() if n in writer.WRITTEN}
+    for asked in writer.WRITTEN:
+        named = []
+        for module in (workflow, writer, processed):
+            kept = module.materialize
+            monkeypatch.setattr(module, "materialize", lambda df, name, kept=kept: named.append((name, df.columns)) or kept(df, name))
+        found = processed._save(spark, folder, asked)[asked]
+        monkeypatch.undo()
+        assert sorted(map(str, found.drop("created_at", "updated_at", "reviewed_at").collect())) == whole[asked]
+        ids = {"receipts": "receipt_id", "validation": "validation_id", "summary": "summary_id", "items": "item_id"}
+        assert {n for n, _ in named} == {"known", "numbered-receipt_id", "processed", "saved-receipts", f"saved-{asked}", f"numbered-{ids[asked]}"}
+        assert all(set(c) & {"validation", "summary", "items"} == set(writer.READ[asked]) for n, c in named if n in ("known", "processed"))
+
+
+def test_rows_of_one_seq_are_told_apart_by_their_text(spark):
+    """Of rows of one source the largest seq is written, of equal ones the one whose text is larger; others need no text."""
+    from pyspark.sql import functions as F
+
+    from tillwright.operators import writer
+    from tillwright.plans.review import _now
+
+    none = {c: F.lit(None).cast("string") for c in ("job_id", "receipt_name", "receipt_date", "currency", "raw_json", "ocr_json", "predictionlog_json")}
+    none |= {c: F.lit(None).cast("double") for c in ("subtotal", "tax", "total", "confidence")}
+    none |= {"validation": F.lit(None).cast(writer.VALIDATION), "summary": F.lit(None).cast(writer.SUMMARY), "items": F.lit(None).cast(writer.ITEMS)}
+    batch = spark.createDataFrame([("a", "x", 1), ("a", "b", 2), ("a", "c", 2), ("b", "z", None), ("b", "y", None), ("c", "q", 3), ("c", "r", 1)], "source_id string, vendor string, seq int").withColumns(none)
+    t = {"receipts": spark.createDataFrame([], "receipt_id long, source_id string, vendor string, created_at timestamp")}
+    got = writer.save_processed(t, batch, _now(), asked=("receipts",))["receipts"]
+    assert sorted((r.source_id, r.vendor) for r in got.collect()) == [("a", "c"), ("b", "z"), ("c", "q")]

@@ -17,8 +17,9 @@ from .review import _BASE, MONEY, _k, _now, _tables
 # the composite write
 
 
-def _save(spark, d):
-    """Two rows for every third receipt (the second counts) and one for each of a tenth as many new ones, written twice."""
+def _save(spark, d, *asked):
+    """Two rows for every third receipt (the second counts) and one for each of a tenth as many new ones, written twice; of the
+    tables those ``asked`` for, all without any."""
     t = _tables(spark, d, broadcast=False)  # both writes keep several joins in the driver at once
     t["validation"] = t["receipts"].filter(_k() % 6 == 0).select((_k() + 3).alias("validation_id"), "receipt_id", F.lit("PASS").alias("subtotal_status"), F.lit(0.0).alias("subtotal_discrepancy"), F.lit(None).cast("double").alias("subtotal_discrepancy_pct"), F.lit(0).alias("outliers_count"), F.lit(0).alias("name_quality_issues"), F.lit(0).alias("price_range_warnings"), F.lit("{}").alias("validation_json"), F.col("created_at"))
     base = t["receipts"].filter((_k() % 3 == 0) | (_k() % 10 == 1)).withColumn("known", _k() % 3 == 0)
@@ -35,9 +36,11 @@ def _save(spark, d):
     for c in ("receipt_name", "raw_json", "ocr_json", "predictionlog_json"):
         if c not in t["receipts"].columns:
             t["receipts"] = t["receipts"].withColumn(c, none.cast("string"))
-    once = writer.save_processed(t, batch, _now())
-    once |= {n: materialize(once[n], f"saved-{n}") for n in ("receipts", "validation", "summary", "items")}  # the state that the second write begins with
-    return writer.save_processed(once, batch, _now())
+    asked = asked or writer.WRITTEN
+    first = tuple({"receipts", *asked})  # what the second write begins with: whatever is asked for, it reads the receipts' ids
+    once = writer.save_processed(t, batch, _now(), asked=first)
+    once |= {n: materialize(once[n], f"saved-{n}") for n in first}
+    return writer.save_processed(once, batch, _now(), asked=asked)
 
 
 _SAVED = _BASE + """, nw AS (SELECT *, 'new-' || lpad(receipt_id::VARCHAR, 12, '0') AS src, (SELECT max(receipt_id) FROM rc) + row_number() OVER (ORDER BY receipt_id) AS new_id FROM rc WHERE receipt_id % 3 <> 0 AND receipt_id % 10 = 1),
@@ -48,7 +51,7 @@ sv AS (SELECT receipt_id AS rid, receipt_id AS k, source_id AS src, 'shop 2' AS
 CASE WHEN s.k IS NULL THEN r.active_llm_run_id END AS active_llm_run_id, s.shop AS receipt_name FROM rc r LEFT JOIN sv s ON s.rid = r.receipt_id
 UNION ALL SELECT rid, src, shop, 0, total, 'Pending', 50, NULL, shop FROM sv WHERE k <> rid OR src LIKE 'new-%'""")
 def save_receipts(spark, d):
-    return _save(spark, d)["receipts"].select("receipt_id", "source_id", "vendor", "subtotal", "total", "status", "confidence", "active_llm_run_id", "receipt_name")
+    return _save(spark, d, "receipts")["receipts"].select("receipt_id", "source_id", "vendor", "subtotal", "total", "status", "confidence", "active_llm_run_id", "receipt_name")
 
 
 @query(_SAVED + """, va AS (SELECT receipt_id + 3 AS validation_id, receipt_id FROM rc WHERE receipt_id % 6 = 0), inc AS (SELECT rid FROM sv WHERE k % 2 = 0),
@@ -56,14 +59,14 @@ fr AS (SELECT rid, row_number() OVER (ORDER BY rid) AS n FROM inc WHERE rid NOT
 SELECT validation_id, receipt_id, 'FAIL' AS subtotal_status, 1.5::DOUBLE AS subtotal_discrepancy, 1 AS outliers_count, 2 AS name_quality_issues, 0 AS price_range_warnings FROM va
 UNION ALL SELECT (SELECT max(validation_id) FROM va) + n, rid, 'FAIL', 1.5, 1, 2, 0 FROM fr""")
 def save_validation(spark, d):
-    return _save(spark, d)["validation"].select("validation_id", "receipt_id", "subtotal_status", "subtotal_discrepancy", "outliers_count", "name_quality_issues", "price_range_warnings")
+    return _save(spark, d, "validation")["validation"].select("validation_id", "receipt_id", "subtotal_status", "subtotal_discrepancy", "outliers_count", "name_quality_issues", "price_range_warnings")
 
 
 @query(_SAVED + """, sm AS (SELECT receipt_id + 7 AS summary_id, receipt_id, vendor, total, receipt_date FROM rc WHERE receipt_id % 3 = 0), inc AS (SELECT sv.*, rc.receipt_date FROM sv JOIN rc ON rc.receipt_id = sv.k WHERE k % 9 <> 0),
 fr AS (SELECT *, row_number() OVER (ORDER BY rid) AS n FROM inc WHERE rid NOT IN (SELECT receipt_id FROM sm))
 SELECT s.summary_id, s.receipt_id, coalesce(i.shop, s.vendor) AS vendor, s.total, s.receipt_date::VARCHAR AS receipt_date FROM sm s LEFT JOIN inc i ON i.rid = s.receipt_id UNION ALL SELECT (SELECT max(summary_id) FROM sm) + n, rid, shop, total, receipt_date::VARCHAR FROM fr""")
 def save_summary(spark, d):
-    return _save(spark, d)["summary"].select("summary_id", "receipt_id", "vendor", "total", "receipt_date")
+    return _save(spark, d, "summary")["summary"].select("summary_id", "receipt_id", "vendor", "total", "receipt_date")
 
 
 @query(_SAVED + """, ln AS (SELECT rid, n, CASE n WHEN 1 THEN 'ODD TEA' WHEN 2 THEN 'Unknown' ELSE 'x' END AS item_name, CASE n WHEN 1 THEN 9 WHEN 2 THEN 2 ELSE 1 END::DECIMAL(18,2) AS unit_price, n = 1 AND k % 2 = 0 AS odd FROM sv, (VALUES (1), (2), (7)) v(n) WHERE k % 4 <> 0),
@@ -72,7 +75,7 @@ SELECT item_id, receipt_id, line_no, item_name, unit_price, 'CAD' AS currency, 0
 UNION ALL SELECT coalesce(it.item_id, (SELECT max(item_id) FROM it) + fr.at), l.rid, l.n, l.item_name, l.unit_price, 'USD', l.odd::INT, CASE WHEN l.n = 7 THEN 'FLAGGED' WHEN l.odd THEN 'OUTLIER' WHEN l.n = 1 THEN 'LOW_CONF' ELSE 'OK' END,
 CASE WHEN l.n = 7 THEN 'flagged' WHEN l.odd THEN 'name_conf=50.0, price_conf=90.0 (<70.0) | validation_outlier' WHEN l.n = 1 THEN 'name_conf=50.0, price_conf=90.0 (<70.0)' END FROM ln l LEFT JOIN it ON it.receipt_id = l.rid AND it.line_no = l.n LEFT JOIN fr ON fr.rid = l.rid AND fr.n = l.n""")
 def save_items(spark, d):
-    return _save(spark, d)["items"].select("item_id", "receipt_id", "line_no", "item_name", "unit_price", "currency", "is_outlier", "item_status", "status_reason")
+    return _save(spark, d, "items")["items"].select("item_id", "receipt_id", "line_no", "item_name", "unit_price", "currency", "is_outlier", "item_status", "status_reason")
 
 
 # item reconstruction
